@@ -164,6 +164,21 @@ def running(
     return out.select(*df.columns, *[n for n in totals if n not in df.columns])
 
 
+def per_group(df: DataFrame, keys: Sequence[str], aggs: dict[str, Column]) -> DataFrame:
+    """Add group aggregates to every row.
+
+    A window does it in the exchange the caller needs anyway. With a hot group
+    the aggregate is combined before the shuffle and joined back instead.
+    """
+    keys = list(keys)
+    marked = df.withColumn("_one", F.lit(0))
+    if split_hot(marked, keys, "_one") is None:
+        w = Window.partitionBy(*keys)
+        return df.withColumns({n: e.over(w) for n, e in aggs.items()})
+    table = df.groupBy(*keys).agg(*[e.alias(n) for n, e in aggs.items()])
+    return df.join(table, keys)
+
+
 def fill_gaps(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",), order: str = "timestamp") -> DataFrame:
     """Forward fill then back fill one column inside each series, split-safe."""
     keys = list(keys)

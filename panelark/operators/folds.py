@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelark.sources.synthetic import calendar
+from panelark.functions.calendar import calendar
+
 
 
 def split_place(idx: Column, total: Column, parts: int | Column) -> Column:

@@ -7,12 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelark.functions.calendar import calendar
 from panelark.functions.ranks import average_rank
 from panelark.functions.stats import bootstrap_mean_ci, newey_west
 from panelark.functions.windows import safe_corr
 from panelark.operators.folds import chunk_of
 from panelark.schema import TARGET
-from panelark.sources.synthetic import calendar
+from panelark.session import cut_lineage
 
 
 def finite(c: str):
@@ -28,12 +29,15 @@ def long_features(df: DataFrame, features: Sequence[str], target: str = TARGET,
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, groups: Sequence[str]) -> DataFrame:
-    """Spearman correlation per group with group size; null on a constant side."""
+    """Spearman correlation per group with group size; null on a constant side.
+
+    Twelve digits are kept, so a correlation of zero has no sign.
+    """
     clean = df.select(*groups, F.col(x).alias("x"), F.col(y).alias("y")).dropna(subset=["x", "y"])
     ranked = average_rank(average_rank(clean, "x", "rx", groups), "y", "ry", groups)
     corr = safe_corr(F.col("rx"), F.col("ry"))
     moves = (F.min("x") < F.max("x")) & (F.min("y") < F.max("y"))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(moves, corr).alias("ic"))
+    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), F.when(moves, F.round(corr, 12)).alias("ic"))
 
 
 def daily_rank_ic(
@@ -47,8 +51,9 @@ def daily_rank_ic(
 def ic_inference(series: DataFrame, by: Sequence[str] = (), value: str = "ic", date: str = "timestamp") -> DataFrame:
     """Mean, Newey-West error and t, and bootstrap interval per series."""
     keys = list(by)
+    series = cut_lineage(series.select(*keys, date, value))
     base = newey_west(series, value, date, keys)
-    interval = bootstrap_mean_ci(series, value, date, keys)
+    interval = bootstrap_mean_ci(series, value, date, keys, materialize=False)
     if keys:
         return base.join(interval, keys)
     return base.withColumn("_k", F.lit(0)).join(interval.withColumn("_k", F.lit(0)), "_k").drop("_k")
@@ -101,13 +106,11 @@ def stability(
     ``long`` holds (date, feature, x, y) rows. Chunks of at most five rows are
     skipped; a calendar shorter than two dates per chunk gives 1.
     """
-    numbered = chunk_of(calendar(long if dates is None else dates, date), chunks)
+    numbered = chunk_of(calendar(long, date) if dates is None else dates, chunks)
     placed = long.join(numbered.select(date, "chunk", "n_dates"), date)
-    pooled = rank_correlation(placed, "x", "y", ["feature", "chunk"]).where("n > 5")
-    ic = F.coalesce("ic", F.lit(0.0))
-    stats = pooled.groupBy("feature").agg(F.avg(F.abs(ic)).alias("size"), F.stddev_pop(ic).alias("sd"))
+    pooled = rank_correlation(placed.withColumn("few", F.col("n_dates") < 2 * chunks), "x", "y", ["feature", "few", "chunk"])
+    ic = F.when(F.col("n") > 5, F.coalesce("ic", F.lit(0.0)))
+    stats = pooled.groupBy("feature", "few").agg(F.avg(F.abs(ic)).alias("size"), F.stddev_pop(ic).alias("sd"))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - F.col("sd") / (F.col("size") + 1e-6)))
-    score = F.when(F.col("size") == 0, 0.0).otherwise(score)
-    few = placed.groupBy("feature").agg((F.max("n_dates") < 2 * chunks).alias("few"))
-    score = F.when(F.col("few"), 1.0).otherwise(F.coalesce(score, F.lit(0.0)))
-    return few.join(stats, "feature", "left").select("feature", score.alias("stability"))
+    score = F.when(F.col("few"), 1.0).when(F.col("size") > 0, score).otherwise(0.0)
+    return stats.select("feature", score.alias("stability"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelark.functions.calendar import calendar
 from panelark.functions.windows import safe_corr
 from panelark.operators import ic
 from panelark.schema import (
@@ -18,6 +19,7 @@ from panelark.schema import (
     SCORE_WEIGHTS,
     TARGET,
 )
+from panelark.session import cut_lineage
 
 
 def candidate_features(df: DataFrame) -> list[str]:
@@ -77,18 +79,19 @@ def evaluate_features(
 ) -> DataFrame:
     """One row per feature with IC statistics, inference, stability, MI and score."""
     long = ic.long_features(df, features, target)
-    daily = ic.daily_rank_ic(long, "x", "y", by=["feature"])
+    daily = cut_lineage(ic.daily_rank_ic(long, "x", "y", by=["feature"]))
     table = ic.ic_statistics(daily).join(
         ic.ic_inference(daily, ["feature"]).select("feature", "nw_se", F.col("t_stat").alias("ic_tstat"), "ci_low", "ci_high"),
         "feature",
     )
-    table = table.join(ic.stability(long), "feature", "left").join(mutual_information(long), "feature", "left")
+    table = table.join(ic.stability(long, calendar(df)), "feature", "left").join(mutual_information(long), "feature", "left")
     if importance is None:
         table = table.withColumn("model_importance", F.lit(0.0))
     else:
         table = table.join(importance, "feature", "left")
     filled = table.fillna(0.0, ["stability", "mutual_info", "model_importance"])
-    return composite_score(filled)
+    # one row per feature, read again by the filter and the ordering
+    return cut_lineage(composite_score(filled))
 
 
 def shortlist(table: DataFrame, min_ic: float = 0.01, fallback: int = 10) -> DataFrame:

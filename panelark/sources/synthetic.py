@@ -4,29 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelark.functions.calendar import calendar, hash_below
 from panelark.functions.text import lexicon_sentiment, mentions, script_of
 from panelark.functions.windows import running
 from panelark.schema import HEADLINES
 
 
-def hash_below(text: Column, bound: int | Column) -> Column:
-    """Integer in [0, bound) from the first 32 bits of the md5 of a string."""
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), bound)
-
-
-def calendar(df: DataFrame, column: str = "timestamp", out: str = "date_idx") -> DataFrame:
-    """Distinct dates numbered from 0: one small row per date of the panel.
-
-    The numbering is a running count over per-date rows, so even a calendar too
-    long for one task is cut into ranges.
-    """
-    dates = df.select(column).distinct().withColumn("_all", F.lit(0))
-    return running(dates, {out: F.lit(1)}, ["_all"], column).select(column, (F.col(out) - 1).cast("long").alias(out))
-
-
 def synthetic_bars(spark: SparkSession, days: int = 120, symbols: Sequence[str] = ("A", "B", "C")) -> DataFrame:
     """Deterministic bars: drift plus a weekly shock, one row per calendar day."""
     names = F.explode(F.array(*[F.lit(s) for s in symbols])).alias("symbol")
