@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelark.functions.skew import split_hot
 from panelark.functions.windows import running
 
 
+def _mean_place(ordered: WindowSpec) -> Column:
+    """Mean of the first and last place among equal values: one sort, one running frame."""
+    upto = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    return (F.rank().over(ordered) + upto) / 2
+
+
 def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """Add the rank of ``column`` inside ``groups``; equal values share the mean rank.
 
@@ -27,16 +33,13 @@ def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = (
     split = split_hot(anchored, keys, column)
     if split is None:
         order = F.col(column).desc() if descending else F.col(column)
-        low = F.rank().over(Window.partitionBy(*keys).orderBy(order))
-        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, column))
-        return anchored.withColumn(out, low + (ties - 1) / 2).select(*df.columns, out)
+        return anchored.withColumn(out, _mean_place(Window.partitionBy(*keys).orderBy(order))).select(*df.columns, out)
     placed = split.attach(anchored)
     edge = (F.col("_range") % 2 == 1) & F.col("_in_range").isNotNull()
     placed = placed.withColumn("_spread", F.when(edge, F.spark_partition_id()).otherwise(F.lit(-1)))
     part = [*keys, "_range", "_spread"]
-    low = F.rank().over(Window.partitionBy(*part).orderBy(column))
-    ties = F.count(F.lit(1)).over(Window.partitionBy(*part, column))
-    inner = F.when(edge, (F.col("_in_range") + 1) / 2).otherwise(low + (ties - 1) / 2)
+    place = _mean_place(Window.partitionBy(*part).orderBy(column))
+    inner = F.when(edge, (F.col("_in_range") + 1) / 2).otherwise(place)
     ranked = placed.withColumn(out, F.col("_base") + inner)
     if descending:
         totals = anchored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))

@@ -33,7 +33,7 @@ def input_bytes(df: DataFrame) -> int | None:
     """Estimated bytes of the plan's leaves (files, local rows); None if unknown."""
     try:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
     except Exception:  # a session without a JVM handle
         return None
 
