@@ -11,14 +11,16 @@ from panelark.functions.skew import split_hot
 from panelark.functions.windows import running
 
 
-def _mean_place(ordered: WindowSpec) -> Column:
-    """Mean of the first and last place among equal values: one sort, one running frame."""
+def _places(ordered: WindowSpec) -> tuple[Column, Column]:
+    """First and last place among equal values: one sort, one running frame."""
     upto = F.count(F.lit(1)).over(ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return (F.rank().over(ordered) + upto) / 2
+    return F.rank().over(ordered), upto
 
 
-def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = (), descending: bool = False) -> DataFrame:
-    """Add the rank of ``column`` inside ``groups``; equal values share the mean rank.
+def average_rank(
+    df: DataFrame, column: str, out: str, groups: Sequence[str] = (), descending: bool = False, ties: str = "average"
+) -> DataFrame:
+    """Add the rank of ``column`` inside ``groups``; equal values share the mean (or ``min``) rank.
 
     The column must hold no null. A hot group is ranked range by range with the
     number of rows in lower ranges added. An edge value has a range of its own,
@@ -33,18 +35,26 @@ def average_rank(df: DataFrame, column: str, out: str, groups: Sequence[str] = (
     split = split_hot(anchored, keys, column)
     if split is None:
         order = F.col(column).desc() if descending else F.col(column)
-        return anchored.withColumn(out, _mean_place(Window.partitionBy(*keys).orderBy(order))).select(*df.columns, out)
+        low, high = _places(Window.partitionBy(*keys).orderBy(order))
+        rank = low if ties == "min" else (low + high) / 2
+        return anchored.withColumn(out, rank.cast("double")).select(*df.columns, out)
     placed = split.attach(anchored)
-    edge = (F.col("_range") % 2 == 1) & F.col("_in_range").isNotNull()
+    edge = F.lit(split.exact) & (F.col("_range") % 2 == 1) & F.col("_in_range").isNotNull()
     placed = placed.withColumn("_spread", F.when(edge, F.spark_partition_id()).otherwise(F.lit(-1)))
-    part = [*keys, "_range", "_spread"]
-    place = _mean_place(Window.partitionBy(*part).orderBy(column))
-    inner = F.when(edge, (F.col("_in_range") + 1) / 2).otherwise(place)
-    ranked = placed.withColumn(out, F.col("_base") + inner)
+    low, high = _places(Window.partitionBy(*keys, "_range", "_spread").orderBy(column))
+    placed = placed.withColumns(
+        {
+            "_low": F.col("_base") + F.when(edge, F.lit(1)).otherwise(low),
+            "_high": F.col("_base") + F.when(edge, F.col("_in_range")).otherwise(high),
+        }
+    )
     if descending:
         totals = anchored.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-        ranked = ranked.join(totals, keys).withColumn(out, F.col("_rows") + 1 - F.col(out))
-    return ranked.select(*df.columns, out)
+        placed = placed.join(totals, keys)
+        flipped = {"_low": F.col("_rows") + 1 - F.col("_high"), "_high": F.col("_rows") + 1 - F.col("_low")}
+        placed = placed.withColumns(flipped)
+    rank = F.col("_low") if ties == "min" else (F.col("_low") + F.col("_high")) / 2
+    return placed.withColumn(out, rank.cast("double")).select(*df.columns, out)
 
 
 def running_counts(df: DataFrame, order: str, sums: dict[str, Column], groups: Sequence[str] = ()) -> DataFrame:

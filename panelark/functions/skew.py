@@ -51,6 +51,9 @@ def order_value(df: DataFrame, order: str) -> Column:
         return F.unix_micros(F.col(order)).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(order)).cast("double")
+    if isinstance(kind, T.StringType):
+        head = F.rpad(F.substring(F.hex(F.col(order)), 1, 12), 12, "0")
+        return F.conv(head, 16, 10).cast("double")
     return F.col(order).cast("double")
 
 
@@ -61,6 +64,7 @@ class HotSplit:
     keys: list[str]
     order: str
     table: DataFrame
+    exact: bool  # distinct values have distinct images
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add ``_range``, ``_base`` (rows of the group in lower ranges) and ``_in_range``.
@@ -132,7 +136,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> HotSplit | None
 
     edges = {tuple(r[k] for k in keys): _nest(list(r["_flat"])) for r in picked}
     bare = [(*key, nested, [part[-1] for part in nested], [], []) for key, nested in edges.items()]
-    split = HotSplit(keys, order, table(bare))
+    exact = not isinstance(df.schema[order].dataType, (T.StringType, T.LongType))
+    split = HotSplit(keys, order, table(bare), exact)
     sizes: dict[tuple, dict[int, int]] = {}
     per_range = split.attach(df.join(F.broadcast(pieces.drop("_pieces")), keys, "left_semi"))
     for row in per_range.groupBy(*keys, "_range").agg(F.count(F.lit(1)).alias("_n")).collect():
@@ -142,4 +147,4 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> HotSplit | None
         counts_of = [sizes[key].get(number, 0) for number in range(max(sizes[key]) + 1)]
         bases = [0, *accumulate(counts_of)][:-1]
         full.append((*key, nested, [part[-1] for part in nested], bases, counts_of))
-    return HotSplit(keys, order, table(full))
+    return HotSplit(keys, order, table(full), exact)

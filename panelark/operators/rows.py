@@ -84,18 +84,31 @@ def watchlist(df: DataFrame, names: DataFrame) -> DataFrame:
     return df.join(names, "symbol", "left_semi")
 
 
-def last_rows(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",), date: str = "timestamp") -> DataFrame:
-    """The last ``n`` rows of each key.
+def first_rows(
+    df: DataFrame, n: int, keys: Sequence[str], order: str, descending: bool = False, limit: Column | None = None
+) -> DataFrame:
+    """The first ``n`` rows of each key in an order; ``limit`` may lower n per key.
 
-    Each task first keeps the last rows of its own part of a key, so a very
+    Each task first keeps the first rows of its own part of a key, so a very
     large key is reduced before it is gathered.
     """
+    by = F.desc(order) if descending else F.asc(order)
     names = df.columns
-    part = df.withColumn("_part", F.spark_partition_id())
-    local = Window.partitionBy(*keys, "_part").orderBy(F.desc(date))
-    thin = part.withColumn("_rn", F.row_number().over(local)).where(F.col("_rn") <= n).drop("_rn", "_part")
-    whole = Window.partitionBy(*keys).orderBy(F.desc(date))
-    return thin.withColumn("_rn", F.row_number().over(whole)).where(F.col("_rn") <= n).select(*names)
+    local = Window.partitionBy(*keys, "_part").orderBy(by)
+    thin = (
+        df.withColumn("_part", F.spark_partition_id())
+        .withColumn("_rn", F.row_number().over(local))
+        .where(F.col("_rn") <= n)
+        .drop("_rn", "_part")
+    )
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(by))
+    wanted = F.col("_rn") <= (F.lit(n) if limit is None else F.least(F.lit(n), limit))
+    return thin.withColumn("_rn", place).where(wanted).select(*names)
+
+
+def last_rows(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",), date: str = "timestamp") -> DataFrame:
+    """The last ``n`` rows of each key."""
+    return first_rows(df, n, keys, date, descending=True)
 
 
 def top_rows(df: DataFrame, n: int, score: str, tie: str) -> DataFrame:

@@ -10,6 +10,7 @@ from panelark.functions.stats import bootstrap_mean_ci, newey_west
 from panelark.operators import drift, folds, ic, price, quality, rows, selection
 from panelark.plans.catalog_features import KEYS, LABEL, RET1, TAIL, W, chg, steps
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
+from panelark.session import cut_lineage
 from panelark.sources import spec
 
 FEATURES = ["return_1d", "return_5d", "return_20d", "volume_change", "momentum_12_1", "sentiment"]
@@ -207,7 +208,7 @@ def scored(t):
     mi = selection.mutual_information(rows_long)
     # the information table also serves as the importance input here
     table = table.join(ic.stability(rows_long, calendar(t.bars)), "feature").join(mi, "feature")
-    return selection.composite_score(table.withColumn("model_importance", F.col("mutual_info")))
+    return cut_lineage(selection.composite_score(table.withColumn("model_importance", F.col("mutual_info"))))
 
 
 @query("composite_score", f"WITH {SCORE_CTES} SELECT feature, {RS('mean_ic icir stability mutual_info score')} FROM sc")
