@@ -10,7 +10,10 @@ from panelark.plans.catalog_inference import FEAT_CTE, features, ic_ctes
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
 
 # prices of the test tables jump, so grown equity is compared on a log scale
-LOG_GROWTH = F.log1p("cumulative_return").alias("log_growth")
+def log_growth():
+    return F.log1p("cumulative_return").alias("log_growth")
+
+
 RULES4 = ["eq_weight_signal", "mom_12_1_signal", "reversal_5d_signal", "reversal_lowturnover_signal"]
 TOP_K = 10
 
@@ -141,7 +144,7 @@ METRICS = "sharpe sortino max_drawdown hit_rate mean_return std_return skew kurt
 
 @query("strategy_performance", BT + f"SELECT strategy, n_periods, {R('ln(1 + cumulative_return)', 'log_growth')}, {RS(METRICS)} FROM st")
 def _(t):
-    return tidy(backtest.performance(backtest.net_returns(periods(t))).select("strategy", "n_periods", LOG_GROWTH, *METRICS.split()))
+    return tidy(backtest.performance(backtest.net_returns(periods(t))).select("strategy", "n_periods", log_growth(), *METRICS.split()))
 
 
 @query("deflated_sharpe")
@@ -164,7 +167,7 @@ def _(t):
     df = features(t).withColumn("prediction_full", signal)
     net = backtest.net_returns(backtest.panel_periods(backtest.long_signals(df, ["prediction_full"]), top_k=TOP_K))
     stats = backtest.performance(net)
-    return tidy(stats.select("strategy", "n_periods", "sharpe", "max_drawdown", "turnover", LOG_GROWTH))
+    return tidy(stats.select("strategy", "n_periods", "sharpe", "max_drawdown", "turnover", log_growth()))
 
 
 COSTS = "[0, 5, 10, 13.61, 20, 25]"
