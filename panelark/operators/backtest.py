@@ -138,6 +138,21 @@ def period_returns(weights: DataFrame, hold: int = 5) -> DataFrame:
     return out.where(F.col("timestamp").isNotNull()).select("strategy", "timestamp", "period", "gross", "turnover")
 
 
+def panel_periods(
+    signals: DataFrame, hold: int = 5, top_k: int = 20, filter_inactive: bool = True
+) -> DataFrame:
+    """Signals to (strategy, timestamp, period, gross, turnover).
+
+    The signals are read for the calendar, the prices and the flatness test, so
+    they are written out once. The result has one row per rebalance date and is
+    read by every statistic, so it is written out too.
+    """
+    slim = cut_lineage(signals.select("strategy", "timestamp", "symbol", "open", "signal"))
+    rows = with_date_index(usable_rows(slim, filter_inactive))
+    priced = forward_returns(rows, hold).where(F.col("date_idx") % hold == 0)
+    return cut_lineage(period_returns(target_weights(priced, top_k), hold))
+
+
 def net_returns(periods: DataFrame, cost_bps: float = ONE_WAY_BPS) -> DataFrame:
     return periods.withColumn("net", F.col("gross") - F.col("turnover") * (cost_bps / 10000.0))
 
