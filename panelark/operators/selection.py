@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from pyspark.sql import types as T
 from panelark.functions.calendar import calendar
 from panelark.functions.windows import safe_corr
 from panelark.operators import ic
+from panelark.operators.rows import sanitize
 from panelark.schema import (
     BENCH_COL,
     KEPT_PREFIXES,
@@ -117,6 +120,19 @@ def correlation_pairs(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return wide.select(F.inline(listed))
 
 
+def correlation_lookup(df: DataFrame, names: Sequence[str]) -> dict[tuple[str, str], float]:
+    """Absolute Pearson correlations of many columns in one pass; constant columns give 0."""
+    rows = sanitize(df.select(*names), names)
+    vectors = VectorAssembler(inputCols=list(names), outputCol="_v").transform(rows).select("_v")
+    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
+    return {
+        (a, b): 0.0 if matrix[i, j] != matrix[i, j] else abs(float(matrix[i, j]))
+        for i, a in enumerate(names)
+        for j, b in enumerate(names)
+        if i != j
+    }
+
+
 def prune_redundant(
     df: DataFrame, ranked: Sequence[str], max_corr: float = 0.90, top_k: int | None = None
 ) -> list[str]:
@@ -128,10 +144,7 @@ def prune_redundant(
     names = list(ranked)
     if not names:
         return []
-    corr = {}
-    if len(names) > 1:
-        for row in correlation_pairs(df, names).collect():
-            corr[row["a"], row["b"]] = corr[row["b"], row["a"]] = abs(row["corr"])
+    corr = correlation_lookup(df, names) if len(names) > 1 else {}
     kept: list[str] = []
     for name in names:
         if all(corr[name, other] <= max_corr for other in kept):
