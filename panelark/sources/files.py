@@ -66,47 +66,61 @@ def existing(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
 def read_cells(
     spark: SparkSession,
     paths: str | Iterable[str],
-    needed: Sequence[Sequence[str]],
+    columns: dict[str, Sequence[str]],
+    needed: Sequence[str],
     recursive: bool = False,
     max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
-    """(file, file_name, place, header, cells) rows of CSV files.
+    """(file_name, place, cells, at_<column>) rows of CSV files.
 
-    ``needed`` lists name groups; a line naming one of each group is a header.
-    ``place`` orders the rows of a file.
+    ``columns`` maps a canonical column to its accepted header names; a line
+    naming one of each ``needed`` column is the header of its file. ``at_<column>``
+    lists the cells that hold the column, worked out once per file. ``place``
+    orders the rows of a folder.
     """
+    cells = [F.col(f"c{i}") for i in range(max_columns)]
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
     reader = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
     reader = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
     raw = reader.csv(_paths(paths))
     if not raw.inputFiles():
         raise ValueError("no CSV files found")
+    is_header = F.lit(True)
+    for column in needed:
+        spellings = [n for name in columns[column] for n in dict.fromkeys((name, name.replace("_", " ")))]
+        named = F.lit(False)
+        for c in cells:
+            named = named | F.coalesce(F.lower(F.trim(c)).isin(spellings), F.lit(False))
+        is_header = is_header & named
+    file = F.col("_metadata.file_path")
+    place = F.struct(
+        file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
+    )
     lines = raw.select(
-        F.col("_metadata.file_path").alias("file"),
+        file.alias("file"),
         F.col("_metadata.file_name").alias("file_name"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias(
-            "place"
-        ),
-        F.array(*[F.col(f"c{i}") for i in range(max_columns)]).alias("cells"),
+        place.alias("place"),
+        is_header.alias("_header"),
+        F.array(*cells).alias("cells"),
     )
-    names = F.transform("cells", canonical)
-    is_header = F.lit(True)
-    for group in needed:
-        is_header = is_header & F.coalesce(
-            F.arrays_overlap(F.array_compact(names), F.array(*[F.lit(g) for g in group])), F.lit(False)
-        )
-    marked = lines.withColumn("_header", is_header)
-    headers = marked.where("_header").groupBy("file").agg(F.min(names).alias("header"))
-    return marked.where(~F.col("_header")).drop("_header").join(headers, "file")
-
-
-def cell(names: Sequence[str]) -> Column:
-    """Value of the first of several header names that the file has."""
-    found = [
-        F.get("cells", F.nullif(F.coalesce(F.array_position("header", n), F.lit(0)), F.lit(0)).cast("int") - 1)
-        for n in names
-    ]
-    return F.coalesce(*found)
+    found = lines.where("_header").groupBy("file").agg(F.min(F.transform("cells", canonical)).alias("_names"))
+
+    def positions(names: Sequence[str]) -> Column:
+        each = [F.nullif(F.coalesce(F.array_position("_names", n), F.lit(0)), F.lit(0)).cast("int") - 1 for n in names]
+        return F.array_compact(F.array(*each))
+
+    headers = found.select("file", *[positions(a).alias(f"at_{n}") for n, a in columns.items()])
+    # one header per file: the join method is left to the runtime size check
+    return lines.where(~F.col("_header")).drop("_header").join(headers, "file").drop("file")
+
+
+def cell(column: str, names: Sequence[str]) -> Column:
+    """Value of a column: the first filled cell among those that hold it."""
+    return F.coalesce(*[F.get("cells", F.get(f"at_{column}", F.lit(i))) for i in range(len(names))])
+
+
+def _texts(columns: dict[str, Sequence[str]]) -> dict[str, Column]:
+    return {n: cell(n, a) for n, a in columns.items()}
 
 
 def read_bars(spark: SparkSession, paths: str | Iterable[str], symbol: str | None = None) -> DataFrame:
@@ -115,9 +129,9 @@ def read_bars(spark: SparkSession, paths: str | Iterable[str], symbol: str | Non
     A missing symbol column is replaced by ``symbol`` or the file name; missing
     sentiment columns are 0. Unparsable numbers are null.
     """
-    cells = read_cells(spark, paths, [BAR_ALIASES["timestamp"], BAR_ALIASES["close"]])
+    cells = read_cells(spark, paths, BAR_ALIASES, ["timestamp", "close"])
     hint = F.lit(symbol) if symbol else symbol_of_file(F.col("file_name"))
-    return cells.select(*bar_columns({n: cell(a) for n, a in BAR_ALIASES.items()}, hint))
+    return cells.select(*bar_columns(_texts(BAR_ALIASES), hint))
 
 
 def bar_columns(text: dict[str, Column], symbol_hint: Column) -> list[Column]:
@@ -131,21 +145,25 @@ def bar_columns(text: dict[str, Column], symbol_hint: Column) -> list[Column]:
     return out
 
 
-def read_news(spark: SparkSession, paths: str | Iterable[str]) -> DataFrame:
-    """News items from CSV and JSON files; folders are read recursively, absent paths skipped."""
+def read_news(spark: SparkSession, paths: str | Iterable[str], json_lines: bool = False) -> DataFrame:
+    """News items from CSV and JSON files; folders are read recursively, absent paths skipped.
+
+    A JSON file holds an array of records, or with ``json_lines`` one record per
+    line, which Spark can split.
+    """
     found = existing(spark, paths)
     parts = []
     aliases = NEWS_ALIASES | {f: [f] for f in NEWS_FLAGS}
     csv = [p for p in found if not p.endswith(".json")]
     if csv:
         try:
-            cells = read_cells(spark, csv, [NEWS_ALIASES["timestamp"], NEWS_ALIASES["symbol"]], recursive=True)
-            parts.append(cells.select(*news_columns({n: cell(a) for n, a in aliases.items()})))
+            cells = read_cells(spark, csv, aliases, ["timestamp", "symbol"], recursive=True)
+            parts.append(cells.select(*news_columns(_texts(aliases))))
         except ValueError:
             pass  # a folder with JSON files only
     json = [p for p in found if not p.endswith(".csv")]
     if json:
-        reader = spark.read.option("multiLine", True).option("recursiveFileLookup", True)
+        reader = spark.read.option("multiLine", not json_lines).option("recursiveFileLookup", True)
         raw = reader.option("pathGlobFilter", "*.json").json(json) if _has_json(spark, json) else None
         if raw is not None:
             have = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
@@ -181,12 +199,13 @@ def news_columns(text: dict[str, Column]) -> list[Column]:
 
 def read_benchmark(spark: SparkSession, path: str, name: str = "nifty") -> DataFrame:
     """Benchmark series: first row of each timestamp in file order, ``<name>_close`` and ``<name>_volume``."""
-    cells = read_cells(spark, path, [BENCH_DATE_NAMES, BENCH_CLOSE_NAMES])
-    prefix = name.lower()
+    columns = {"time": BENCH_DATE_NAMES, "close": BENCH_CLOSE_NAMES, "volume": ["volume"]}
+    cells = read_cells(spark, path, columns, ["time", "close"])
+    text, prefix = _texts(columns), name.lower()
     rows = cells.select(
-        to_time(cell(BENCH_DATE_NAMES)).alias("timestamp"),
-        to_number(cell(BENCH_CLOSE_NAMES)).alias(f"{prefix}_close"),
-        to_number(cell(["volume"])).alias(f"{prefix}_volume"),
+        to_time(text["time"]).alias("timestamp"),
+        to_number(text["close"]).alias(f"{prefix}_close"),
+        to_number(text["volume"]).alias(f"{prefix}_volume"),
         "place",
     )
     return first_per_key(rows, ["timestamp"], "place").drop("place")
