@@ -7,6 +7,7 @@ with different headers share one scan and no header is read on the driver.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -85,13 +86,12 @@ def read_cells(
     raw = reader.csv(_paths(paths))
     if not raw.inputFiles():
         raise ValueError("no CSV files found")
+    # one pattern per needed column over the joined line keeps the generated code small
+    line = F.concat_ws("|", F.lit(""), *cells, F.lit(""))
     is_header = F.lit(True)
     for column in needed:
-        spellings = [n for name in columns[column] for n in dict.fromkeys((name, name.replace("_", " ")))]
-        named = F.lit(False)
-        for c in cells:
-            named = named | F.coalesce(F.lower(F.trim(c)).isin(spellings), F.lit(False))
-        is_header = is_header & named
+        spellings = "|".join(re.escape(n).replace("_", "[_ ]") for n in columns[column])
+        is_header = is_header & line.rlike(rf"(?i)\|\s*({spellings})\s*\|")
     file = F.col("_metadata.file_path")
     place = F.struct(
         file.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")
