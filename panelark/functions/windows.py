@@ -220,6 +220,8 @@ def fill_gaps(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",), ord
 # A block is long enough that the weight of everything before the previous block
 # is below 1e-30, and short enough that 1 / weight stays far from overflow.
 _BLOCK_DECADES = 30.0
+# Decimal exponents a block may span without overflow.
+_LARGEST_DECADES = 280.0
 # Rows of history after which a start value has no effect at double precision.
 _HALO_DECADES = 20.0
 
@@ -232,36 +234,63 @@ def ewm_halo(alpha: float) -> int:
     return math.ceil(_HALO_DECADES * math.log(10) / -math.log1p(-alpha))
 
 
-def ewm(df: DataFrame, s: Series, column: str, alpha: float, out: str, least: int = 0) -> DataFrame:
-    """Exponentially weighted mean without bias adjustment, in window functions only.
+def ewm_prepare(df: DataFrame, s: Series, columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+    """Add row numbers, block numbers and gaps to the last observation of each column.
+
+    One block length serves all the given decay rates, so that every mean below
+    runs on the same sort order.
+    """
+    block = max(ewm_block(a) for a in alphas)
+    if block * -math.log10(1.0 - max(alphas)) > _LARGEST_DECADES:
+        raise ValueError("decay rates too far apart for one block length")
+    df = df.withColumns(
+        {"_ewm_k": F.row_number().over(s.ordered) - 1}
+        | {f"_ewm_seen_{c}": F.count(c).over(s.so_far()) for c in columns}
+    )
+    past = s.ordered.rowsBetween(Window.unboundedPreceding, -1)
+    held = {c: F.last(F.when(F.col(c).isNotNull(), F.col("_ewm_k")), True).over(past) for c in columns}
+    return df.withColumns(
+        {"_ewm_blk": (F.col("_ewm_k") / block).cast("int")}
+        | {f"_ewm_gap_{c}": F.col("_ewm_k") - held[c] for c in columns}
+    )
+
 
+def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple]) -> DataFrame:
+    """Add exponentially weighted means; a spec is (out, column, alpha, least, rows_of).
+
+    ``rows_of`` names the prepared column whose observations the input shares.
     The recursion is an affine map per observation, y = a*y_prev + b. Inside a
     block of rows the maps compose into P = prod(a) and sum(b / P); a block
     starts from the last value of the block before. A missing observation keeps
     y, and lets the old weight decay once more before the next one.
     """
-    keep = 1.0 - alpha
-    block = ewm_block(alpha)
-    x = F.col(column)
-    tag = f"_{out}"
-    seen = F.count(x).over(s.so_far())
-    df = df.withColumns({f"{tag}_k": F.row_number().over(s.ordered) - 1, f"{tag}_n": seen})
-    held = F.last(F.when(x.isNotNull(), F.col(f"{tag}_k")), True).over(
-        s.ordered.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    df = df.withColumns(
-        {f"{tag}_gap": F.col(f"{tag}_k") - held, f"{tag}_blk": (F.col(f"{tag}_k") / block).cast("int")}
-    )
-    old = F.pow(F.lit(keep), F.col(f"{tag}_gap"))
-    first = F.col(f"{tag}_gap").isNull()
-    a = F.when(x.isNull() | first, F.lit(1.0)).otherwise(old / (old + alpha))
-    b = F.when(x.isNull(), F.lit(0.0)).when(first, x).otherwise(alpha * x / (old + alpha))
-    df = df.withColumns({f"{tag}_a": F.ln(a), f"{tag}_b": b})
-    inside = Window.partitionBy(*s.keys, f"{tag}_blk").orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(f"{tag}_p", F.exp(F.sum(f"{tag}_a").over(inside)))
-    df = df.withColumn(f"{tag}_z", F.col(f"{tag}_p") * F.sum(F.col(f"{tag}_b") / F.col(f"{tag}_p")).over(inside))
-    previous = Window.partitionBy(*s.keys).orderBy(f"{tag}_blk").rangeBetween(-1, -1)
-    carried = F.max_by(F.col(f"{tag}_z"), F.col(f"{tag}_k")).over(previous)
-    value = F.col(f"{tag}_z") + F.col(f"{tag}_p") * F.coalesce(carried, F.lit(0.0))
-    df = df.withColumn(out, F.when(F.col(f"{tag}_n") >= max(least, 1), value))
-    return df.drop(*[f"{tag}_{part}" for part in ("k", "n", "gap", "blk", "a", "b", "p", "z")])
+    maps: dict[str, Column] = {}
+    for out, column, alpha, _least, rows_of in specs:
+        x, gap = F.col(column), F.col(f"_ewm_gap_{rows_of}")
+        old = F.pow(F.lit(1.0 - alpha), gap)
+        first = gap.isNull()
+        step = F.when(x.isNull() | first, F.lit(1.0)).otherwise(old / (old + alpha))
+        add = F.when(x.isNull(), F.lit(0.0)).when(first, x).otherwise(alpha * x / (old + alpha))
+        maps |= {f"_{out}_a": F.ln(step), f"_{out}_b": add}
+    names = [spec[0] for spec in specs]
+    df = df.withColumns(maps)
+    inside = Window.partitionBy(*s.keys, "_ewm_blk").orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({f"_{n}_p": F.exp(F.sum(f"_{n}_a").over(inside)) for n in names})
+    df = df.withColumns({f"_{n}_z": F.col(f"_{n}_p") * F.sum(F.col(f"_{n}_b") / F.col(f"_{n}_p")).over(inside) for n in names})
+    previous = Window.partitionBy(*s.keys).orderBy("_ewm_blk").rangeBetween(-1, -1)
+    carried = {n: F.max_by(F.col(f"_{n}_z"), F.col("_ewm_k")).over(previous) for n in names}
+    values = {}
+    for out, _column, _alpha, least, rows_of in specs:
+        value = F.col(f"_{out}_z") + F.col(f"_{out}_p") * F.coalesce(carried[out], F.lit(0.0))
+        values[out] = F.when(F.col(f"_ewm_seen_{rows_of}") >= max(least, 1), value)
+    return df.withColumns(values).drop(*[f"_{n}_{part}" for n in names for part in "abpz"])
+
+
+def ewm_finish(df: DataFrame) -> DataFrame:
+    return df.drop(*[c for c in df.columns if c.startswith("_ewm_")])
+
+
+def ewm(df: DataFrame, s: Series, column: str, alpha: float, out: str, least: int = 0) -> DataFrame:
+    """Exponentially weighted mean without bias adjustment, in window functions only."""
+    prepared = ewm_prepare(df, s, [column], [alpha])
+    return ewm_finish(ewm_apply(prepared, s, [(out, column, alpha, least, column)]))

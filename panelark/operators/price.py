@@ -9,7 +9,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelark.functions.windows import Series, ewm, ewm_halo, over_series, ratio, running, zero_null
+from panelark.functions.windows import (
+    Series,
+    ewm_apply,
+    ewm_finish,
+    ewm_halo,
+    ewm_prepare,
+    over_series,
+    ratio,
+    running,
+    zero_null,
+)
 from panelark.schema import TARGET
 
 RETURN_SPANS = (1, 5, 10, 20, 60)
@@ -47,33 +57,57 @@ def add_volatility(df: DataFrame, s: Series) -> DataFrame:
     return df.withColumn("downside_volatility_20", zero_null(s.std("_falls", 20))).drop("_falls")
 
 
+def add_oscillators(
+    df: DataFrame, s: Series, rsi: int | None = 14, macd: tuple[int, int, int] | None = (12, 26, 9)
+) -> DataFrame:
+    """Relative strength index and moving average convergence; both share one sort for their means."""
+    columns, alphas, specs, later = [], [], [], []
+    if rsi:
+        move = F.col("close") - s.lag("close")
+        df = df.withColumn("_move", move)
+        # greatest and least skip null, but the first move must stay missing
+        known = F.col("_move").isNotNull()
+        df = df.withColumns(
+            {
+                "_up": F.when(known, F.greatest(F.col("_move"), F.lit(0.0))),
+                "_down": F.when(known, -F.least(F.col("_move"), F.lit(0.0))),
+            }
+        )
+        columns.append("_move")
+        alphas.append(1 / rsi)
+        specs += [("_mean_up", "_up", 1 / rsi, rsi, "_move"), ("_mean_down", "_down", 1 / rsi, rsi, "_move")]
+    if macd:
+        fast, slow, signal = (2 / (n + 1) for n in macd)
+        columns.append("close")
+        alphas += [fast, slow, signal]
+        specs += [("_fast", "close", fast, 0, "close"), ("_slow", "close", slow, 0, "close")]
+        later = [("_signal", "_line", signal, 0, "close")]
+    df = ewm_apply(ewm_prepare(df, s, columns, alphas), s, specs)
+    if macd:
+        df = df.withColumn("_line", F.col("_fast") - F.col("_slow"))
+        df = ewm_apply(df, s, later)
+        price = F.nullif(F.col("close"), F.lit(0.0))
+        df = df.withColumns(
+            {
+                "raw_macd": zero_null("_line"),
+                "macd": zero_null(zero_null("_line") / price),
+                "macd_signal": zero_null(zero_null("_signal") / price),
+                "macd_hist": zero_null(zero_null(F.col("_line") - F.col("_signal")) / price),
+            }
+        )
+    if rsi:
+        index = 100 - 100 / (1 + ratio("_mean_up", "_mean_down"))
+        df = df.withColumn(f"rsi_{rsi}", zero_null(index, 50.0))
+    used = ["_move", "_up", "_down", "_mean_up", "_mean_down", "_fast", "_slow", "_line", "_signal"]
+    return ewm_finish(df).drop(*used)
+
+
 def add_rsi(df: DataFrame, s: Series, n: int = 14) -> DataFrame:
-    move = F.col("close") - s.lag("close")
-    df = df.withColumn("_move", move).withColumns(
-        {"_up": F.greatest(F.col("_move"), F.lit(0.0)), "_down": -F.least(F.col("_move"), F.lit(0.0))}
-    )
-    # greatest/least skip null, the first move must stay missing
-    df = df.withColumns({c: F.when(F.col("_move").isNotNull(), F.col(c)) for c in ("_up", "_down")})
-    df = ewm(df, s, "_up", 1 / n, "_mean_up", least=n)
-    df = ewm(df, s, "_down", 1 / n, "_mean_down", least=n)
-    index = 100 - 100 / (1 + ratio("_mean_up", "_mean_down"))
-    return df.withColumn(f"rsi_{n}", zero_null(index, 50.0)).drop("_move", "_up", "_down", "_mean_up", "_mean_down")
+    return add_oscillators(df, s, n, None)
 
 
 def add_macd(df: DataFrame, s: Series, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = ewm(df, s, "close", 2 / (fast + 1), "_fast")
-    df = ewm(df, s, "close", 2 / (slow + 1), "_slow")
-    df = df.withColumn("_line", F.col("_fast") - F.col("_slow"))
-    df = ewm(df, s, "_line", 2 / (signal + 1), "_signal")
-    price = F.nullif(F.col("close"), F.lit(0.0))
-    return df.withColumns(
-        {
-            "raw_macd": zero_null("_line"),
-            "macd": zero_null(zero_null("_line") / price),
-            "macd_signal": zero_null(zero_null("_signal") / price),
-            "macd_hist": zero_null(zero_null(F.col("_line") - F.col("_signal")) / price),
-        }
-    ).drop("_fast", "_slow", "_line", "_signal")
+    return add_oscillators(df, s, None, (fast, slow, signal))
 
 
 def true_range(s: Series) -> Column:
@@ -154,14 +188,13 @@ BOUNDED_STEPS = [
     add_returns,
     add_moving_averages,
     add_volatility,
-    add_rsi,
-    add_macd,
     add_atr,
     add_stochastic,
     add_momentum,
     add_extremes,
     add_volume,
     add_label,
+    add_oscillators,
 ]
 
 
