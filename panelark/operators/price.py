@@ -184,7 +184,9 @@ def add_volume_flows(df: DataFrame) -> DataFrame:
     return over_series(df, relative, before=20).drop("_signed", "_trend")
 
 
+# the step with the most passes runs first, while the rows are narrow
 BOUNDED_STEPS = [
+    add_oscillators,
     add_returns,
     add_moving_averages,
     add_volatility,
@@ -194,7 +196,6 @@ BOUNDED_STEPS = [
     add_extremes,
     add_volume,
     add_label,
-    add_oscillators,
 ]
 
 

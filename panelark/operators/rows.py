@@ -89,21 +89,17 @@ def first_rows(
 ) -> DataFrame:
     """The first ``n`` rows of each key in an order; ``limit`` may lower n per key.
 
-    Each task first keeps the first rows of its own part of a key, so a very
-    large key is reduced before it is gathered.
+    The constant bound on the row number lets Spark keep only n rows per key in
+    each map task (WindowGroupLimit), so a very large key is reduced before the
+    shuffle.
     """
     by = F.desc(order) if descending else F.asc(order)
     names = df.columns
-    local = Window.partitionBy(*keys, "_part").orderBy(by)
-    thin = (
-        df.withColumn("_part", F.spark_partition_id())
-        .withColumn("_rn", F.row_number().over(local))
-        .where(F.col("_rn") <= n)
-        .drop("_rn", "_part")
-    )
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(by))
-    wanted = F.col("_rn") <= (F.lit(n) if limit is None else F.least(F.lit(n), limit))
-    return thin.withColumn("_rn", place).where(wanted).select(*names)
+    placed = df.withColumn("_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(by)))
+    kept = placed.where(F.col("_rn") <= n)
+    if limit is not None:
+        kept = kept.where(F.col("_rn") <= limit)
+    return kept.select(*names)
 
 
 def last_rows(df: DataFrame, n: int, keys: Sequence[str] = ("symbol",), date: str = "timestamp") -> DataFrame:
