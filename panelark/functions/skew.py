@@ -13,7 +13,9 @@ bounded table is what reaches the driver and what is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -92,6 +94,23 @@ def _nest(edges: list[float]) -> list[list[float]]:
     return [edges[i : i + RANGES_PER_CHUNK] for i in range(0, len(edges), RANGES_PER_CHUNK)]
 
 
+_BALANCED: ContextVar[frozenset] = ContextVar("balanced_keys", default=frozenset())
+
+
+@contextmanager
+def balanced(keys: Sequence[str]) -> Iterator[None]:
+    """Plans built inside take the groups of ``keys`` as checked and not hot.
+
+    For chains of steps that keep the rows of a frame whose groups were counted
+    once, so that not every step counts them again.
+    """
+    token = _BALANCED.set(_BALANCED.get() | {tuple(keys)})
+    try:
+        yield
+    finally:
+        _BALANCED.reset(token)
+
+
 def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> HotSplit | None:
     """Find hot groups of ``keys`` and cut them into ranges of ``order``.
 
@@ -99,6 +118,8 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> HotSplit | None
     hot group, and None after one narrow counting job when no group is hot.
     """
     keys = list(keys)
+    if tuple(keys) in _BALANCED.get():
+        return None
     size = input_bytes(df)
     if size is not None and size < _setting(df, SMALL_INPUT_CONF, SMALL_INPUT_BYTES):
         return None

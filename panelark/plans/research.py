@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelark.functions.skew import balanced, split_hot
 from panelark.operators import backtest, cross_asset, drift, ic, models, quality, selection, sentiment
 from panelark.operators.folds import holdout_split
 from panelark.operators.price import price_features
@@ -20,10 +21,22 @@ COMPARED = ["ic", "t_stat", "sharpe", "dsr_41", "dsr_100", "dsr_200", "max_drawd
 
 
 def feature_matrix(bars: DataFrame, sectors: DataFrame | None = None) -> DataFrame:
-    """Bars to bars plus all features, label and sector-neutral label."""
-    df = price_features(bars)
-    df = cross_asset.cross_asset_features(df, BENCH_COL)
-    df = sentiment.headline_features(sentiment.sentiment_features(df))
+    """Bars to bars plus all features, label and sector-neutral label.
+
+    The steps keep the rows of ``bars``, so the symbols are checked for hot ones
+    only once.
+    """
+
+    def build() -> DataFrame:
+        df = price_features(bars)
+        df = cross_asset.cross_asset_features(df, BENCH_COL)
+        return sentiment.headline_features(sentiment.sentiment_features(df))
+
+    if split_hot(bars, ["symbol"], "timestamp") is None:
+        with balanced(["symbol"]):
+            df = build()
+    else:
+        df = build()
     df = cross_asset.sector_neutral(cross_asset.tag_sectors(df, sectors))
     return sanitize(df, selection.candidate_features(df))
 

@@ -8,10 +8,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelark.functions.ranks import average_rank, running_counts
-from panelark.functions.skew import split_hot
+from panelark.functions.skew import balanced, split_hot
 from panelark.functions.stats import bootstrap_mean_ci, newey_west
 from panelark.functions.windows import fill_gaps, over_series, per_group, running
-from panelark.operators import backtest, live, price
+from panelark.operators import backtest, drift, live, price
 from panelark.operators.weights import cash_weights
 
 SETTINGS = {
@@ -66,6 +66,18 @@ def test_small_input_is_never_split(spark, skewed):
     assert split_hot(skewed, ["symbol"], "timestamp") is None
 
 
+def test_checked_keys_are_not_counted_again(hot, skewed):
+    with balanced(["symbol"]):
+        assert split_hot(skewed, ["symbol"], "timestamp") is None
+    assert split_hot(skewed, ["symbol"], "timestamp") is not None
+
+
+def test_drift_with_hot_features(spark, skewed):
+    cut = F.col("timestamp") < F.lit(dt.datetime(2020, 1, 10)).cast("timestamp_ntz")
+    names = ["close", "tied", "gap"]
+    both_ways(spark, lambda: drift.drift_table(skewed.where(cut), skewed.where(~cut), names), ["feature"])
+
+
 def test_hot_group_is_found_and_counted(hot, skewed):
     split = split_hot(skewed, ["symbol"], "timestamp")
     assert {r["symbol"] for r in split.table.collect()} == {"S0"}
