@@ -8,7 +8,7 @@ text may be cut there: the ids of the text are the ids of its pieces in order.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 
@@ -44,25 +44,26 @@ class PieceCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. The texts hold no special token."""
-        cut = [pieces(t) for t in texts]
-        wanted = set()
-        for parts in cut:
-            wanted.update(parts[1:])
-        heads = self.encode([parts[0] for parts in cut])
+    def learn(self, keys: Iterable[str], before: str = "") -> None:
+        """Make sure that the ids of these keys, each with ``before`` before it, are among the young ones."""
+        wanted = set(keys)
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
         missing = []
-        for part in wanted.difference(young):
-            if (known := old.get(part)) is None:
-                missing.append(part)
+        for key in wanted.difference(self.young):
+            if (known := self.old.get(key)) is None:
+                missing.append(key)
             else:
-                young[part] = known
+                self.young[key] = known
         if missing:
-            young.update(zip(missing, self.encode_pieces([" " + part for part in missing]), strict=True))
-        get = young.__getitem__
+            self.young.update(zip(missing, self.encode_pieces([before + key for key in missing]), strict=True))
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text. The texts hold no special token."""
+        cut = [pieces(t) for t in texts]
+        heads = self.encode([parts[0] for parts in cut])
+        self.learn((part for parts in cut for part in parts[1:]), " ")
+        get = self.young.__getitem__
         return [head + b"".join(map(get, parts[1:])) for head, parts in zip(heads, cut, strict=True)]
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from panelark.llm import token_files
+from panelark.llm import bpe, token_files
 
-QUERIES = {"op2_token_files": token_files.query}
+QUERIES = {
+    "op2_token_files": token_files.query,
+    "op6_bpe": bpe.query,
+}
 ORACLES: dict[str, str] = {}
