@@ -39,7 +39,7 @@ class PieceCache:
     kept is encoded again, so the limit bounds memory and changes no result.
     """
 
-    def __init__(self, encode: Encode, encode_pieces: Encode | None = None, limit: int = 150_000):
+    def __init__(self, encode: Encode, encode_pieces: Encode | None = None, limit: int = 400_000):
         self.encode, self.encode_pieces, self.limit = encode, encode_pieces or encode, limit
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
