@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, language_id, secrets, token_files, url_filter
+from panelark.llm import bpe, language_id, quality, secrets, token_files, url_filter
 
 QUERIES = {
     "op2_token_files": token_files.query,
     "op4_secrets": secrets.query,
     "op5_url_filter": url_filter.query,
     "op6_bpe": bpe.query,
+    "op7_quality": quality.query,
     "op9_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {}
