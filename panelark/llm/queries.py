@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, language_id, quality, secrets, token_files, url_filter
+from panelark.llm import bpe, language_id, quality, secrets, substring_dedup, token_files, url_filter
 
 QUERIES = {
+    "op1_substring_dedup": substring_dedup.query,
     "op2_token_files": token_files.query,
     "op4_secrets": secrets.query,
     "op5_url_filter": url_filter.query,
