@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, language_id, quality, secrets, substring_dedup, token_files, url_filter
+from panelark.llm import bpe, jaccard, language_id, quality, secrets, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_url_filter": url_filter.query,
     "op6_bpe": bpe.query,
     "op7_quality": quality.query,
+    "op8_jaccard": jaccard.query,
     "op9_language_id": language_id.query,
 }
 ORACLES: dict[str, str] = {}
