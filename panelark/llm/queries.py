@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, jaccard, language_id, quality, secrets, substring_dedup, token_files, url_filter
+from panelark.llm import bpe, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op7_quality": quality.query,
     "op8_jaccard": jaccard.query,
     "op9_language_id": language_id.query,
+    "op10_lm_scoring": lm_scoring.query,
 }
 ORACLES: dict[str, str] = {}
