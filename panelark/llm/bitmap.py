@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,10 @@ class Bitmap(NamedTuple):
     bits: int
     data: np.ndarray
 
+    @classmethod
+    def none(cls, bits: int) -> Bitmap:
+        return cls(bits, np.zeros(1 << (bits - 3), np.uint8))
+
     @property
     def empty(self) -> bool:
         return not self.data.any()
@@ -27,8 +33,6 @@ class Bitmap(NamedTuple):
 
 
 def _words(batches):
-    import pyarrow as pa
-
     for batch in batches:
         bit = batch["bit"].to_numpy()
         row, start = np.unique(bit // WORD, return_index=True)
@@ -64,18 +68,17 @@ def collect_bitmap(hashes: DataFrame, bits: int) -> Bitmap:
     return Bitmap(bits, data)
 
 
-def split_by(df: DataFrame, bitmap: Bitmap, hashed: str) -> tuple[DataFrame, DataFrame]:
-    """Rows whose hash column is in the bitmap, and the others. A null hash is in neither bitmap."""
-
-    def part(wanted: bool):
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                own = batch[hashed].fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
-                mask = bitmap.has(own) & batch[hashed].is_valid().to_numpy(zero_copy_only=False)
-                yield batch.filter(pa.array(mask == wanted))
+def only(batches: Iterator[pa.RecordBatch], column: str, inside: Bitmap | None = None, outside: Bitmap | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows whose hash column is in one bitmap and not in another. A null hash is in no bitmap.
 
-        return df.mapInArrow(run, df.schema)
-
-    return part(True), part(False)
+    Used within a task's own function, so that a task needs one Python worker.
+    """
+    for batch in batches:
+        hashes = batch[column].fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        valid = batch[column].is_valid().to_numpy(zero_copy_only=False)
+        keep = np.ones(batch.num_rows, bool)
+        if inside is not None:
+            keep &= inside.has(hashes) & valid
+        if outside is not None:
+            keep &= ~(outside.has(hashes) & valid)
+        yield batch if keep.all() else batch.filter(pa.array(keep))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelark.llm.bitmap import Bitmap, collect_bitmap, split_by
+from panelark.llm.bitmap import Bitmap, collect_bitmap, only
 from panelark.llm.common import bounded_batches, documents, pick, saved
 from panelark.llm.words import grams, text_batches, words
 
@@ -124,12 +124,17 @@ def _prefixes(frequency: np.ndarray, shared: Bitmap | None):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in text_batches(batches):
-        sets = {class_key(s): s for s in shingle_sets(batch["text"]) if len(s)}
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["c", "shingles"]
-        )
+def _packed(carriers: Bitmap):
+    """Sets (c, shingles) of the rows whose id's hash is in the bitmap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(only(batches, "_h", inside=carriers)):
+            sets = {class_key(s): s for s in shingle_sets(batch["text"]) if len(s)}
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(sets), pa.int64()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["c", "shingles"]
+            )
+
+    return run
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,8 +151,8 @@ def verified(pairs: DataFrame, rows: DataFrame, lowest: DataFrame, bits: int) ->
     """The pairs (u, v) of classes whose sets are similar. ``rows`` has the texts, ``lowest`` an id of each class."""
     asked = pairs.select(F.explode(F.array("u", "v")).alias("c")).distinct()
     carriers = collect_bitmap(asked.join(lowest, "c").select(F.xxhash64("low").alias("a")), bits)
-    carrying, _ = split_by(rows.withColumn("_h", F.xxhash64("doc_id")), carriers, "_h")
-    sets = saved(carrying.select("text").mapInArrow(_packed, "c bigint, shingles binary").join(asked, "c", "left_semi"), "sets")
+    carrying = rows.select("text", F.xxhash64("doc_id").alias("_h"))
+    sets = saved(carrying.mapInArrow(_packed(carriers), "c bigint, shingles binary").join(asked, "c", "left_semi"), "sets")
     one = sets.select(F.col("c").alias("u"), F.col("shingles").alias("one"))
     other = sets.select(F.col("c").alias("v"), F.col("shingles").alias("other"))
     return pairs.join(one, "u").join(other, "v").select("u", "v", "one", "other").mapInArrow(_similar, "u bigint, v bigint").distinct()

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelark.llm.bitmap import Bitmap, collect_bitmap, split_by
+from panelark.llm.bitmap import Bitmap, collect_bitmap, only
 from panelark.llm.common import bounded_batches, documents, pick, saved
 from panelark.llm.words import Words, grams, text_batches, words
 
@@ -92,11 +92,11 @@ class Stretches:
         self.live &= np.cumsum(edge[:-1]) > 0
 
 
-def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place: bool):
+def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place: bool, skip: Bitmap):
     """Emits (a, doc_id) or (a, b, doc_id, t, place) of the level after the given filters; b is 32 bits of a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
+        for batch in text_batches(only(batches, "_h", outside=skip)):
             stretches = Stretches(batch["text"], window)
             for length, repeated in zip(lengths, filters):
                 stretches.narrow(length, repeated)
@@ -113,11 +113,11 @@ def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place:
     return run
 
 
-def _kept(window: int):
+def _kept(window: int, skip: Bitmap | None = None, skip_too: Bitmap | None = None):
     """Words left after the windows at ``places`` are taken out; [-1] stands for all places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(batches):
+        for batch in text_batches(only(only(batches, "_h", outside=skip), "_h", outside=skip_too)):
             found = words(batch["text"])
             first = found.first
             n = np.diff(first)
@@ -146,16 +146,23 @@ def _kept(window: int):
     return run
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE, bits: int = BITS) -> DataFrame:
+def repeated_windows(docs: DataFrame, spared: DataFrame, skip: Bitmap, window: int = WINDOW, base: int = BASE, bits: int = BITS) -> DataFrame:
     """(doc_id, t, places): the windows of each row whose words also start a window in a document with a smaller id.
 
-    ``docs`` has doc_id (no nulls), text and ``t``, a hash of the text that tells
-    rows with one id apart. Rows without such a window have none.
+    ``docs`` has doc_id (no nulls), its hash ``_h``, text and ``t``, a hash of the
+    text that tells rows with one id apart. Rows in the bitmap ``skip`` are left
+    out, but for those in ``spared``. Rows without such a window have none.
     """
     lengths, filters = levels(base, window), []
     kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def level(with_place: bool, schema: str) -> DataFrame:
+        each = [(docs, skip), (spared, Bitmap.none(skip.bits))]
+        one, two = (part.mapInArrow(_windows(lengths, list(filters), window, with_place, left_out), schema) for part, left_out in each)
+        return one.unionByName(two)
+
     for _ in lengths[:-1]:
-        seen = docs.mapInArrow(_windows(lengths, list(filters), window, False), f"a bigint, doc_id {kind}")
+        seen = level(False, f"a bigint, doc_id {kind}")
         twice = seen.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
         repeated = collect_bitmap(twice.select("a"), bits)
         if repeated.empty:
@@ -163,7 +170,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, base: int = BASE, bi
             return docs.sparkSession.createDataFrame([], none)
         filters.append(repeated)
     # read twice: the windows take more room on disk than time to make again
-    last = docs.mapInArrow(_windows(lengths, filters, window, True), f"a bigint, b int, doc_id {kind}, t int, place int")
+    last = level(True, f"a bigint, b int, doc_id {kind}, t int, place int")
     first = last.groupBy("a", "b").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     later = last.join(first.select("a", "b", "low"), ["a", "b"]).where("doc_id > low")
     return later.groupBy("doc_id", "t").agg(F.collect_list("place").alias("places"))  # at most a text's windows
@@ -186,22 +193,24 @@ def dedup(
     texts = rows.where("doc_id is not null and text is not null").select("doc_id", F.sha2("text", 256).alias("sha"))
     lowest = texts.groupBy("sha").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
     copies = saved(texts.join(lowest, "sha").where("doc_id > low").select("doc_id", "sha").distinct(), "copies")
-    maybe, others = split_by(rows, collect_bitmap(copies.select(F.xxhash64("doc_id").alias("a")), bits), "_h")
-    maybe = maybe.withColumn("sha", F.sha2("text", 256))
-    originals = others.unionByName(maybe.join(copies, ["doc_id", "sha"], "left_anti").drop("sha"))
-    copied = maybe.join(copies, ["doc_id", "sha"], "left_semi").drop("sha")
+    copied_ids = collect_bitmap(copies.select(F.xxhash64("doc_id").alias("a")), bits)
+    maybe = rows.mapInArrow(lambda batches: only(batches, "_h", inside=copied_ids), rows.schema).withColumn("sha", F.sha2("text", 256))
+    spared = saved(maybe.join(copies, ["doc_id", "sha"], "left_anti").select(rows.columns), "spared")  # rows that only share a bit with a copy
+    copied = maybe.join(copies, ["doc_id", "sha"], "left_semi")
 
-    places = saved(repeated_windows(originals.where("doc_id is not null").select("doc_id", "text", "t"), window, base, bits), "places")
+    compared = [r.where("doc_id is not null") for r in (rows, spared)]
+    places = saved(repeated_windows(*compared, copied_ids, window, base, bits), "places")
     # only documents that may lose words are shuffled; the others are done where they are read
-    maybe, others = split_by(originals, collect_bitmap(places.select(F.xxhash64("doc_id").alias("a")), bits), "_h")
-    none = F.lit(None).cast("array<int>").alias("places")
-    all_ = F.array(F.lit(-1)).alias("places")
-    parts = [maybe.join(places, ["doc_id", "t"], "left").select("doc_id", "text", "places"), others.select("doc_id", "text", none), copied.select("doc_id", "text", all_)]
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return (
-        parts[0].unionByName(parts[1]).unionByName(parts[2])
-        .mapInArrow(_kept(window), f"doc_id {kind}, n_words bigint, n_removed bigint, kept string")
-    )
+    hit = collect_bitmap(places.select(F.xxhash64("doc_id").alias("a")), bits)
+    none, everywhere = F.lit(None).cast("array<int>").alias("places"), F.array(F.lit(-1)).alias("places")
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_words bigint, n_removed bigint, kept string"
+    chosen = rows.mapInArrow(lambda batches: only(only(batches, "_h", outside=copied_ids), "_h", inside=hit), rows.schema).unionByName(spared)
+    parts = [
+        chosen.join(places, ["doc_id", "t"], "left").select(*rows.columns, "places").mapInArrow(_kept(window), schema),
+        rows.select("*", none).mapInArrow(_kept(window, copied_ids, hit), schema),
+        copied.select(*rows.columns, everywhere).mapInArrow(_kept(window), schema),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
