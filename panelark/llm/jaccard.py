@@ -37,7 +37,7 @@ NUMERATOR, DENOMINATOR = 3, 4  # least similarity
 FREQUENCY_BITS = 20
 BITS = 26
 MAX_MATCHES = 8
-STAR_ROUNDS = 8  # at most; further pairs are then listed whatever their number
+STAR_ROUNDS = 2  # at most; further pairs are then listed whatever their number
 OPEN_PAIRS = 4  # pairs per list entry up to which all open pairs are listed at once
 
 
@@ -193,15 +193,32 @@ def _fits(n: str, m: str) -> str:
     return f"{DENOMINATOR} * least({n}, {m}) >= {NUMERATOR} * greatest({n}, {m})"
 
 
+def _enough(m: str, n: str, k: str, other_n: str, other_k: str) -> str:
+    """Whether m shared prefix shingles leave room for a link.
+
+    Of the two prefixes one ends first in the global order. Shared shingles up to
+    there are in both prefixes, and all others come after that prefix, which has
+    n - ceil(3n/4) + k of the n shingles.
+    """
+    rest = [f"ceil({NUMERATOR}D * {a} / {DENOMINATOR}) - {b}" for a, b in ((n, k), (other_n, other_k))]
+    return f"{NUMERATOR + DENOMINATOR} * ({m} + greatest({rest[0]}, {rest[1]})) >= {NUMERATOR} * ({n} + {other_n})"
+
+
 def _star(lists: DataFrame, turn: int) -> DataFrame:
-    """One pair for each class: with that leader of its lists that it shares most entries with."""
-    salt = int(np.random.default_rng(turn).integers(1 << 62))
-    lead = lists.groupBy("a").agg(F.min(F.col("c").bitwiseXOR(F.lit(salt))).alias("x")).select("a", F.col("x").bitwiseXOR(F.lit(salt)).alias("u"))
+    """One pair for each class: with that leader of its lists that it shares most entries with.
+
+    A list is led by the class that is in most open lists, which of near copies
+    is the least changed one; after the first turn, by one outside the list's largest component.
+    """
+    degree = lists.groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
+    able = lists if not turn else lists.where("comp <> largest")
+    rank = F.col("degree") * (1 << 20) + F.pmod(F.xxhash64("c", F.lit(turn)), F.lit(1 << 20))
+    lead = able.select("a", "c").join(degree, "c").groupBy("a").agg(F.max_by("c", rank).alias("u"))
     shared = lists.join(lead, "a").where("c <> u").groupBy("u", "c").agg(
         F.count(F.lit(1)).alias("m"), F.min("n").alias("n"), F.min("k").alias("k"), F.min("comp").alias("comp")
     )
     leader = lists.groupBy(F.col("c").alias("u")).agg(F.min("n").alias("un"), F.min("k").alias("uk"), F.min("comp").alias("ucomp"))
-    good = shared.join(leader, "u").where(f"comp <> ucomp AND m >= least(k, uk) AND {_fits('n', 'un')}")
+    good = shared.join(leader, "u").where(f"comp <> ucomp AND m >= least(k, uk) AND {_fits('n', 'un')} AND {_enough('m', 'n', 'k', 'un', 'uk')}")
     return good.groupBy(F.col("c").alias("v")).agg(F.max_by("u", "m").alias("u")).select("u", "v")
 
 
@@ -215,7 +232,9 @@ def _all_open(lists: DataFrame) -> DataFrame:
     meet = f"""l_comp <> comp AND (comp = largest OR l_c < c) AND {_fits('l_n', 'n')} AND
       {NUMERATOR + DENOMINATOR} * (least(l_place, place) + least(l_n - l_place, n - place)) >= {NUMERATOR} * (l_n + n)"""
     pairs = left.join(lists, "a").where(meet).groupBy(F.col("l_c").alias("u"), F.col("c").alias("v"))
-    return pairs.agg(F.count(F.lit(1)).alias("m"), F.min(F.least("l_k", "k")).alias("k")).where("m >= k").select("u", "v")
+    own = {c: F.min(c).alias(c) for c in ("l_n", "l_k", "n", "k")}
+    counted = pairs.agg(F.count(F.lit(1)).alias("m"), *own.values())
+    return counted.where(f"m >= least(l_k, k) AND {_enough('m', 'l_n', 'l_k', 'n', 'k')}").select("u", "v")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
