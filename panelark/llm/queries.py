@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter
+from panelark.llm import bpe, decontamination, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_token_files": token_files.query,
+    "op3_decontamination": decontamination.query,
     "op4_secrets": secrets.query,
     "op5_url_filter": url_filter.query,
     "op6_bpe": bpe.query,
