@@ -37,8 +37,7 @@ NUMERATOR, DENOMINATOR = 3, 4  # least similarity
 FREQUENCY_BITS = 20
 BITS = 26
 MAX_MATCHES = 8
-STAR_ROUNDS = 2  # at most; further pairs are then listed whatever their number
-OPEN_PAIRS = 4  # pairs per list entry up to which all open pairs are listed at once
+STAR_ROUNDS = 1  # before all open pairs are listed
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
@@ -184,8 +183,8 @@ def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
     else:
         entries = entries.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
     size = entries.groupBy("a", "comp").agg(F.count(F.lit(1)).alias("m"))
-    lists = size.groupBy("a").agg(F.max_by("comp", "m").alias("largest"), F.max("m").alias("most"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("comps"))
-    lists = lists.where("comps > 1").select("a", "largest", ((F.col("all") - F.col("most")) * F.col("all")).alias("pairs"), "all")
+    lists = size.groupBy("a").agg(F.max_by("comp", "m").alias("largest"), F.count(F.lit(1)).alias("comps"))
+    lists = lists.where("comps > 1").select("a", "largest")
     return saved(entries.join(lists, "a"), "lists")
 
 
@@ -225,16 +224,23 @@ def _star(lists: DataFrame, turn: int) -> DataFrame:
 def _all_open(lists: DataFrame) -> DataFrame:
     """All candidate pairs of classes of different components.
 
-    In every list at least one of such a pair is outside the list's largest
-    component; that one is the left side.
+    First the pairs that share one of the first n - overlap + 1 shingles of both
+    sets, for the overlap that their two sizes ask for; they are few, as these
+    are the rarest ones. In a list at least one of such a pair is outside the
+    list's largest component; that one is the left side. Then the shingles that
+    a pair shares in its lengthened prefixes are counted.
     """
-    left = lists.where("comp <> largest").select("a", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "k", "place", "comp")])
-    meet = f"""l_comp <> comp AND (comp = largest OR l_c < c) AND {_fits('l_n', 'n')} AND
-      {NUMERATOR + DENOMINATOR} * (least(l_place, place) + least(l_n - l_place, n - place)) >= {NUMERATOR} * (l_n + n)"""
-    pairs = left.join(lists, "a").where(meet).groupBy(F.col("l_c").alias("u"), F.col("c").alias("v"))
-    own = {c: F.min(c).alias(c) for c in ("l_n", "l_k", "n", "k")}
-    counted = pairs.agg(F.count(F.lit(1)).alias("m"), *own.values())
-    return counted.where(f"m >= least(l_k, k) AND {_enough('m', 'l_n', 'l_k', 'n', 'k')}").select("u", "v")
+    both = NUMERATOR + DENOMINATOR
+    early = lists.where(f"place <= n - ceil({NUMERATOR}D * n / {DENOMINATOR})")
+    left = early.where("comp <> largest").select("a", *[F.col(c).alias(f"l_{c}") for c in ("c", "n", "place", "comp")])
+    meet = f"""l_comp <> comp AND (comp = largest OR l_c < c) AND {_fits('l_n', 'n')}
+      AND {both} * (l_n - l_place) >= {NUMERATOR} * (l_n + n) AND {both} * (n - place) >= {NUMERATOR} * (l_n + n)"""
+    pairs = left.join(early, "a").where(meet).select(F.col("l_c").alias("u"), F.col("c").alias("v")).distinct()
+    one = lists.select(F.col("c").alias("u"), "a", F.col("n").alias("u_n"), F.col("k").alias("u_k"))
+    other = lists.select(F.col("c").alias("v"), "a", "n", "k")
+    shared = pairs.join(one, "u").join(other, ["v", "a"]).groupBy("u", "v")
+    counted = shared.agg(F.count(F.lit(1)).alias("m"), *[F.min(c).alias(c) for c in ("u_n", "u_k", "n", "k")])
+    return counted.where(f"m >= least(u_k, k) AND {_enough('m', 'u_n', 'u_k', 'n', 'k')}").select("u", "v")
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
@@ -264,10 +270,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     links = comp = None
     for turn in range(STAR_ROUNDS + 1):
         lists = _open_lists(entries, comp)
-        size = lists.agg(F.count(F.lit(1)).alias("entries"), F.sum(F.col("pairs") / F.col("all")).alias("pairs")).first()
-        if not size["entries"]:
+        if lists.isEmpty():
             break
-        last = turn == STAR_ROUNDS or turn and size["pairs"] <= OPEN_PAIRS * size["entries"]
+        last = turn == STAR_ROUNDS
         pairs = saved(_all_open(lists) if last else _star(lists, turn), "pairs")
         if not pairs.isEmpty():
             new = saved(verified(pairs, named, lowest, bits), "links")
