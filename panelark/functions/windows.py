@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from panelark.functions.skew import split_hot
@@ -217,9 +217,11 @@ def fill_gaps(df: DataFrame, column: str, keys: Sequence[str] = ("symbol",), ord
 
 # --- exponentially weighted mean -------------------------------------------------
 
-# A block is long enough that the weight of everything before the previous block
-# is below 1e-30, and short enough that 1 / weight stays far from overflow.
+# A block has so many observations that the weight of everything before it is
+# below 1e-30, and short enough that 1 / weight stays far from overflow.
 _BLOCK_DECADES = 30.0
+# A gap after which the old weight is below this starts a block of its own; the old value then has no effect.
+_LEAST_WEIGHT = 1e-30
 # Decimal exponents a block may span without overflow.
 _LARGEST_DECADES = 280.0
 # Rows of history after which a start value has no effect at double precision.
@@ -235,10 +237,10 @@ def ewm_halo(alpha: float) -> int:
 
 
 def ewm_prepare(df: DataFrame, s: Series, columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
-    """Add row numbers, block numbers and gaps to the last observation of each column.
+    """Add row numbers, and per column block numbers and gaps to the last observation.
 
-    One block length serves all the given decay rates, so that every mean below
-    runs on the same sort order.
+    Blocks are counted in observations of the column, so rows without one stay in
+    the block of the last. One block length serves all the given decay rates.
     """
     block = max(ewm_block(a) for a in alphas)
     if block * -math.log10(1.0 - max(alphas)) > _LARGEST_DECADES:
@@ -249,10 +251,14 @@ def ewm_prepare(df: DataFrame, s: Series, columns: Sequence[str], alphas: Sequen
     )
     past = s.ordered.rowsBetween(Window.unboundedPreceding, -1)
     held = {c: F.last(F.when(F.col(c).isNotNull(), F.col("_ewm_k")), True).over(past) for c in columns}
-    return df.withColumns(
-        {"_ewm_blk": (F.col("_ewm_k") / block).cast("int")}
-        | {f"_ewm_gap_{c}": F.col("_ewm_k") - held[c] for c in columns}
-    )
+    df = df.withColumns({f"_ewm_gap_{c}": F.col("_ewm_k") - held[c] for c in columns})
+    # by the slowest decay: no mean still has a weight that matters after such a gap
+    longest = math.log(_LEAST_WEIGHT) / math.log1p(-min(alphas))
+    begins = {
+        c: F.col(c).isNotNull() & (((F.col(f"_ewm_seen_{c}") - 1) % block == 0) | F.coalesce(F.col(f"_ewm_gap_{c}") > longest, F.lit(False)))
+        for c in columns
+    }
+    return df.withColumns({f"_ewm_blk_{c}": F.sum(b.cast("int")).over(s.so_far()) for c, b in begins.items()})
 
 
 def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple]) -> DataFrame:
@@ -269,16 +275,23 @@ def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple]) -> DataFrame:
         x, gap = F.col(column), F.col(f"_ewm_gap_{rows_of}")
         old = F.pow(F.lit(1.0 - alpha), gap)
         first = gap.isNull()
-        step = F.when(x.isNull() | first, F.lit(1.0)).otherwise(old / (old + alpha))
+        # the least weight keeps a step's logarithm finite; what it stands for has no effect on a double
+        step = F.when(x.isNull() | first, F.lit(1.0)).otherwise(F.greatest(old / (old + alpha), F.lit(_LEAST_WEIGHT)))
         add = F.when(x.isNull(), F.lit(0.0)).when(first, x).otherwise(alpha * x / (old + alpha))
         maps |= {f"_{out}_a": F.ln(step), f"_{out}_b": add}
     names = [spec[0] for spec in specs]
     df = df.withColumns(maps)
-    inside = Window.partitionBy(*s.keys, "_ewm_blk").orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_{n}_p": F.exp(F.sum(f"_{n}_a").over(inside)) for n in names})
-    df = df.withColumns({f"_{n}_z": F.col(f"_{n}_p") * F.sum(F.col(f"_{n}_b") / F.col(f"_{n}_p")).over(inside) for n in names})
-    previous = Window.partitionBy(*s.keys).orderBy("_ewm_blk").rangeBetween(-1, -1)
-    carried = {n: F.max_by(F.col(f"_{n}_z"), F.col("_ewm_k")).over(previous) for n in names}
+    blocks = {spec[0]: f"_ewm_blk_{spec[4]}" for spec in specs}
+
+    def inside(n: str) -> WindowSpec:
+        return Window.partitionBy(*s.keys, blocks[n]).orderBy(s.order).rowsBetween(Window.unboundedPreceding, 0)
+
+    df = df.withColumns({f"_{n}_p": F.exp(F.sum(f"_{n}_a").over(inside(n))) for n in names})
+    df = df.withColumns({f"_{n}_z": F.col(f"_{n}_p") * F.sum(F.col(f"_{n}_b") / F.col(f"_{n}_p")).over(inside(n)) for n in names})
+    carried = {
+        n: F.max_by(F.col(f"_{n}_z"), F.col("_ewm_k")).over(Window.partitionBy(*s.keys).orderBy(blocks[n]).rangeBetween(-1, -1))
+        for n in names
+    }
     values = {}
     for out, _column, _alpha, least, rows_of in specs:
         value = F.col(f"_{out}_z") + F.col(f"_{out}_p") * F.coalesce(carried[out], F.lit(0.0))

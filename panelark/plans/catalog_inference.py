@@ -153,12 +153,11 @@ BOOT_SHAPE = boot_ctes("ic2", "feature", '"timestamp"', 500, "avg(ic) AS m").rep
 
 @query(
     "block_bootstrap_ci",
-    f"""WITH {LONG_CTE}, {FIC}, ic2 AS (SELECT * FROM ic WHERE feature IN ('return_5d', 'momentum_12_1')), {BOOT_SHAPE}
+    f"""WITH {LONG_CTE}, {FIC}, ic2 AS (SELECT * FROM ic), {BOOT_SHAPE}
     SELECT feature, {R("quantile_cont(m, 0.025)", "ci_low")}, {R("quantile_cont(m, 0.975)", "ci_high")} FROM bs GROUP BY 1""",
 )
 def _(t):
-    rows_long = ic.long_features(features(t), ["return_5d", "momentum_12_1"])
-    daily = ic.daily_rank_ic(rows_long, "x", "y", by=["feature"])
+    daily = ic.daily_rank_ic(long(t), "x", "y", by=["feature"])
     return tidy(bootstrap_mean_ci(daily, "ic", "timestamp", ["feature"]))
 
 

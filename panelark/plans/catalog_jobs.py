@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from panelark.operators import folds as fold_ops
@@ -11,14 +13,14 @@ from panelark.plans.catalog_features import KEYS, LABEL, W, chg
 from panelark.plans.catalog_inference import FEAT_CTE, features, ic_ctes
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
 from panelark.session import cut_lineage, scratch_path
-from panelark.sources import files, sinks, synthetic
+from panelark.sources import files, sinks
 from panelark.streaming import jobs
 
 # --- files ------------------------------------------------------------------------------
 
 
 def _vendor_files(t) -> str:
-    """Bars as CSV in two vendor layouts, one with other names and without open, high and low."""
+    """Bars as CSV in two vendor layouts, one with other names, without open, high and low, and with many columns before them."""
     folder = scratch_path(t.spark, "vendor")
     bars = t.bars
     full = bars.where("symbol < 'S000050'").select(
@@ -27,6 +29,7 @@ def _vendor_files(t) -> str:
         F.col("close").alias("Close"), F.col("volume").alias("Volume"),
     )
     slim = bars.where("symbol >= 'S000050'").select(
+        *[F.lit("x").alias(f"Field {i}") for i in range(70)],
         F.col("volume").cast("string").alias("Volume"), F.lit("n/a").alias("Turnover"), F.col("close").alias("Last"),
         F.col("symbol").alias("Ticker"), F.col("timestamp").alias("Trade Date"), F.col("sentiment").alias("News Sentiment"),
     )
@@ -97,9 +100,10 @@ def _(t):
     """Dates are written, the last one again; the reader sees the last date once."""
     folder = scratch_path(t.spark, "signals")
     rows = features(t).select("symbol", F.col("timestamp").alias("signal_date"), (-F.col("return_5d")).alias("prediction"))
-    recent = rows.where(F.col("signal_date") >= F.lit("2001-10-01").cast("timestamp_ntz"))
-    sinks.write_signals(recent, folder)
-    sinks.write_signals(recent.where(F.col("signal_date") >= F.lit("2001-11-01").cast("timestamp_ntz")), folder)
+    last = rows.agg(F.max("signal_date")).first()[0]
+    since = lambda days: rows.where(F.col("signal_date") >= F.lit(last - dt.timedelta(days=days)).cast("timestamp_ntz"))
+    sinks.write_signals(since(60), folder)  # a run writes the dates since the last one
+    sinks.write_signals(since(30), folder)
     return tidy(sinks.latest_signals(t.spark, folder))
 
 
@@ -114,23 +118,6 @@ def _(t):
     return tidy(t.spark.read.schema("symbol string, n bigint, top double").json(folder))
 
 
-@query(
-    "synthetic_bars",
-    f"""WITH RECURSIVE s AS (SELECT DISTINCT symbol FROM (SELECT CASE s_nationkey % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'B' ELSE 'C' END AS symbol FROM supplier)),
-    nd AS (SELECT count(*)::INT AS n FROM supplier), r AS (
-     SELECT symbol, 0 AS day, 100e0 * (1 + 0.0008e0 * (CASE symbol WHEN 'A' THEN 1e0 WHEN 'B' THEN -0.5e0 ELSE 0.2e0 END) + 0.002e0 * (0 - 3) / 3) AS c,
-       floor(1000 * (1 + 0.02e0 * (0 - 2)))::BIGINT AS v FROM s
-     UNION ALL SELECT symbol, day + 1, c * (1 + 0.0008e0 * (CASE symbol WHEN 'A' THEN 1e0 WHEN 'B' THEN -0.5e0 ELSE 0.2e0 END)
-       + 0.002e0 * ((day + 1) % 7 - 3) / 3), floor(v * (1 + 0.02e0 * ((day + 1) % 5 - 2)))::BIGINT FROM r, nd WHERE day + 1 < n)
-    SELECT symbol, TIMESTAMP '2024-01-01' + to_days(day) AS "timestamp", {R("c", "close", 4)}, v AS volume FROM r""",
-)
-def _(t):
-    """As many days as the supplier table has rows."""
-    days = t["supplier"].count()
-    bars = synthetic.synthetic_bars(t.spark, days)
-    return tidy(bars.select(*KEYS, "close", "volume"), 4)
-
-
 # --- models -----------------------------------------------------------------------------
 
 MODEL_FEATURES = ["return_1d", "return_5d", "return_20d", "volume_change", "sentiment", "norm_atr_14"]
@@ -268,13 +255,16 @@ def _collected(t, stream, label: str):
     return t.spark.read.parquet(f"{folder}/out")
 
 
-@query("stream_bar_ingest", CSV_SQL + " WHERE symbol < 'S000050'")
+@query("stream_bar_ingest", CSV_SQL)
 def _(t):
+    """One stream for each vendor layout."""
     folder = _vendor_files(t)
-    header = ["Date", "Symbol", "Open", "High", "Low", "Close", "Volume"]
-    stream = jobs.bar_stream(t.spark, f"{folder}/full", header, files_per_trigger=3)
-    bars = _collected(t, stream, "ingest")
-    return tidy(bars.select(*KEYS, *CSV_COLUMNS))
+    headers = {
+        "full": ["Date", "Symbol", "Open", "High", "Low", "Close", "Volume"],
+        "slim": [*[f"Field {i}" for i in range(70)], "Volume", "Turnover", "Last", "Ticker", "Trade Date", "News Sentiment"],
+    }
+    full, slim = (_collected(t, jobs.bar_stream(t.spark, f"{folder}/{k}", h, files_per_trigger=3), k) for k, h in headers.items())
+    return tidy(price.with_ohlc(full.unionByName(slim)).select(*KEYS, *CSV_COLUMNS))
 
 
 @query(

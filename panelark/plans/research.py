@@ -132,7 +132,7 @@ def run_research(
         "net_returns": net,
     }
     if reference is not None:
-        tables["drift"] = drift.drift_table(reference, df, selected[:5])
+        tables["drift"] = drift.drift_table(reference, df, selected)
     return ResearchResult(tables, candidates, accepted, selected)
 
 
@@ -200,7 +200,7 @@ def score_universe(features: DataFrame, bundle: Bundle, held: DataFrame | None =
     window = drift.evaluation_window(features)
     return {
         "signals": signals,
-        "drift": drift.drift_table(bundle.reference, window, names[:8]),
+        "drift": drift.drift_table(bundle.reference, window, names),
         "gate": drift.drift_gate(bundle.reference, window, names),
     }
 

@@ -23,7 +23,6 @@ from panelark.schema import (
     NEWS_FLAGS,
 )
 
-MAX_COLUMNS = 64
 DATE_FORMATS = ("yyyy/MM/dd", "dd-MM-yyyy", "dd/MM/yyyy", "dd-MMM-yyyy", "yyyyMMdd")
 
 
@@ -70,22 +69,26 @@ def read_cells(
     columns: dict[str, Sequence[str]],
     needed: Sequence[str],
     recursive: bool = False,
-    max_columns: int = MAX_COLUMNS,
 ) -> DataFrame:
     """(file_name, place, cells, at_<column>) rows of CSV files.
 
+    A file without a header line fails the query with its name. The number of
+    cells is that of the widest line, counted in a pass of its own.
+
     ``columns`` maps a canonical column to its accepted header names; a line
     naming one of each ``needed`` column is the header of its file. ``at_<column>``
     lists the cells that hold the column, worked out once per file. ``place``
     orders the rows of a folder.
     """
-    cells = [F.col(f"c{i}") for i in range(max_columns)]
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(max_columns)])
-    reader = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
-    reader = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive)
-    raw = reader.csv(_paths(paths))
-    if not raw.inputFiles():
+    if not has_files(spark, paths, "*.csv", recursive):
         raise ValueError("no CSV files found")
+    text = spark.read.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).text(_paths(paths))
+    commas = F.length("value") - F.length(F.replace("value", F.lit(","), F.lit("")))
+    width = (text.agg(F.max(commas)).first()[0] or 0) + 1
+    cells = [F.col(f"c{i}") for i in range(width)]
+    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    reader = spark.read.schema(schema).option("header", False).option("mode", "PERMISSIVE")
+    raw = reader.option("pathGlobFilter", "*.csv").option("recursiveFileLookup", recursive).csv(_paths(paths))
     # one pattern per needed column over the joined line keeps the generated code small
     line = F.concat_ws("|", F.lit(""), *cells, F.lit(""))
     is_header = F.lit(True)
@@ -109,9 +112,11 @@ def read_cells(
         each = [F.nullif(F.coalesce(F.array_position("_names", n), F.lit(0)), F.lit(0)).cast("int") - 1 for n in names]
         return F.array_compact(F.array(*each))
 
-    headers = found.select("file", *[positions(a).alias(f"at_{n}") for n, a in columns.items()])
+    headers = found.select("file", F.lit(True).alias("_known"), *[positions(a).alias(f"at_{n}") for n, a in columns.items()])
     # one header per file: the join method is left to the runtime size check
-    return lines.where(~F.col("_header")).drop("_header").join(headers, "file").drop("file")
+    rows = lines.where(~F.col("_header")).drop("_header").join(headers, "file", "left")
+    missing = F.raise_error(F.concat(F.lit(f"no header line naming {', '.join(needed)} in "), F.col("file")))
+    return rows.withColumn("cells", F.when(F.col("_known"), F.col("cells")).otherwise(missing)).drop("file", "_known")
 
 
 def cell(column: str, names: Sequence[str]) -> Column:
@@ -156,15 +161,13 @@ def read_news(spark: SparkSession, paths: str | Iterable[str], json_lines: bool
     aliases = NEWS_ALIASES | {f: [f] for f in NEWS_FLAGS}
     csv = [p for p in found if not p.endswith(".json")]
     if csv:
-        try:
+        if has_files(spark, csv, "*.csv", recursive=True):
             cells = read_cells(spark, csv, aliases, ["timestamp", "symbol"], recursive=True)
             parts.append(cells.select(*news_columns(_texts(aliases))))
-        except ValueError:
-            pass  # a folder with JSON files only
     json = [p for p in found if not p.endswith(".csv")]
     if json:
         reader = spark.read.option("multiLine", not json_lines).option("recursiveFileLookup", True)
-        raw = reader.option("pathGlobFilter", "*.json").json(json) if _has_json(spark, json) else None
+        raw = reader.option("pathGlobFilter", "*.json").json(json) if has_files(spark, json, "*.json", recursive=True) else None
         if raw is not None:
             have = {c.strip().lower().replace(" ", "_"): c for c in raw.columns}
             none = F.lit(None).cast("string")
@@ -181,9 +184,9 @@ def read_news(spark: SparkSession, paths: str | Iterable[str], json_lines: bool
     return out
 
 
-def _has_json(spark: SparkSession, paths: Sequence[str]) -> bool:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
-    return bool(files.load(list(paths)).inputFiles())
+def has_files(spark: SparkSession, paths: str | Iterable[str], pattern: str, recursive: bool = False) -> bool:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern)
+    return bool(files.load(_paths(paths)).inputFiles())
 
 
 def news_columns(text: dict[str, Column]) -> list[Column]:

@@ -449,3 +449,37 @@ def test_walk_forward_learns_a_planted_signal(spark):
 def test_pruning_keeps_the_better_of_two_copies(spark):
     df = panel(spark, 0.3).withColumn("copy", F.col("good") * 3)
     assert selection.prune_redundant(df, ["good", "copy", "noise"]) == ["good", "noise"]
+
+
+def test_ewm_keeps_its_value_over_long_gaps(spark):
+    from panelark.functions.windows import Series, ewm
+
+    stamps = [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(9000)]
+    x = [100.0] * 5 + [None] * 3000 + [50.0, 40.0] + [None] * 40 + [60.0] + [None] * 8000
+    x = (x + [float(i % 7) for i in range(9000)])[:3060] + [float(i % 7) for i in range(9000 - 3060)]
+    df = spark.createDataFrame([(t, "A", v) for t, v in zip(stamps, x)], "timestamp timestamp_ntz, symbol string, x double")
+    got = ewm(df, Series(["symbol"], "timestamp"), "x", 0.1, "y").orderBy("timestamp").toPandas()["y"]
+    want = pd.Series(x, dtype=float).ewm(alpha=0.1, adjust=False).mean()
+    assert np.allclose(got, want, rtol=1e-9)
+
+
+def test_a_file_without_a_header_fails_and_wide_files_are_read(spark, tmp_path):
+    from panelark.sources import files
+
+    (tmp_path / "a.csv").write_text(",".join([f"f{i}" for i in range(70)]) + ",Date,Close\n" + ",".join("x" * 70) + ",2024-01-02,5\n")
+    rows = files.read_bars(spark, str(tmp_path)).collect()
+    assert [(r.symbol, r.close) for r in rows] == [("A", 5.0)]
+    (tmp_path / "b.csv").write_text("when,Close\n2024-01-02,5\n")
+    with pytest.raises(Exception, match="no header line naming timestamp, close in .*b.csv"):
+        files.read_bars(spark, str(tmp_path)).collect()
+
+
+def test_quality_marks_count_repeated_keys(spark):
+    from panelark.operators.quality import quality_gate
+
+    rng = np.random.default_rng(1)
+    rows = [(dt.datetime(2024, 1, 1 + i % 28), f"S{i}", float(a), float(b)) for i, (a, b) in enumerate(rng.random((60, 2)))]
+    df = spark.createDataFrame(rows * 2, "timestamp timestamp_ntz, symbol string, a double, b double")
+    assert [r.reason for r in quality_gate(df, ["a", "b"]).collect()] == [None, None]
+    again = quality_gate(df.withColumn("c", df.a), ["a", "b", "c"]).orderBy("place").collect()
+    assert [r.reason for r in again] == [None, None, "Duplicate feature vector"]
