@@ -145,8 +145,12 @@ def nested_selection(
     top_k: int = 15,
     min_ic: float = 0.01,
     max_corr: float = 0.90,
+    fallback: int = 10,
 ) -> dict[int, list[str]]:
-    """Feature names per fold, chosen from the fold's training rows only."""
+    """Feature names per fold, chosen from the fold's training rows only.
+
+    Where no feature reaches ``min_ic``, the ``fallback`` best ones are pruned instead.
+    """
     scores = nested_scores(df, features, folds, target)
     chosen: dict[int, list[str]] = {}
     for fold in fold_numbers(folds):
@@ -154,7 +158,7 @@ def nested_selection(
         importance = tree_importance(train, features, target)
         table = scores.where(F.col("fold") == fold).join(importance, "feature", "left").fillna(0.0)
         ranked = composite_score(table).orderBy(F.desc("score"), "feature").select("feature", "mean_ic").collect()
-        names = [r["feature"] for r in ranked if abs(r["mean_ic"]) >= min_ic] or [r["feature"] for r in ranked[:10]]
+        names = [r["feature"] for r in ranked if abs(r["mean_ic"]) >= min_ic] or [r["feature"] for r in ranked[:fallback]]
         chosen[fold] = prune_redundant(train, names, max_corr, top_k) or list(features)[:top_k]
     return chosen
 

@@ -312,8 +312,33 @@ def _(t):
 )
 def _(t):
     pairs = t["orders"].join(t["lineitem"], F.col("o_orderkey") == F.col("l_orderkey"))
-    before = F.coalesce(F.col("o_orderdate") < F.col("l_shipdate"), F.lit(False))
-    return pairs.groupBy("o_orderpriority").agg(F.bool_and(before).alias("available"), F.count(F.lit(1)).alias("n"))
+    return quality.available_in_time(pairs, "o_orderdate", "l_shipdate", ["o_orderpriority"])
+
+
+@query(
+    "feature_lag_check",
+    """WITH s AS (SELECT 'f' || n_nationkey || CASE WHEN n_nationkey % 4 = 0 THEN '_future' ELSE '' END AS name, (n_nationkey % 5 - 1)::INT AS lag
+      FROM nation)
+    SELECT name, lag, CASE WHEN lag < 0 THEN 'negative lag' ELSE 'zero lag on target-like name' END AS issue
+    FROM s WHERE lag < 0 OR (lag = 0 AND contains(name, 'future'))""",
+)
+def _(t):
+    future = F.when(F.col("n_nationkey") % 4 == 0, "_future").otherwise("")
+    name = F.concat(F.lit("f"), F.col("n_nationkey").cast("string"), future)
+    lag = (F.col("n_nationkey") % 5 - 1).cast("int")
+    return quality.bad_lags(t["nation"].select(name.alias("name"), lag.alias("lag")))
+
+
+@query(
+    "target_columns",
+    f"""WITH {FEAT_CTE} SELECT symbol, count(*) AS n, {R("avg(future_return_5d)", "label")}, 'future_volume' AS found FROM feat GROUP BY 1""",
+)
+def _(t):
+    """Columns that name the future beside the label are reported."""
+    rows = features(t).withColumn("future_volume", F.col("return_5d"))
+    found = ",".join(quality.target_contamination(rows))
+    out = rows.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.avg("future_return_5d").alias("label"))
+    return tidy(out.withColumn("found", F.lit(found)))
 
 
 SESSION_SQL = f"""WITH {TICKS_CTE}, g AS (SELECT *, abs({chg('close', 1)}) AS gap FROM ticks WINDOW w AS ({W})),
@@ -469,7 +494,8 @@ def _(t):
 
 @query(
     "drift_evaluation_window",
-    f"""WITH {FEAT_CTE} SELECT symbol, "timestamp", {R('return_5d')} FROM feat ORDER BY "timestamp" DESC, symbol LIMIT 3000""",
+    f"""WITH {FEAT_CTE} SELECT symbol, "timestamp", {R('return_5d')} FROM feat
+    WHERE "timestamp" > (SELECT max("timestamp") FROM feat) - INTERVAL 60 DAY""",
 )
 def _(t):
     return tidy(drift.evaluation_window(features(t).select(*KEYS, "return_5d")))

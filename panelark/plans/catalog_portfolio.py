@@ -197,15 +197,17 @@ def _(t):
     return tidy(curves.select("timestamp", *[F.ln(s).alias(s) for s in RULES4]))
 
 
+COMPARED = ["sharpe", "sortino", "max_drawdown", "turnover", "hit_rate", "cumulative_return", "mean_return", "std_return"]
+
+
 @query(
     "strategy_comparison",
-    BT + f""", u AS (UNPIVOT (SELECT strategy, sharpe, max_drawdown, turnover, hit_rate FROM st)
-      ON sharpe, max_drawdown, turnover, hit_rate INTO NAME metric VALUE v)
+    BT + f""", u AS (UNPIVOT (SELECT strategy, {', '.join(COMPARED)} FROM st) ON {', '.join(COMPARED)} INTO NAME metric VALUE v)
     SELECT metric, {", ".join(R(f"max(v) FILTER (WHERE strategy = '{s}')", s) for s in RULES4)} FROM u GROUP BY 1""",
 )
 def _(t):
     stats = backtest.performance(backtest.net_returns(periods(t)))
-    return tidy(backtest.comparison_table(stats, RULES4, ["sharpe", "max_drawdown", "turnover", "hit_rate"]))
+    return tidy(backtest.comparison_table(stats, RULES4, COMPARED))
 
 
 @query(
