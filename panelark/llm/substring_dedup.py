@@ -1,10 +1,10 @@
 """Removal of words in passages that an earlier document has, by level-wise doubling.
 
-A passage of ``window`` words can only repeat if all shorter windows in it
+A stretch of ``window`` words can only repeat if all shorter windows in it
 repeat. The levels are ``base``, 2 x base, ... and at last ``window`` words.
 On a level below the last, of every stretch of ``window`` words only the window
 with the smallest hash is looked at (a minimizer; equal stretches have it at
-the same place), and the stretches around the repeated ones go on to the next
+the same place), and the stretches whose minimizer repeats go on to the next
 level with windows of twice the length. It ends when no stretch is left, or on
 the last level, where every window left is compared.
 
@@ -41,55 +41,42 @@ def levels(base: int, window: int) -> list[int]:
     return out
 
 
-def minimizers(hashes: np.ndarray, length: int, window: int) -> np.ndarray:
-    """Places that hold the smallest window hash of some stretch of ``window`` words (the leftmost on ties)."""
-    span = window - length + 1
-    if len(hashes) < span:
-        return np.zeros(0, np.int64)
+def minimizers(hashes: np.ndarray, span: int) -> np.ndarray:
+    """Place of the smallest of each ``span`` neighbouring hashes, the leftmost on ties."""
     if span == 1:
         return np.arange(len(hashes))
     view = np.lib.stride_tricks.sliding_window_view(hashes, span)
-    return np.unique(view.argmin(axis=1) + np.arange(len(view)))
+    return view.argmin(axis=1) + np.arange(len(view))
 
 
 class Stretches:
-    """Words of a batch of texts, and which of them may still be in a repeated passage."""
+    """Words of a batch of texts, and the starts of the stretches of ``window`` words that may still repeat."""
 
     def __init__(self, texts: pa.Array, window: int):
         self.words: Words = words(texts)
         self.window = window
         self.first = self.words.first
-        self.live = np.ones(len(self.words.hash), bool)
-
-    def runs(self) -> Iterator[tuple[int, int]]:
-        """Runs of live words within one text, of at least ``window`` words."""
-        n = len(self.live)
-        if not n:
-            return
-        cut = np.zeros(n + 1, bool)
-        cut[self.first] = True  # a run ends with its text
-        begins = self.live & (np.r_[True, ~self.live[:-1]] | cut[:-1])
-        ends = self.live & (np.r_[~self.live[1:], True] | cut[1:])
-        for start, end in zip(np.flatnonzero(begins), np.flatnonzero(ends) + 1, strict=True):
-            if end - start >= self.window:
-                yield int(start), int(end)
-
-    def chosen(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places of a level's windows and both their hashes."""
-        a, b = grams(self.words.hash, length), grams(self.words.hash, length, 1)
-        at = [s + minimizers(a[s : e - length + 1], length, self.window) for s, e in self.runs()]
-        place = np.concatenate(at) if at else np.zeros(0, np.int64)
-        return place, a[place], b[place]
+        doc = self.words.doc
+        n = max(0, len(doc) - window + 1)
+        self.live = doc[:n] == doc[window - 1 :] if n else np.zeros(0, bool)
+
+    def chosen(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the live stretches, and the place in each of the window of this level that stands for it."""
+        start = np.flatnonzero(self.live)
+        if not len(start):
+            return start, start
+        hashes = grams(self.words.hash, length)
+        place = np.empty(len(start), np.int64)
+        cut = np.flatnonzero(np.diff(start) > 1) + 1  # runs of neighbouring stretches
+        for i, j in zip([0, *cut.tolist()], [*cut.tolist(), len(start)], strict=True):
+            s, e = int(start[i]), int(start[j - 1]) + self.window
+            place[i:j] = s + minimizers(hashes[s : e - length + 1], self.window - length + 1)
+        return start, place
 
     def narrow(self, length: int, repeated: Bitmap) -> None:
-        """Keep the words of the stretches around the windows of a level that repeat."""
-        place, a, _ = self.chosen(length)
-        place = place[repeated.has(a)]
-        edge = np.zeros(len(self.live) + 1, np.int64)
-        doc = self.words.doc[place]
-        np.add.at(edge, np.maximum(place + length - self.window, self.first[doc]), 1)
-        np.add.at(edge, np.minimum(place + self.window, self.first[doc + 1]), -1)
-        self.live &= np.cumsum(edge[:-1]) > 0
+        """Keep the stretches whose window of a level repeats."""
+        start, place = self.chosen(length)
+        self.live[start] = repeated.has(grams(self.words.hash, length)[place]) if len(start) else False
 
 
 def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place: bool, skip: Bitmap):
@@ -100,7 +87,9 @@ def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place:
             stretches = Stretches(batch["text"], window)
             for length, repeated in zip(lengths, filters):
                 stretches.narrow(length, repeated)
-            place, a, b = stretches.chosen(lengths[len(filters)])
+            length = lengths[len(filters)]
+            place = np.unique(stretches.chosen(length)[1])
+            a, b = grams(stretches.words.hash, length)[place], grams(stretches.words.hash, length, 1)[place]
             doc = stretches.words.doc[place]
             first = {"a": pa.array(a.view(np.int64))}
             rest = {"doc_id": batch["doc_id"].take(pa.array(doc))}
