@@ -142,44 +142,44 @@ def decompose(parts: DataFrame, weight: np.ndarray, rank: int = RANK, seed: int
     """Right singular vectors of the segments' TF-IDF rows A by a randomised range finder.
 
     Each round sums A'(A M) over all tasks, for the last round's M; the first M
-    is random. What reaches the driver is one row of rank + EXTRA numbers for each feature
-    that the segments have, at most FEATURES.
+    is random. M has one row of rank + EXTRA numbers for each feature that the
+    segments have, at most FEATURES; that bounds what tasks and driver exchange.
     """
-    width = rank + EXTRA
-    random = np.random.default_rng(seed).normal(size=(FEATURES, width)).astype(np.float32)
-    place = np.arange(FEATURES)
 
-    def product(matrix: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _small(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_rows(batch, weight)[1])], ["f"])
+
+    known = np.sort([r["f"] for r in parts.mapInArrow(own, "f bigint").distinct().collect()]).astype(np.int64)
+    if not len(known):
+        return Space(np.full(FEATURES, -1), weight, np.zeros((1, rank), np.float32))
+    place = np.full(FEATURES, -1)
+    place[known] = np.arange(len(known))
+
+    def product(matrix: np.ndarray) -> np.ndarray:
+        width = matrix.shape[1]
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros_like(matrix)
-            seen = np.zeros(len(place), bool)
+            seen = np.zeros(len(matrix), bool)
             for batch in _small(batches):
                 a, distinct = _rows(batch, weight)
                 total[place[distinct]] += a.T @ (a @ matrix[place[distinct]])
-                seen[distinct] = True
+                seen[place[distinct]] = True
             at = np.flatnonzero(seen)
             f = np.repeat(at, width)
-            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.tile(np.arange(width), len(at))), pa.array(total[place[at]].astype(float).ravel())], ["f", "j", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(np.tile(np.arange(width), len(at))), pa.array(total[at].astype(float).ravel())], ["f", "j", "v"])
 
         table = parts.mapInArrow(run, "f bigint, j bigint, v double").groupBy("f", "j").agg(F.sum("v").alias("v")).toArrow()
         f, j, v = (table[c].to_numpy() for c in "fjv")
-        known = np.unique(f)
-        out = np.zeros((len(known), width))
-        out[np.searchsorted(known, f), j] = v
-        return known, out
-
-    known, found = product(random, place)
-    if not len(known):
-        return Space(np.full(FEATURES, -1), weight, np.zeros((1, rank), np.float32))
-    place = np.full(FEATURES, -1)
-    place[known] = np.arange(len(known))
-    for _ in range(POWER):
-        basis = np.linalg.qr(found)[0].astype(np.float32)
-        width = basis.shape[1]
-        _, found = product(basis, place)
-    basis = np.linalg.qr(found)[0].astype(np.float32)
-    width = basis.shape[1]
-    _, image = product(basis, place)  # A'A times the basis
+        out = np.zeros(matrix.shape)
+        out[f, j] = v
+        return out
+
+    basis = np.random.default_rng(seed).normal(size=(len(known), rank + EXTRA)).astype(np.float32)
+    for _ in range(1 + POWER):
+        basis = np.linalg.qr(product(basis))[0].astype(np.float32)
+    image = product(basis)  # A'A times the basis
     values, turn = np.linalg.eigh(basis.T @ image)
     keep = np.argsort(values)[::-1][:rank]
     keep = keep[values[keep] > 1e-6]
