@@ -183,7 +183,7 @@ class Bpe:
     def _pieces(self, parts: list[str]) -> list[bytes]:
         """Ids of pieces, by those of their words."""
         cut = [self.find(part) for part in parts]
-        self.words.learn(w for words in cut for w in words)
+        self.words.learn(set().union(*cut))
         get = self.words.young.__getitem__
         return [b"".join(map(get, words)) for words in cut]
 

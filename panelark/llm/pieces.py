@@ -8,7 +8,7 @@ text may be cut there: the ids of the text are the ids of its pieces in order.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 
 import numpy as np
 
@@ -44,9 +44,8 @@ class PieceCache:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def learn(self, keys: Iterable[str], before: str = "") -> None:
+    def learn(self, wanted: set[str], before: str = "") -> None:
         """Make sure that the ids of these keys, each with ``before`` before it, are among the young ones."""
-        wanted = set(keys)
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
         missing = []
@@ -62,7 +61,7 @@ class PieceCache:
         """Ids of each text. The texts hold no special token."""
         cut = [pieces(t) for t in texts]
         heads = self.encode([parts[0] for parts in cut])
-        self.learn((part for parts in cut for part in parts[1:]), " ")
+        self.learn(set().union(*[parts[1:] for parts in cut]), " ")
         get = self.young.__getitem__
         return [head + b"".join(map(get, parts[1:])) for head, parts in zip(heads, cut, strict=True)]
 

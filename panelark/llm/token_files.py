@@ -80,6 +80,16 @@ class LibraryEncoder:
         ]
 
 
+_encoders: dict[tuple[str, int], LibraryEncoder] = {}
+
+
+def loaded(vocabulary: str, width: int) -> LibraryEncoder:
+    """The encoder of a worker process; its cache outlives the tasks."""
+    if (vocabulary, width) not in _encoders:
+        _encoders[vocabulary, width] = LibraryEncoder(vocabulary, width)
+    return _encoders[vocabulary, width]
+
+
 def _writer(folder: str, vocabulary: str, width: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard = None, TaskContext.get().partitionId()
@@ -90,7 +100,7 @@ def _writer(folder: str, vocabulary: str, width: int, end_id: int):
         out = None
         for batch in text_batches(batches):
             if out is None:
-                encoder = LibraryEncoder(vocabulary, width)
+                encoder = loaded(vocabulary, width)
                 # a name of its own for each attempt: the manifest names the file of the attempt that counts
                 fs, base = pafs.FileSystem.from_uri(folder)
                 path = f"{base}/shard-{shard:06d}-{uuid.uuid4().hex}.eft"
