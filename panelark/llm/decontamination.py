@@ -35,6 +35,7 @@ SEGMENT = 64
 RANK, EXTRA = 256, 16  # dimensions kept, and more while they are found
 POWER = 1  # rounds that sharpen the decomposition
 BLOCK = 4096  # segments, about, that are searched in one pass
+TOKENS_AT_ONCE = 2048  # whose vectors are gathered at once, so that they stay in the processor's cache
 MIN_COSINE = 0.15
 MIN_SUBSEQUENCE = 0.5  # share of a segment's words
 ANSWER_PART, MIN_ANSWER = 0.5, 0.5  # the rarest part of a segment's different words, and the share of them that must be there
@@ -225,6 +226,9 @@ def common_subsequence(mask: dict[int, int], size: int, other: list[int]) -> int
 
 def _search(space: Space, block: Block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.flatnonzero(space.place >= 0)
+        weighed = space.vectors.copy()
+        weighed[space.place[known]] *= space.weight[known][:, None]
         for batch in text_batches(batches):
             found = words(pc.utf8_lower(batch["text"]))
             if not len(found.hash):
@@ -237,10 +241,10 @@ def _search(space: Space, block: Block):
             square = np.bincount(half, weight.astype(float) ** 2, n)
             inside = np.flatnonzero(space.place[feature] >= 0)
             latent = np.zeros((n, space.vectors.shape[1]), np.float32)
-            for i in range(0, len(inside), 1 << 16):
-                own = inside[i : i + (1 << 16)]
+            for i in range(0, len(inside), TOKENS_AT_ONCE):
+                own = inside[i : i + TOKENS_AT_ONCE]
                 start = np.flatnonzero(np.r_[True, half[own][1:] != half[own][:-1]])
-                latent[half[own[start]]] += np.add.reduceat(weight[own][:, None] * space.rows(feature[own]), start)
+                latent[half[own[start]]] += np.add.reduceat(weighed[space.place[feature[own]]], start)
             score = latent @ block.vectors.T
             text_of = np.zeros(n, np.int64)
             text_of[half] = found.doc
