@@ -83,3 +83,24 @@ def test_training_finds_a_pattern(monkeypatch):
     mean = lambda m: m.log10_probabilities(before)[np.arange(len(kind)), kind].mean()
     # the entropy of the pattern bounds what can be reached
     assert mean(trainer.model) > mean(model) + 0.1
+
+
+def test_words_beyond_any_fixed_vocabulary_gain(spark):
+    """2,000 equally frequent words in two sets that never mix: the word before decides the half, whichever word it is; so do the last letters of rare ones."""
+    rng = random.Random(3)
+    sets = [[f"{p}{i}{p}" for i in range(1000)] for p in ("lo", "ke")]
+    rows = [(i, " ".join(rng.choices(sets[i % 2], k=60) + [f"{i}x{rng.randrange(10**9)}{('lo', 'ke')[i % 2]}"])) for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    training = docs.where(lm.fold("doc_id", 10) != 0)
+    known, _ = lm.vocabulary(lm.count_words(training.select("text")))
+    assert len(known.hashes) == 2001
+    gain = {}
+    for rounds in (1, 4):
+        held = [r for r in lm.score(docs, training, rounds=rounds).collect() if zlib.crc32(str(r.doc_id).encode()) % 10 == 0]
+        gain[rounds] = sum(r.score - r.base_score for r in held) / sum(r.n_tokens for r in held)
+    assert gain[4] > max(0.05, gain[1])  # at most log10(2) = 0.30
+
+
+def test_scores_are_above_the_base(spark):
+    held = [r for r in lm.query(spark, "/root/testdata/sf0.01").collect() if r.held_out]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
