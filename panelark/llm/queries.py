@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, decontamination, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter
+from panelark.llm import bpe, decontamination, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_jaccard": jaccard.query,
     "op9_language_id": language_id.query,
     "op10_lm_scoring": lm_scoring.query,
+    "op11_vector_codes": vector_codes.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes.ORACLE}
