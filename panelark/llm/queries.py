@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from panelark.llm import bpe, conversations, decontamination, jaccard, language_id, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter, vector_codes
+from panelark.llm import bpe, conversations, decontamination, jaccard, language_id, licenses, lm_scoring, quality, secrets, substring_dedup, token_files, url_filter, vector_codes
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_lm_scoring": lm_scoring.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_licenses": licenses.query,
     "op13_conversations": conversations.query,
 }
 ORACLES: dict[str, str] = {"op11_vector_codes": vector_codes.ORACLE}
