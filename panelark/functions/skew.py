@@ -13,7 +13,7 @@ bounded table is what reaches the driver and what is broadcast.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass
@@ -67,6 +67,7 @@ class HotSplit:
     order: str
     table: DataFrame
     exact: bool  # distinct values have distinct images
+    most_ranges: int = 0  # of any one group
 
     def attach(self, df: DataFrame) -> DataFrame:
         """Add ``_range``, ``_base`` (rows of the group in lower ranges) and ``_in_range``.
@@ -168,4 +169,12 @@ def split_hot(df: DataFrame, keys: Sequence[str], order: str) -> HotSplit | None
         counts_of = [sizes[key].get(number, 0) for number in range(max(sizes[key]) + 1)]
         bases = [0, *accumulate(counts_of)][:-1]
         full.append((*key, nested, [part[-1] for part in nested], bases, counts_of))
-    return HotSplit(keys, order, table(full), exact)
+    return HotSplit(keys, order, table(full), exact, max(len(row[-1]) for row in full))
+
+
+def checked_once(df: DataFrame, keys: Sequence[str], order: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``build()`` for a chain of steps that keep the rows of ``df``: its groups are counted once if none is hot."""
+    if split_hot(df, keys, order) is not None:
+        return build()
+    with balanced(keys):
+        return build()

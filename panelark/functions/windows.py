@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from panelark.functions.skew import split_hot
+from panelark.functions.skew import HotSplit, split_hot
 
 SLICE_ROWS_CONF = "spark.panelark.skew.sliceRows"
 SLICE_ROWS = 1_000_000
@@ -224,51 +224,61 @@ _BLOCK_DECADES = 30.0
 _LEAST_WEIGHT = 1e-30
 # Decimal exponents a block may span without overflow.
 _LARGEST_DECADES = 280.0
-# Rows of history after which a start value has no effect at double precision.
-_HALO_DECADES = 20.0
 
 
 def ewm_block(alpha: float) -> int:
     return math.ceil(_BLOCK_DECADES * math.log(10) / -math.log1p(-alpha))
 
 
-def ewm_halo(alpha: float) -> int:
-    return math.ceil(_HALO_DECADES * math.log(10) / -math.log1p(-alpha))
-
-
-def ewm_prepare(df: DataFrame, s: Series, columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+def ewm_prepare(
+    df: DataFrame, s: Series, columns: Sequence[str], alphas: Sequence[float], ranges: Ranges | None = None
+) -> DataFrame:
     """Add row numbers, and per column block numbers and gaps to the last observation.
 
     Blocks are counted in observations of the column, so rows without one stay in
-    the block of the last. One block length serves all the given decay rates.
+    the block of the last. One block length serves all the given decay rates. In a
+    range of a hot series the numbers continue those of the ranges below, and
+    blocks start anew; rows before the range's first observation are block 0.
     """
     block = max(ewm_block(a) for a in alphas)
     if block * -math.log10(1.0 - max(alphas)) > _LARGEST_DECADES:
         raise ValueError("decay rates too far apart for one block length")
-    df = df.withColumns(
-        {"_ewm_k": F.row_number().over(s.ordered) - 1}
-        | {f"_ewm_seen_{c}": F.count(c).over(s.so_far()) for c in columns}
-    )
+    here = {f"_ewm_seen_{c}": F.count(c).over(s.so_far()) for c in columns}
+    df = df.withColumns({"_ewm_k": F.row_number().over(s.ordered) - 1} | here)
     past = s.ordered.rowsBetween(Window.unboundedPreceding, -1)
-    held = {c: F.last(F.when(F.col(c).isNotNull(), F.col("_ewm_k")), True).over(past) for c in columns}
-    df = df.withColumns({f"_ewm_gap_{c}": F.col("_ewm_k") - held[c] for c in columns})
+    held = {f"_ewm_held_{c}": F.last(F.when(F.col(c).isNotNull(), F.col("_ewm_k")), True).over(past) for c in columns}
+    if ranges is not None:
+        df = df.withColumns({"_ewm_k": F.col("_ewm_k") + F.col("_base")})
+    df = df.withColumns(held | {f"_ewm_own_{c}": F.col(f"_ewm_seen_{c}") for c in columns})
+    if ranges is not None:
+        df = ranges.below(
+            df,
+            {f"_ewm_n_{c}": (F.count(c), F.sum) for c in columns}
+            | {f"_ewm_last_{c}": (F.max(F.when(F.col(c).isNotNull(), F.col("_ewm_k"))), F.max) for c in columns},
+        )
+        df = df.withColumns(
+            {f"_ewm_seen_{c}": F.col(f"_ewm_seen_{c}") + F.coalesce(F.col(f"_ewm_n_{c}"), F.lit(0)) for c in columns}
+            | {f"_ewm_held_{c}": F.coalesce(f"_ewm_held_{c}", f"_ewm_last_{c}") for c in columns}
+        )
+    df = df.withColumns({f"_ewm_gap_{c}": F.col("_ewm_k") - F.col(f"_ewm_held_{c}") for c in columns})
     # by the slowest decay: no mean still has a weight that matters after such a gap
     longest = math.log(_LEAST_WEIGHT) / math.log1p(-min(alphas))
     begins = {
-        c: F.col(c).isNotNull() & (((F.col(f"_ewm_seen_{c}") - 1) % block == 0) | F.coalesce(F.col(f"_ewm_gap_{c}") > longest, F.lit(False)))
+        c: F.col(c).isNotNull() & (((F.col(f"_ewm_own_{c}") - 1) % block == 0) | F.coalesce(F.col(f"_ewm_gap_{c}") > longest, F.lit(False)))
         for c in columns
     }
     return df.withColumns({f"_ewm_blk_{c}": F.sum(b.cast("int")).over(s.so_far()) for c, b in begins.items()})
 
 
-def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple]) -> DataFrame:
+def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple], ranges: Ranges | None = None) -> DataFrame:
     """Add exponentially weighted means; a spec is (out, column, alpha, least, rows_of).
 
     ``rows_of`` names the prepared column whose observations the input shares.
     The recursion is an affine map per observation, y = a*y_prev + b. Inside a
     block of rows the maps compose into P = prod(a) and sum(b / P); a block
     starts from the last value of the block before. A missing observation keeps
-    y, and lets the old weight decay once more before the next one.
+    y, and lets the old weight decay once more before the next one. The maps of
+    whole ranges of a hot series are composed in the same way, see ``Ranges.start``.
     """
     maps: dict[str, Column] = {}
     for out, column, alpha, _least, rows_of in specs:
@@ -292,18 +302,91 @@ def ewm_apply(df: DataFrame, s: Series, specs: Sequence[tuple]) -> DataFrame:
         n: F.max_by(F.col(f"_{n}_z"), F.col("_ewm_k")).over(Window.partitionBy(*s.keys).orderBy(blocks[n]).rangeBetween(-1, -1))
         for n in names
     }
-    values = {}
-    for out, _column, _alpha, least, rows_of in specs:
-        value = F.col(f"_{out}_z") + F.col(f"_{out}_p") * F.coalesce(carried[out], F.lit(0.0))
-        values[out] = F.when(F.col(f"_ewm_seen_{rows_of}") >= max(least, 1), value)
-    return df.withColumns(values).drop(*[f"_{n}_{part}" for n in names for part in "abpz"])
+    value = {n: F.col(f"_{n}_z") + F.col(f"_{n}_p") * F.coalesce(carried[n], F.lit(0.0)) for n in names}
+    if ranges is not None:
+        # what the range's start value still weighs: nothing once a whole block lies between
+        weighs = {n: F.when(F.coalesce(F.col(blocks[n]), F.lit(0)) <= 1, F.col(f"_{n}_p")).otherwise(0.0) for n in names}
+        df = df.withColumns({f"_{n}_v": value[n] for n in names} | {f"_{n}_w": weighs[n] for n in names})
+        df = ranges.start(df, {n: (f"_{n}_w", f"_{n}_v") for n in names}, "_ewm_k")
+        value = {n: F.col(f"_{n}_v") + F.col(f"_{n}_w") * F.coalesce(f"_start_{n}", F.lit(0.0)) for n in names}
+    shown = {spec[0]: F.when(F.col(f"_ewm_seen_{spec[4]}") >= max(spec[3], 1), value[spec[0]]) for spec in specs}
+    used = [f"_{n}_{part}" for n in names for part in "abpzvw"] + [f"_start_{n}" for n in names]
+    return df.withColumns(shown).drop(*used)
+
+
+class Ranges:
+    """The ranges of hot series, as segments that are scanned apart and then put together.
+
+    Tables by range have at most 2 * MAX_RANGES rows, see the skew module; they are
+    what is broadcast.
+    """
+
+    def __init__(self, split: HotSplit):
+        self.keys, self.split = split.keys, split
+
+    def _joined(self, df: DataFrame, table: DataFrame) -> DataFrame:
+        return df.join(F.broadcast(table), [*self.keys, "_range"], "left")
+
+    def _totals(self, df: DataFrame, aggs: dict[str, Column]) -> DataFrame:
+        hot = df.where(F.col("_in_range").isNotNull())
+        return hot.groupBy(*self.keys, "_range").agg(*[e.alias(n) for n, e in aggs.items()])
+
+    def below(self, df: DataFrame, totals: dict[str, tuple]) -> DataFrame:
+        """Add aggregates over all ranges below the row's own; each is (aggregate of rows, aggregate of ranges)."""
+        down = Window.partitionBy(*self.keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        table = self._totals(df, {n: rows for n, (rows, _) in totals.items()})
+        return self._joined(df, table.select(*self.keys, "_range", *[fold(n).over(down).alias(n) for n, (_, fold) in totals.items()]))
+
+    def start(self, df: DataFrame, maps: dict[str, tuple[str, str]], place: str) -> DataFrame:
+        """Add ``_start_<name>``, the value at which the row's range starts.
+
+        A range maps its start y to w*y + v, with w and v as they stand in its
+        last row by ``place``. Maps of neighbouring ranges are composed in
+        doubling steps, so the depth is the logarithm of the number of ranges.
+        """
+        table = self._totals(df, {f"_w_{n}": F.max_by(w, place) for n, (w, _) in maps.items()} | {f"_v_{n}": F.max_by(v, place) for n, (_, v) in maps.items()})
+        line = Window.partitionBy(*self.keys).orderBy("_range")
+        reach = 1
+        while reach < self.split.most_ranges:
+            step = {}
+            for n in maps:
+                w, v = F.col(f"_w_{n}"), F.col(f"_v_{n}")
+                step[f"_v_{n}"] = v + w * F.coalesce(F.lag(v, reach).over(line), F.lit(0.0))
+                step[f"_w_{n}"] = w * F.coalesce(F.lag(w, reach).over(line), F.lit(1.0))
+            table = table.withColumns(step)
+            reach *= 2
+        starts = [F.lag(f"_v_{n}").over(line).alias(f"_start_{n}") for n in maps]
+        return self._joined(df, table.select(*self.keys, "_range", *starts))
+
+
+class Means:
+    """Exponentially weighted means without bias adjustment, in window functions only.
+
+    ``prepare`` numbers the observations of the columns, ``add`` adds means (out,
+    column, alpha, least, rows_of) and may be called again on columns derived from
+    earlier means, ``finish`` drops what was added on the way. A hot series is
+    scanned range by range and the ranges' maps are handed on, so values are the
+    same whether or not a series is split, however long its gaps are.
+    """
+
+    def __init__(self, keys: Sequence[str] = ("symbol",), order: str = "timestamp"):
+        self.keys, self.order = list(keys), order
+
+    def prepare(self, df: DataFrame, columns: Sequence[str], alphas: Sequence[float]) -> DataFrame:
+        split = split_hot(df, self.keys, self.order)
+        self.ranges = None if split is None else Ranges(split)
+        self.series = Series(self.keys if split is None else [*self.keys, "_range"], self.order)
+        return ewm_prepare(df if split is None else split.attach(df), self.series, columns, alphas, self.ranges)
 
+    def add(self, df: DataFrame, specs: Sequence[tuple]) -> DataFrame:
+        return ewm_apply(df, self.series, specs, self.ranges)
 
-def ewm_finish(df: DataFrame) -> DataFrame:
-    return df.drop(*[c for c in df.columns if c.startswith("_ewm_")])
+    def finish(self, df: DataFrame) -> DataFrame:
+        return df.drop("_range", "_base", "_in_range", *[c for c in df.columns if c.startswith("_ewm_")])
 
 
-def ewm(df: DataFrame, s: Series, column: str, alpha: float, out: str, least: int = 0) -> DataFrame:
-    """Exponentially weighted mean without bias adjustment, in window functions only."""
-    prepared = ewm_prepare(df, s, [column], [alpha])
-    return ewm_finish(ewm_apply(prepared, s, [(out, column, alpha, least, column)]))
+def ewm(df: DataFrame, column: str, alpha: float, out: str, least: int = 0, keys: Sequence[str] = ("symbol",), order: str = "timestamp") -> DataFrame:
+    """One exponentially weighted mean of a column along each series."""
+    means = Means(keys, order)
+    prepared = means.prepare(df, [column], [alpha])
+    return means.finish(means.add(prepared, [(out, column, alpha, least, column)]))

@@ -9,12 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelark.functions.skew import checked_once
 from panelark.functions.windows import (
+    Means,
     Series,
-    ewm_apply,
-    ewm_finish,
-    ewm_halo,
-    ewm_prepare,
     over_series,
     ratio,
     running,
@@ -25,7 +23,6 @@ from panelark.schema import TARGET
 RETURN_SPANS = (1, 5, 10, 20, 60)
 SMA_SPANS = (5, 20, 50, 200)
 STD_SPANS = (5, 10, 20, 60)
-LOOKBACK = ewm_halo(2 / 27) + ewm_halo(2 / 10) + 1
 YEAR_ROWS = 252
 
 
@@ -57,14 +54,11 @@ def add_volatility(df: DataFrame, s: Series) -> DataFrame:
     return df.withColumn("downside_volatility_20", zero_null(s.std("_falls", 20))).drop("_falls")
 
 
-def add_oscillators(
-    df: DataFrame, s: Series, rsi: int | None = 14, macd: tuple[int, int, int] | None = (12, 26, 9)
-) -> DataFrame:
+def add_oscillators(df: DataFrame, rsi: int | None = 14, macd: tuple[int, int, int] | None = (12, 26, 9)) -> DataFrame:
     """Relative strength index and moving average convergence; both share one sort for their means."""
     columns, alphas, specs, later = [], [], [], []
     if rsi:
-        move = F.col("close") - s.lag("close")
-        df = df.withColumn("_move", move)
+        df = over_series(df, lambda d, s: d.withColumn("_move", F.col("close") - s.lag("close")), before=1)
         # greatest and least skip null, but the first move must stay missing
         known = F.col("_move").isNotNull()
         df = df.withColumns(
@@ -82,10 +76,10 @@ def add_oscillators(
         alphas += [fast, slow, signal]
         specs += [("_fast", "close", fast, 0, "close"), ("_slow", "close", slow, 0, "close")]
         later = [("_signal", "_line", signal, 0, "close")]
-    df = ewm_apply(ewm_prepare(df, s, columns, alphas), s, specs)
+    means = Means()
+    df = means.add(means.prepare(df, columns, alphas), specs)
     if macd:
-        df = df.withColumn("_line", F.col("_fast") - F.col("_slow"))
-        df = ewm_apply(df, s, later)
+        df = means.add(df.withColumn("_line", F.col("_fast") - F.col("_slow")), later)
         price = F.nullif(F.col("close"), F.lit(0.0))
         df = df.withColumns(
             {
@@ -99,15 +93,15 @@ def add_oscillators(
         index = 100 - 100 / (1 + ratio("_mean_up", "_mean_down"))
         df = df.withColumn(f"rsi_{rsi}", zero_null(index, 50.0))
     used = ["_move", "_up", "_down", "_mean_up", "_mean_down", "_fast", "_slow", "_line", "_signal"]
-    return ewm_finish(df).drop(*used)
+    return means.finish(df).drop(*used)
 
 
-def add_rsi(df: DataFrame, s: Series, n: int = 14) -> DataFrame:
-    return add_oscillators(df, s, n, None)
+def add_rsi(df: DataFrame, n: int = 14) -> DataFrame:
+    return add_oscillators(df, n, None)
 
 
-def add_macd(df: DataFrame, s: Series, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    return add_oscillators(df, s, None, (fast, slow, signal))
+def add_macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
+    return add_oscillators(df, None, (fast, slow, signal))
 
 
 def true_range(s: Series) -> Column:
@@ -184,9 +178,9 @@ def add_volume_flows(df: DataFrame) -> DataFrame:
     return over_series(df, relative, before=20).drop("_signed", "_trend")
 
 
-# the step with the most passes runs first, while the rows are narrow
+# steps with carried state work on whole frames; they run first, while the rows are narrow
+CARRIED_STEPS = [add_oscillators, add_rsi, add_macd]
 BOUNDED_STEPS = [
-    add_oscillators,
     add_returns,
     add_moving_averages,
     add_volatility,
@@ -200,13 +194,22 @@ BOUNDED_STEPS = [
 
 
 def price_features(df: DataFrame, steps=None) -> DataFrame:
-    """All price features; ``steps`` narrows the bounded ones to a subset."""
-    chosen = BOUNDED_STEPS if steps is None else steps
+    """All price features; ``steps`` narrows them to a subset without the volume flows."""
+    chosen = [add_oscillators, *BOUNDED_STEPS] if steps is None else steps
+    bounded = [step for step in chosen if step not in CARRIED_STEPS]
 
-    def build(d: DataFrame, s: Series) -> DataFrame:
-        for step in chosen:
+    def bounded_columns(d: DataFrame, s: Series) -> DataFrame:
+        for step in bounded:
             d = step(d, s)
         return d
 
-    out = over_series(with_ohlc(df), build, before=LOOKBACK, after=6)
-    return add_volume_flows(out) if steps is None and "volume" in df.columns else out
+    def build() -> DataFrame:
+        out = with_ohlc(df)
+        for step in chosen:
+            if step in CARRIED_STEPS:
+                out = step(out)
+        if bounded:
+            out = over_series(out, bounded_columns, before=YEAR_ROWS, after=6)
+        return add_volume_flows(out) if steps is None and "volume" in df.columns else out
+
+    return checked_once(df, ["symbol"], "timestamp", build)

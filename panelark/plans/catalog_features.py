@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelark.functions.windows import ewm, ewm_halo, over_series
+from panelark.functions.windows import ewm, over_series
 from panelark.operators import cross_asset, price, sentiment
 from panelark.plans.registry import BARS_CTE, R, RS, TICKS_CTE, query, tidy
 from panelark.sources import synthetic
@@ -211,7 +211,7 @@ SELECT symbol, "timestamp", {R("y", "ewm_close", 4)} FROM rec"""
 @query("ewm_with_gaps", EWM_GAPS_SQL)
 def _(t):
     thin = t.bars.select(*KEYS, F.when(F.col("volume") > 10, F.col("close")).alias("x"))
-    return shown(over_series(thin, lambda d, s: ewm(d, s, "x", 0.1, "ewm_close"), before=ewm_halo(0.1)), "ewm_close")
+    return shown(ewm(thin, "x", 0.1, "ewm_close"), "ewm_close")
 
 
 # --- cross-asset ---------------------------------------------------------------

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelark.functions.skew import balanced, split_hot
+from panelark.functions.skew import checked_once
 from panelark.operators import backtest, cross_asset, drift, ic, models, quality, selection, sentiment
 from panelark.operators.folds import holdout_split
 from panelark.operators.price import price_features
@@ -32,11 +32,7 @@ def feature_matrix(bars: DataFrame, sectors: DataFrame | None = None) -> DataFra
         df = cross_asset.cross_asset_features(df, BENCH_COL)
         return sentiment.headline_features(sentiment.sentiment_features(df))
 
-    if split_hot(bars, ["symbol"], "timestamp") is None:
-        with balanced(["symbol"]):
-            df = build()
-    else:
-        df = build()
+    df = checked_once(bars, ["symbol"], "timestamp", build)
     df = cross_asset.sector_neutral(cross_asset.tag_sectors(df, sectors))
     return sanitize(df, selection.candidate_features(df))
 

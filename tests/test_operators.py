@@ -452,13 +452,13 @@ def test_pruning_keeps_the_better_of_two_copies(spark):
 
 
 def test_ewm_keeps_its_value_over_long_gaps(spark):
-    from panelark.functions.windows import Series, ewm
+    from panelark.functions.windows import ewm
 
     stamps = [dt.datetime(2000, 1, 1) + dt.timedelta(days=i) for i in range(9000)]
     x = [100.0] * 5 + [None] * 3000 + [50.0, 40.0] + [None] * 40 + [60.0] + [None] * 8000
     x = (x + [float(i % 7) for i in range(9000)])[:3060] + [float(i % 7) for i in range(9000 - 3060)]
     df = spark.createDataFrame([(t, "A", v) for t, v in zip(stamps, x)], "timestamp timestamp_ntz, symbol string, x double")
-    got = ewm(df, Series(["symbol"], "timestamp"), "x", 0.1, "y").orderBy("timestamp").toPandas()["y"]
+    got = ewm(df, "x", 0.1, "y").orderBy("timestamp").toPandas()["y"]
     want = pd.Series(x, dtype=float).ewm(alpha=0.1, adjust=False).mean()
     assert np.allclose(got, want, rtol=1e-9)
 

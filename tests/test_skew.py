@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from panelark.functions.ranks import average_rank, running_counts
 from panelark.functions.skew import balanced, split_hot
 from panelark.functions.stats import bootstrap_mean_ci, newey_west
-from panelark.functions.windows import fill_gaps, over_series, per_group, running
+from panelark.functions.windows import ewm, fill_gaps, over_series, per_group, running
 from panelark.operators import backtest, drift, live, price
 from panelark.operators.weights import cash_weights
 
@@ -93,14 +93,7 @@ def test_price_features(spark, skewed):
 
 
 def test_ewm_with_gaps(spark, skewed):
-    from panelark.functions.windows import ewm, ewm_halo
-
-    def build():
-        return over_series(skewed, lambda d, s: ewm(d, s, "gap", 0.3, "y", least=5), before=ewm_halo(0.3)).select(
-            *KEYS, "y"
-        )
-
-    frame = both_ways(spark, build, KEYS)
+    frame = both_ways(spark, lambda: ewm(skewed, "gap", 0.3, "y", least=5).select(*KEYS, "y"), KEYS)
     # the same numbers as pandas
     raw = skewed.toPandas().sort_values(KEYS)
     for symbol, part in raw.groupby("symbol"):
@@ -109,6 +102,36 @@ def test_ewm_with_gaps(spark, skewed):
         pd.testing.assert_series_equal(pd.Series(have), pd.Series(want), rtol=1e-9)
 
 
+@pytest.mark.parametrize(
+    ("alpha", "seen"), [(0.1, "first five"), (0.1, "two far apart"), (2 / 27, "rare"), (0.5, "late"), (0.3, "none")]
+)
+def test_means_are_carried_over_ranges_without_observations(spark, alpha, seen):
+    rng = random.Random(11)
+    n = 3000
+
+    def there(i):
+        return {
+            "first five": i < 5, "two far apart": i in (3, 2900), "rare": i % 611 == 2, "late": i >= 2950, "none": False,
+        }[seen]
+
+    rows = [("H", dt.datetime(2020, 1, 1) + dt.timedelta(hours=i), 50 + rng.gauss(0, 9) if there(i) else None) for i in range(n)]
+    rows += [(f"C{i}", dt.datetime(2020, 1, 1), float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "symbol string, timestamp timestamp_ntz, x double")
+    frame = both_ways(spark, lambda: ewm(df, "x", alpha, "y", least=2), KEYS)
+    hot = frame[frame.symbol == "H"].sort_values("timestamp")
+    want = pd.Series([r[2] for r in rows[:n]], dtype=float).ewm(alpha=alpha, adjust=False, min_periods=2).mean()
+    pd.testing.assert_series_equal(pd.Series(hot["y"].to_numpy()), want, rtol=1e-9)
+
+
+def test_means_of_means_are_carried(spark, skewed):
+    frame = both_ways(spark, lambda: price.add_macd(skewed).select(*KEYS, "raw_macd", "macd_signal"), KEYS)
+    close = skewed.where("symbol = 'S0'").toPandas().sort_values("timestamp")["close"].reset_index(drop=True)
+    line = close.ewm(span=12, adjust=False).mean() - close.ewm(span=26, adjust=False).mean()
+    have = frame[frame.symbol == "S0"].sort_values("timestamp")
+    assert abs(have["raw_macd"].to_numpy() - line.to_numpy()).max() < 1e-9
+    assert abs(have["macd_signal"].to_numpy() - (line.ewm(span=9, adjust=False).mean() / close).to_numpy()).max() < 1e-9
+
+
 @pytest.mark.parametrize("how", ["sum", "max", "product"])
 def test_running(spark, skewed, how):
     value = F.col("close") / 100
