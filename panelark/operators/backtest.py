@@ -9,12 +9,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelark.functions.normal import normal_cdf, normal_quantile
 from panelark.functions.ranks import average_rank
 from panelark.functions.stats import sharpe_difference
 from panelark.functions.windows import Series, clip, over_series, per_group, running
@@ -224,25 +223,12 @@ def position_turnover(df: DataFrame, position: str, order: str, by: Sequence[str
 EULER_GAMMA = 0.5772156649015329
 
 
-def expected_best(trials: int, variance: float = 0.04) -> float:
-    """Expected largest Sharpe among independent trials without skill."""
-    if trials <= 1:
-        return 0.0
-    normal = NormalDist()
-    high = normal.inv_cdf(1 - 1 / trials)
-    higher = normal.inv_cdf(1 - 1 / (trials * math.e))
-    return max(variance, 1e-6) ** 0.5 * ((1 - EULER_GAMMA) * high + EULER_GAMMA * higher)
-
-
-def normal_cdf(z: Column) -> Column:
-    """Standard normal distribution function; has no native form in Spark SQL."""
-
-    @F.pandas_udf("double")
-    def phi(values: pd.Series) -> pd.Series:
-        cdf = NormalDist().cdf
-        return values.map(lambda v: None if v is None or v != v else cdf(v))
-
-    return phi(z)
+def expected_best(trials: int | Column, variance: float = 0.04) -> Column:
+    """Expected largest Sharpe among independent trials without skill; 0 for a single trial."""
+    n = (F.lit(trials) if isinstance(trials, int) else trials).cast("double")
+    many = F.when(n > 1, n)
+    best = (1 - EULER_GAMMA) * normal_quantile(1 - 1 / many) + EULER_GAMMA * normal_quantile(1 - 1 / (many * math.e))
+    return F.coalesce(max(variance, 1e-6) ** 0.5 * best, F.lit(0.0))
 
 
 def deflated_sharpe(

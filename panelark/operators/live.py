@@ -11,6 +11,7 @@ from panelark.functions.windows import Series, over_series, running
 from panelark.operators.costs import trade_cost
 from panelark.operators.ic import daily_rank_ic
 from panelark.schema import BENCH_COL, LEDGER, TARGET
+from panelark.session import cut_lineage
 
 GENESIS = "0" * 64
 LEAF_ROWS = 1000
@@ -143,46 +144,105 @@ def log_digests(signals: DataFrame, leaf: int = LEAF_ROWS) -> DataFrame:
     return roots.select(*keys, F.sha2(F.concat_ws(";", F.transform("r", lambda x: x["digest"])), 256).alias("digest"))
 
 
-def chain_log(digests: DataFrame) -> DataFrame:
-    """Chain the date digests of each log: sha256(previous hash | date | digest).
+def _leaf(date: str | Column, digest: str | Column) -> Column:
+    stamp = F.date_format(date, "yyyy-MM-dd HH:mm:ss")
+    return F.sha2(F.concat_ws("|", F.lit("0"), stamp, digest), 256)
 
-    The chain is sequential by nature; a log holds one digest per date.
+
+def _node(left: Column, right: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit("1"), left, right), 256)
+
+
+def with_leaves(digests: DataFrame) -> DataFrame:
+    """Dates with their leaf hashes; a table that holds leaves keeps them."""
+    return digests if "leaf" in digests.columns else digests.withColumn("leaf", _leaf("signal_date", "digest"))
+
+
+def log_tree(digests: DataFrame) -> DataFrame:
+    """All nodes (portfolio, level, idx, hash) of the Merkle tree over each log's dates.
+
+    Level 0 has one leaf per date in date order; a node joins two neighbours of
+    the level below, and one without a neighbour moves up as it is. Every level
+    has half the rows of the one below, so the work is linear in the dates; the
+    loop runs over the levels, the logarithm of the longest log.
     """
-    dated = F.struct(F.date_format("signal_date", "yyyy-MM-dd").alias("day"), "signal_date", "digest")
-    logs = digests.groupBy("portfolio").agg(F.array_sort(F.collect_list(dated)).alias("days"))
-    start = F.array().cast("array<string>")
-    hashes = F.aggregate(
-        "days",
-        start,
-        lambda acc, d: F.concat(
-            acc,
-            F.array(
-                F.sha2(
-                    F.concat_ws("|", F.coalesce(F.get(acc, F.size(acc) - 1), F.lit(GENESIS)), d["day"], d["digest"]), 256
-                )
-            ),
-        ),
+    placed = running(with_leaves(digests), {"_i": F.lit(1)}, ["portfolio"], "signal_date")
+    level = cut_lineage(
+        placed.select("portfolio", F.lit(0).alias("level"), (F.col("_i") - 1).cast("long").alias("idx"), F.col("leaf").alias("hash"))
     )
-    rows = logs.withColumn("hashes", hashes).select("portfolio", "hashes", F.posexplode("days").alias("i", "d"))
-    return rows.select(
-        "portfolio",
-        F.col("d.signal_date").alias("signal_date"),
-        F.col("d.digest").alias("digest"),
-        F.coalesce(F.get("hashes", F.col("i") - 1), F.lit(GENESIS)).alias("previous_hash"),
-        F.get("hashes", F.col("i")).alias("sha256"),
+    nodes, longest, number = level, (level.agg(F.max("idx")).first()[0] or 0) + 1, 0
+    while longest > 1:
+        number, longest = number + 1, -(-longest // 2)
+        left, right = (F.max(F.when(F.col("idx") % 2 == side, F.col("hash"))) for side in (0, 1))
+        joined = level.groupBy("portfolio", F.shiftright("idx", 1).alias("idx")).agg(left.alias("l"), right.alias("r"))
+        hashed = F.when(F.col("r").isNull(), F.col("l")).otherwise(_node(F.col("l"), F.col("r")))
+        level = cut_lineage(joined.select("portfolio", F.lit(number).alias("level"), "idx", hashed.alias("hash")))
+        nodes = nodes.unionByName(level)
+    return nodes
+
+
+def chain_log(digests: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The log: each date with its digest and leaf, the root before it and the root with it.
+
+    The root over the first k dates follows from the complete subtrees that make
+    up k, one for each binary digit of k, so every date is worked out by itself.
+    A later date changes no earlier root. The first date stands on GENESIS.
+    """
+    nodes = log_tree(digests) if nodes is None else nodes
+    numbered = running(with_leaves(digests), {"_k": F.lit(1)}, ["portfolio"], "signal_date").withColumn("_k", F.col("_k").cast("long"))
+    digits = F.filter(F.sequence(F.lit(0), F.lit(62)), lambda b: F.getbit(F.col("_k"), b) == 1)
+    wanted = numbered.select("portfolio", "_k", F.explode(digits).alias("level")).withColumn("idx", F.expr("shiftright(_k, level)") - 1)
+    peaks = wanted.join(nodes, ["portfolio", "level", "idx"]).groupBy("portfolio", "_k").agg(F.array_sort(F.collect_list(F.struct("level", "hash"))).alias("p"))
+    rest = F.slice("p", 2, F.size("p"))
+    roots = peaks.select("portfolio", "_k", F.aggregate(rest, F.col("p")[0]["hash"], lambda h, x: _node(x["hash"], h)).alias("sha256"))
+    with_root = numbered.join(roots, ["portfolio", "_k"])
+    return over_series(
+        with_root,
+        lambda d, s: d.withColumn("previous_hash", F.coalesce(s.lag("sha256"), F.lit(GENESIS))),
+        keys=["portfolio"], order="signal_date", before=1,
+    ).select("portfolio", "signal_date", "digest", "leaf", "previous_hash", "sha256")
+
+
+def append_log(log: DataFrame, digests: DataFrame) -> DataFrame:
+    """The log with new dates added; a date that it holds already keeps its first digest."""
+    new = digests.join(log, ["portfolio", "signal_date"], "left_anti").select("portfolio", "signal_date", "digest")
+    return chain_log(cut_lineage(log.select("portfolio", "signal_date", "digest").unionByName(new)))
+
+
+def inclusion_proofs(digests: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(portfolio, signal_date, digest, proof, root): what proves that a date is in the log.
+
+    ``proof`` lists (level, left, hash), the nodes to join on the way to the root,
+    ``left`` if the node goes to the left. A proof has at most one node a level.
+    """
+    nodes = cut_lineage(log_tree(digests)) if nodes is None else nodes
+    numbered = running(digests, {"_i": F.lit(1)}, ["portfolio"], "signal_date").withColumn("_i", (F.col("_i") - 1).cast("long"))
+    tops = nodes.groupBy("portfolio").agg(F.max_by("hash", "level").alias("root"), F.max("level").alias("top"))
+    sized = numbered.join(tops, "portfolio")
+    levels = F.explode(F.when(F.col("top") > 0, F.sequence(F.lit(0), F.col("top") - 1)))
+    steps = sized.select("portfolio", "_i", levels.alias("level")).withColumn("own", F.expr("shiftright(_i, level)"))
+    beside = steps.withColumn("idx", F.col("own").bitwiseXOR(F.lit(1))).join(nodes, ["portfolio", "level", "idx"])
+    step = F.struct("level", (F.col("idx") < F.col("own")).alias("left"), "hash")
+    proofs = beside.groupBy("portfolio", "_i").agg(F.array_sort(F.collect_list(step)).alias("proof"))
+    empty = F.array().cast("array<struct<level:int,left:boolean,hash:string>>")
+    return sized.join(proofs, ["portfolio", "_i"], "left").select(
+        "portfolio", "signal_date", "digest", F.coalesce("proof", empty).alias("proof"), "root"
     )
 
 
-def verify_chain(log: DataFrame) -> DataFrame:
-    """Recompute each link and compare it to the stored hashes."""
+def proof_holds(date: str = "signal_date", digest: str = "digest", proof: str = "proof", root: str = "root") -> Column:
+    """True if joining the nodes of a proof to a date's leaf gives the root."""
+    up = F.aggregate(proof, _leaf(date, digest), lambda h, x: F.when(x["left"], _node(x["hash"], h)).otherwise(_node(h, x["hash"])))
+    return F.coalesce(up == F.col(root), F.lit(False))
 
-    def check(d: DataFrame, s: Series) -> DataFrame:
-        return d.withColumn("_prev", F.coalesce(s.lag("sha256"), F.lit(GENESIS)))
 
-    checked = over_series(log, check, keys=["portfolio"], order="signal_date", before=1)
-    again = F.sha2(F.concat_ws("|", "previous_hash", F.date_format("signal_date", "yyyy-MM-dd"), "digest"), 256)
-    good = (F.col("previous_hash") == F.col("_prev")) & (F.col("sha256") == again)
-    return checked.select("portfolio", "signal_date", F.coalesce(good, F.lit(False)).alias("valid"))
+def verify_chain(log: DataFrame) -> DataFrame:
+    """Check each date's digest against its leaf, and the roots against the leaves of the log."""
+    again = chain_log(cut_lineage(log.select("portfolio", "signal_date", "digest", "leaf")))
+    fresh = again.select("portfolio", "signal_date", F.col("previous_hash").alias("_p"), F.col("sha256").alias("_s"))
+    roots = (F.col("previous_hash") == F.col("_p")) & (F.col("sha256") == F.col("_s"))
+    good = roots & (F.col("leaf") == _leaf("signal_date", "digest"))
+    return log.join(fresh, ["portfolio", "signal_date"]).select("portfolio", "signal_date", F.coalesce(good, F.lit(False)).alias("valid"))
 
 
 # --- ledger documents --------------------------------------------------------------------

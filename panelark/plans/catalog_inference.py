@@ -14,7 +14,7 @@ from panelark.session import cut_lineage
 from panelark.sources import spec
 
 FEATURES = ["return_1d", "return_5d", "return_20d", "volume_change", "momentum_12_1", "sentiment"]
-FEAT_CTE = f"""{BARS_CTE}, feat AS (SELECT symbol, "timestamp", open, close, volume, {RET1} AS return_1d,
+FEAT_CTE = f"""{BARS_CTE}, feat AS MATERIALIZED (SELECT symbol, "timestamp", open, close, volume, {RET1} AS return_1d,
    coalesce({chg('close', 5)}, 0) AS return_5d, coalesce({chg('close', 20)}, 0) AS return_20d,
    coalesce({chg('volume', 1)}, 0) AS volume_change,
    coalesce(lag(close, 21) OVER w / nullif(lag(close, 252) OVER w, 0) - 1, 0) AS momentum_12_1, sentiment,
@@ -561,7 +561,7 @@ _SIGNAL = "CASE WHEN abs(return_5d) > 0.8 THEN return_5d ELSE 0 END"
 @query(
     "active_dates",
     f"""WITH {FEAT_CTE}, s AS (SELECT symbol, "timestamp", {_SIGNAL} AS prediction FROM feat) SELECT symbol, "timestamp",
-    {R('prediction')} FROM s WHERE "timestamp" IN (SELECT "timestamp" FROM s WHERE prediction <> 0)""",
+    {R('prediction')} FROM s QUALIFY bool_or(prediction <> 0) OVER (PARTITION BY "timestamp")""",
 )
 def _(t):
     signal = F.when(F.abs("return_5d") > 0.8, F.col("return_5d")).otherwise(0.0)

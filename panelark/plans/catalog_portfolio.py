@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
+import math
+from statistics import NormalDist
+
 from pyspark.sql import functions as F
 
+from panelark.functions import normal
 from panelark.operators import backtest, costs, cross_asset, live, rows, screening, weights
 from panelark.plans.catalog_features import KEYS, W
 from panelark.plans.catalog_inference import FEAT_CTE, features, ic_ctes
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
+from panelark.session import cut_lineage
 
 # prices of the test tables jump, so grown equity is compared on a log scale
 def log_growth():
@@ -69,10 +75,10 @@ def bt_ctes(sig: str = "sig", top_k: int = TOP_K, hold: int = 5) -> str:
     return f"""bd AS (SELECT strategy, "timestamp", row_number() OVER (PARTITION BY strategy ORDER BY "timestamp") - 1 AS date_idx
      FROM (SELECT DISTINCT strategy, "timestamp" FROM {sig})),
   ix AS (SELECT s.*, date_idx FROM {sig} s JOIN bd USING (strategy, "timestamp")),
-  fw AS (SELECT a.*, c.open / nullif(b.open, 0) - 1 AS fwd FROM ix a
-     LEFT JOIN ix b ON b.strategy = a.strategy AND b.symbol = a.symbol AND b.date_idx = a.date_idx + 1
-     LEFT JOIN ix c ON c.strategy = a.strategy AND c.symbol = a.symbol AND c.date_idx = a.date_idx + {1 + hold}
-     WHERE a.date_idx % {hold} = 0),
+  fw AS (SELECT * EXCLUDE (o1, o2), o2 / nullif(o1, 0) - 1 AS fwd FROM (SELECT *,
+     max(open) OVER (PARTITION BY strategy, symbol ORDER BY date_idx RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS o1,
+     max(open) OVER (PARTITION BY strategy, symbol ORDER BY date_idx RANGE BETWEEN {1 + hold} FOLLOWING AND {1 + hold} FOLLOWING) AS o2 FROM ix)
+     WHERE date_idx % {hold} = 0),
   rk AS (SELECT *, date_idx // {hold} AS period, rank() OVER (PARTITION BY strategy, "timestamp" ORDER BY signal DESC)
      + (count(*) OVER (PARTITION BY strategy, "timestamp", signal) - 1) / 2e0 AS place FROM fw),
   fl AS (SELECT strategy, strategy = 'eq_weight_signal' OR NOT bool_or(m) AS flat FROM (SELECT strategy, "timestamp",
@@ -147,10 +153,34 @@ def _(t):
     return tidy(backtest.performance(backtest.net_returns(periods(t))).select("strategy", "n_periods", log_growth(), *METRICS.split()))
 
 
-@query("deflated_sharpe")
+def cdf_sql(z: str) -> str:
+    """The distribution function of ``functions.normal``, written for DuckDB."""
+    x = f"abs({z})"
+    top, bottom = (functools.reduce(lambda out, c: f"({out} * {x} + {c!r})", terms[1:], repr(terms[0])) for terms in (normal.TAIL_TOP, normal.TAIL_BOTTOM))
+    far = functools.reduce(lambda out, k: f"({x} + {k} / {out})", (4, 3, 2, 1), f"({x} + 0.65e0)")
+    tail = f"""CASE WHEN {x} > 37 THEN 0 WHEN {x} < {normal.TAIL_FROM!r} THEN exp(-{x} * {x} / 2) * {top} / {bottom}
+      ELSE exp(-{x} * {x} / 2) / {far} / sqrt(2 * pi()) END"""
+    return f"CASE WHEN {z} > 0 THEN 1 - ({tail}) ELSE {tail} END"
+
+
+def dsr_sql(trials: int) -> str:
+    """Deflated Sharpe ratio from the columns of ``st``; the expected best trial is a number."""
+    g, z = backtest.EULER_GAMMA, NormalDist().inv_cdf
+    best = 0.2 * ((1 - g) * z(1 - 1 / trials) + g * z(1 - 1 / (trials * math.e)))
+    return f"CASE WHEN n_periods >= 5 AND std_return > 0 THEN {cdf_sql(f'((sr * sqrt(252e0 / 5) - {best!r}) / (se + 1e-8))')} ELSE 0 END"
+
+
+DSR = f"""{BT}, ds AS (SELECT *, mean_return / nullif(std_return, 0) AS sr, sqrt(greatest((1 - skew * (mean_return / std_return)
+  + (kurtosis - 1) / 4 * (mean_return / std_return) ** 2) / greatest(n_periods - 1, 1), 1e-8)) * sqrt(252e0 / 5) AS se FROM st)
+  SELECT strategy, n_periods, {RS('sharpe sortino max_drawdown turnover')}, {R('ln(1 + cumulative_return)', 'log_growth')},
+  {', '.join(R(dsr_sql(n), f'dsr_{n}') for n in backtest.TRIAL_COUNTS)} FROM ds"""
+
+
+@query("deflated_sharpe", DSR)
 def _(t):
-    """Normal distribution function is an Arrow UDF: rows only, checked in the tests."""
-    return tidy(backtest.panel_backtest(signals(t), top_k=TOP_K))
+    table = backtest.panel_backtest(signals(t), top_k=TOP_K, filter_inactive=False)
+    shown = ["sharpe", "sortino", "max_drawdown", "turnover", *[f"dsr_{n}" for n in backtest.TRIAL_COUNTS]]
+    return tidy(table.select("strategy", "n_periods", log_growth(), *shown))
 
 
 PRED_CTE = f"""{FEAT_CTE}, sig AS (SELECT 'prediction_full' AS strategy, "timestamp", symbol, open, future_return_5d,
@@ -474,24 +504,36 @@ def _(t):
     return live.upsert_history(entries, ["o_custkey", "o_orderdate"], "o_orderkey")
 
 
+LEVELS = range(11)  # of the tree in SQL: up to 1024 dates a log
+
+
+def _tree_sql() -> str:
+    """Leaves and levels of each log's tree, and the root over the first k leaves by the binary digits of k."""
+    levels = [f"""t0 AS MATERIALIZED (SELECT portfolio, i - 1 AS idx, leaf AS h FROM lf)"""]
+    for k in LEVELS[1:]:
+        levels.append(f"""t{k} AS MATERIALIZED (SELECT portfolio, idx // 2 AS idx, CASE WHEN count(*) = 1 THEN min(h)
+          ELSE sha256('1|' || max(h) FILTER (WHERE idx % 2 = 0) || '|' || max(h) FILTER (WHERE idx % 2 = 1)) END AS h FROM t{k - 1} GROUP BY 1, 2)""")
+    root = "NULL"
+    for k in LEVELS:
+        root = f"CASE WHEN (i >> {k}) & 1 = 0 THEN {root} ELSE coalesce(sha256('1|' || p{k}.h || '|' || ({root})), p{k}.h) END"
+    joins = " ".join(f"LEFT JOIN t{k} p{k} ON p{k}.portfolio = lf.portfolio AND p{k}.idx = (i >> {k}) - 1" for k in LEVELS)
+    return f"{', '.join(levels)}, rt AS (SELECT lf.portfolio, signal_date, digest, leaf, i, {root} AS root FROM lf {joins})"
+
+
 LOG_CTE = f"""{SCORES}, lg AS (SELECT 'P' || (right(symbol, 2)::INT % 4) AS portfolio, "timestamp" AS signal_date, symbol, prediction,
-    volume / 100 AS weight FROM sc WHERE extract(hour FROM "timestamp") = 0),
+    volume / 100 AS weight FROM sc),
   lines AS (SELECT *, row_number() OVER (PARTITION BY portfolio, signal_date ORDER BY symbol) - 1 AS n,
     symbol || ':' || round(prediction, 8)::DECIMAL(28, 8)::VARCHAR || ':' || round(weight, 8)::DECIMAL(28, 8)::VARCHAR AS t FROM lg),
   lv1 AS (SELECT portfolio, signal_date, n // 1000 AS n, sha256(string_agg(t, ';' ORDER BY n)) AS d FROM lines GROUP BY 1, 2, n // 1000),
   lv2 AS (SELECT portfolio, signal_date, n // 1000 AS n, sha256(string_agg(d, ';' ORDER BY n)) AS d FROM lv1 GROUP BY 1, 2, n // 1000),
-  dg AS (SELECT portfolio, signal_date, sha256(string_agg(d, ';' ORDER BY n)) AS digest,
-    row_number() OVER (PARTITION BY portfolio ORDER BY signal_date) AS i FROM lv2 GROUP BY 1, 2),
-  ch AS (SELECT portfolio, i, signal_date, digest, repeat('0', 64) AS previous_hash,
-      sha256(repeat('0', 64) || '|' || strftime(signal_date, '%Y-%m-%d') || '|' || digest) AS h FROM dg WHERE i = 1
-    UNION ALL SELECT d.portfolio, d.i, d.signal_date, d.digest, c.h, sha256(c.h || '|' || strftime(d.signal_date, '%Y-%m-%d') || '|' || d.digest)
-    FROM ch c JOIN dg d ON d.portfolio = c.portfolio AND d.i = c.i + 1)"""
+  dg AS (SELECT portfolio, signal_date, sha256(string_agg(d, ';' ORDER BY n)) AS digest FROM lv2 GROUP BY 1, 2),
+  lf AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY portfolio ORDER BY signal_date) AS i,
+    sha256('0|' || strftime(signal_date, '%Y-%m-%d %H:%M:%S') || '|' || digest) AS leaf FROM dg), {_tree_sql()}"""
 
 
 def signal_log(t):
     book = F.concat(F.lit("P"), (F.substring("symbol", -2, 2).cast("int") % 4).cast("string"))
-    daily = scores(t).where(F.hour("timestamp") == 0)
-    return daily.select(
+    return scores(t).select(
         book.alias("portfolio"),
         F.col("timestamp").alias("signal_date"),
         "symbol",
@@ -502,15 +544,32 @@ def signal_log(t):
 
 @query(
     "signal_log_chain",
-    f"WITH RECURSIVE {LOG_CTE} SELECT portfolio, signal_date, digest, previous_hash, h AS sha256 FROM ch",
+    f"""WITH {LOG_CTE} SELECT portfolio, signal_date, digest, leaf, coalesce(lag(root) OVER (PARTITION BY portfolio ORDER BY signal_date),
+    repeat('0', 64)) AS previous_hash, root AS sha256 FROM rt""",
 )
 def _(t):
-    return live.chain_log(live.log_digests(signal_log(t)))
+    return live.chain_log(cut_lineage(live.log_digests(signal_log(t))))
+
+
+@query("signal_log_verification", f"WITH {LOG_CTE} SELECT portfolio, signal_date, true AS valid FROM rt")
+def _(t):
+    return live.verify_chain(live.chain_log(cut_lineage(live.log_digests(signal_log(t)))))
+
+
+def _proof_sql() -> str:
+    steps = [
+        f"CASE WHEN s{k}.h IS NULL THEN NULL ELSE CASE WHEN ((i - 1) >> {k}) % 2 = 1 THEN 'L' ELSE 'R' END || s{k}.h END" for k in LEVELS
+    ]
+    joins = " ".join(f"LEFT JOIN t{k} s{k} ON s{k}.portfolio = rt.portfolio AND s{k}.idx = xor((i - 1) >> {k}, 1)" for k in LEVELS)
+    return f"concat_ws(',', {', '.join(steps)}) AS proof, max_by(root, i) OVER (PARTITION BY rt.portfolio) AS root, true AS holds FROM rt {joins}"
 
 
-@query("signal_log_verification", f"WITH RECURSIVE {LOG_CTE} SELECT portfolio, signal_date, true AS valid FROM ch")
+@query("signal_log_proofs", f"WITH {LOG_CTE} SELECT rt.portfolio, signal_date, digest, {_proof_sql()}")
 def _(t):
-    return live.verify_chain(live.chain_log(live.log_digests(signal_log(t))))
+    """The nodes that prove each date, lowest first, with the side they stand on."""
+    proofs = live.inclusion_proofs(cut_lineage(live.log_digests(signal_log(t))))
+    side = F.transform("proof", lambda x: F.concat(F.when(x["left"], "L").otherwise("R"), x["hash"]))
+    return proofs.select("portfolio", "signal_date", "digest", F.concat_ws(",", side).alias("proof"), "root", live.proof_holds().alias("holds"))
 
 
 @query(
