@@ -432,8 +432,9 @@ def _(t):
 DRIFT_FEATURES = ["close", "volume", "sentiment", "return_1d", "future_return_5d"]
 CUT = "1999-06-01"
 DRIFT_CTES = f"""{FEAT_CTE}, both_ AS (SELECT feature, "timestamp" < TIMESTAMP '{CUT}' AS is_ref, x FROM
-   feat UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(DRIFT_FEATURES)}))),
- sp AS (SELECT feature, min(coalesce(x, 0)) AS lo, max(coalesce(x, 0)) AS hi FROM both_ WHERE is_ref GROUP BY 1),
+   feat UNPIVOT INCLUDE NULLS (x FOR feature IN ({', '.join(DRIFT_FEATURES)})))"""
+# measures over rows (feature, is_ref, x)
+MEASURES = f""" sp AS (SELECT feature, min(coalesce(x, 0)) AS lo, max(coalesce(x, 0)) AS hi FROM both_ WHERE is_ref GROUP BY 1),
  pl AS (SELECT feature, is_ref, {' + '.join(f'(coalesce(x, 0) >= lo + {i} * ((hi - lo) / 10))::INT' for i in range(1, 10))} AS bin
    FROM both_ JOIN sp USING (feature)),
  tot AS (SELECT feature, count(*) FILTER (WHERE is_ref) AS nr, count(*) FILTER (WHERE NOT is_ref) AS nc FROM both_ GROUP BY 1),
@@ -452,6 +453,12 @@ DRIFT_CTES = f"""{FEAT_CTE}, both_ AS (SELECT feature, "timestamp" < TIMESTAMP '
    stddev_samp(x) FILTER (WHERE NOT is_ref) - stddev_samp(x) FILTER (WHERE is_ref) AS std_change,
    avg((x IS NULL)::INT) FILTER (WHERE NOT is_ref) - avg((x IS NULL)::INT) FILTER (WHERE is_ref) AS missing_ratio_change
    FROM both_ GROUP BY 1)"""
+DRIFT_CTES = f"{DRIFT_CTES}, {MEASURES}"
+REPORT_SQL = f"""SELECT feature, {RS('mean_change std_change missing_ratio_change psi ks_stat ks_pvalue')},
+    CASE WHEN psi >= 0.25 OR ks_pvalue < 0.01 THEN 'HIGH' WHEN psi >= 0.1 OR ks_pvalue < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS status,
+    CASE WHEN psi >= 0.25 OR ks_pvalue < 0.01 THEN 'Investigate data feed / Retrain model immediately'
+     WHEN psi >= 0.1 OR ks_pvalue < 0.05 THEN 'Monitor closely / Schedule retrain' ELSE 'No action required' END AS recommended_action
+    FROM mo JOIN psi USING (feature) JOIN ks USING (feature)"""
 
 
 def _sides(t):
@@ -470,14 +477,7 @@ def _(t):
     return tidy(drift.kolmogorov_smirnov(drift.stacked(*_sides(t), DRIFT_FEATURES)))
 
 
-@query(
-    "drift_report",
-    f"""WITH {DRIFT_CTES} SELECT feature, {RS('mean_change std_change missing_ratio_change psi ks_stat ks_pvalue')},
-    CASE WHEN psi >= 0.25 OR ks_pvalue < 0.01 THEN 'HIGH' WHEN psi >= 0.1 OR ks_pvalue < 0.05 THEN 'MEDIUM' ELSE 'LOW' END AS status,
-    CASE WHEN psi >= 0.25 OR ks_pvalue < 0.01 THEN 'Investigate data feed / Retrain model immediately'
-     WHEN psi >= 0.1 OR ks_pvalue < 0.05 THEN 'Monitor closely / Schedule retrain' ELSE 'No action required' END AS recommended_action
-    FROM mo JOIN psi USING (feature) JOIN ks USING (feature)""",
-)
+@query("drift_report", f"WITH {DRIFT_CTES} {REPORT_SQL}")
 def _(t):
     return tidy(drift.drift_table(*_sides(t), DRIFT_FEATURES))
 

@@ -1,14 +1,17 @@
-"""Queries over linear walk-forward models."""
+"""Queries over linear walk-forward models and the frozen reference of a saved model."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelark.operators import folds, ic, linear, models, price
+from panelark.operators import drift, folds, ic, linear, models, price
 from panelark.operators.selection import without_sentiment
 from panelark.plans.catalog_features import KEYS, LABEL, W, chg
-from panelark.plans.catalog_inference import DATES, ic_ctes
+from panelark.plans import research
+from panelark.plans.catalog_inference import DATES, MEASURES, REPORT_SQL, ic_ctes
 from panelark.plans.registry import TICKS_CTE, R, query, tidy
+from panelark.session import cut_lineage, scratch_path
+from panelark.sources.bundle import load_bundle, save_bundle
 
 INPUTS = ["return_1d", "return_5d", "volume_change", "sentiment"]
 PAIR = ["return_5d", "sentiment"]
@@ -128,3 +131,47 @@ def _(t):
     scored = linear.walk_forward(df, PAIR, linear.holdout_plan(folds.holdout_split(t.ticks)))
     mean_ic = ic.daily_rank_ic(scored, "prediction").agg(F.avg("ic").alias("ic")).scalar()
     return tidy(models.pooled_metrics(scored).withColumn("ic", mean_ic))
+
+
+# --- frozen reference ---------------------------------------------------------------------
+
+WINDOW_DAYS = 10
+FROZEN = f"""{ROWS}, last_ AS (SELECT max("timestamp") AS m FROM x),
+  sides AS (SELECT true AS is_ref, * FROM x WHERE y IS NOT NULL UNION ALL
+    SELECT false, * FROM x WHERE "timestamp" > (SELECT m FROM last_) - INTERVAL {WINDOW_DAYS} DAY),
+  both_ AS (SELECT feature, is_ref, v AS x FROM (SELECT is_ref, {', '.join(INPUTS)} FROM sides)
+    UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(INPUTS)}))), {MEASURES}"""
+
+
+def _scored(t):
+    """Train, save, load and score; the drift tables compare with the saved counts of all labelled rows."""
+    steps = [price.add_returns, price.add_volume, price.add_label]
+    df = cut_lineage(price.price_features(t.ticks, steps))
+    folder = scratch_path(t.spark, "bundle")
+    save_bundle(research.train_model(df, INPUTS), folder)
+    return research.score_universe(df, load_bundle(t.spark, folder), days=WINDOW_DAYS)
+
+
+@query("scored_drift", f"WITH {FROZEN} {REPORT_SQL}")
+def _(t):
+    return tidy(_scored(t)["drift"])
+
+
+@query(
+    "scored_drift_gate",
+    f"""WITH {FROZEN}, g AS (SELECT (SELECT count(*) FROM sides WHERE NOT is_ref) AS current_rows, count(*) FILTER (WHERE psi > 0.25) AS breaches FROM psi)
+    SELECT current_rows, breaches, CASE WHEN current_rows < 100 THEN 'SKIP' WHEN breaches >= 3 THEN 'HIGH' ELSE 'OK' END AS status FROM g""",
+)
+def _(t):
+    return _scored(t)["gate"]
+
+
+@query(
+    "merged_value_counts",
+    f"WITH {ROWS} SELECT feature, {R('v', 'x')}, count(*) AS n FROM (UNPIVOT (SELECT {', '.join(INPUTS)} FROM x) ON {', '.join(INPUTS)} INTO NAME feature VALUE v) GROUP BY 1, 2",
+)
+def _(t):
+    """Counts of the days' rows, made apart and merged."""
+    df = price.price_features(t.ticks, [price.add_returns, price.add_volume]).withColumns({c: F.round(F.col(c) + 1.7e-9, 6) + F.lit(0.0) for c in INPUTS})
+    even = F.dayofmonth("timestamp") % 2 == 0
+    return drift.merge_counts(drift.value_counts(df.where(even), INPUTS), drift.value_counts(df.where(~even), INPUTS))

@@ -11,7 +11,7 @@ from panelark.functions.skew import checked_once
 from panelark.operators import backtest, cross_asset, drift, ic, models, quality, selection, sentiment
 from panelark.operators.folds import holdout_split
 from panelark.operators.price import price_features
-from panelark.operators.rows import complete_rows, latest_session, sanitize, seeded_sample
+from panelark.operators.rows import complete_rows, latest_session, sanitize
 from panelark.operators.weights import cash_weights
 from panelark.schema import BENCH_COL, ONE_WAY_BPS, TARGET
 from panelark.session import cut_lineage
@@ -164,7 +164,7 @@ def holdout_evaluation(
 
 
 def train_model(features: DataFrame, selected: list[str], max_names: int = 5, max_weight: float = 0.30) -> Bundle:
-    """Fit on labelled rows and freeze the model with a reference sample."""
+    """Fit on labelled rows and freeze the model with the value counts of all of them."""
     if not selected:
         raise ValueError("no features selected")
     labelled = complete_rows(features, [TARGET])
@@ -172,12 +172,11 @@ def train_model(features: DataFrame, selected: list[str], max_names: int = 5, ma
     if last is None:
         raise ValueError("no labelled rows")
     model = models.fit(labelled, selected)
-    sample = seeded_sample(labelled.select("symbol", "timestamp", *selected), 5000, ["symbol", "timestamp"])
     meta = Metadata(feature_cols=list(selected), train_end=str(last), max_names=max_names, max_weight=max_weight)
-    return Bundle(model, meta, sample.select(*selected))
+    return Bundle(model, meta, drift.value_counts(labelled, selected))
 
 
-def score_universe(features: DataFrame, bundle: Bundle, held: DataFrame | None = None) -> dict[str, DataFrame]:
+def score_universe(features: DataFrame, bundle: Bundle, held: DataFrame | None = None, days: int = 60) -> dict[str, DataFrame]:
     """Score the latest session with a frozen model: signals, drift reports and drift gate."""
     names = bundle.meta.feature_cols
     scored = models.predict(bundle.model, latest_session(features), names)
@@ -193,10 +192,11 @@ def score_universe(features: DataFrame, bundle: Bundle, held: DataFrame | None =
         "symbol", "open", "high", "low", "close", "volume", "prediction", "weight",
         F.lit(bundle.meta.execution).alias("execution"),
     )
-    window = drift.evaluation_window(features)
+    window = drift.value_counts(drift.evaluation_window(features, days), names)
+    both = cut_lineage(drift.paired(bundle.reference.where(F.col("feature").isin(names)), window))
     return {
         "signals": signals,
-        "drift": drift.drift_table(bundle.reference, window, names),
-        "gate": drift.drift_gate(bundle.reference, window, names),
+        "drift": drift.drift_report(both),
+        "gate": drift.gate_of(both),
     }
 

@@ -1,4 +1,4 @@
-"""Saved production model: fitted pipeline, metadata and reference sample."""
+"""Saved production model: fitted pipeline, metadata and the value counts of its training rows."""
 
 from __future__ import annotations
 
@@ -29,13 +29,14 @@ class Metadata:
 class Bundle:
     model: PipelineModel
     meta: Metadata
-    reference: DataFrame = field(repr=False)
+    reference: DataFrame = field(repr=False)  # (feature, x, n) over all labelled rows
 
 
 def save_bundle(bundle: Bundle, folder: str) -> None:
     spark = bundle.reference.sparkSession
     bundle.model.write().overwrite().save(f"{folder}/model")
-    bundle.reference.write.mode("overwrite").parquet(f"{folder}/reference")
+    ranged = bundle.reference.repartitionByRange("feature", "x").sortWithinPartitions("feature", "x")
+    ranged.write.mode("overwrite").parquet(f"{folder}/reference")
     text = [(json.dumps(asdict(bundle.meta)),)]
     spark.createDataFrame(text, "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/metadata")
 

@@ -15,9 +15,10 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from panelark.operators.drift import drift_gate
+from panelark.operators import drift
 from panelark.operators.quality import session_issues
 from panelark.schema import BAR_ALIASES
+from panelark.session import cut_lineage
 from panelark.sources.files import bar_columns, symbol_of_file
 
 
@@ -114,11 +115,12 @@ def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10) -> D
 
 
 def monitor(bars: DataFrame, reference: DataFrame, features: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Validate each micro-batch and gate it on drift against a static reference."""
+    """Validate each micro-batch and gate it on drift against a static reference, whose values are counted once."""
+    known = cut_lineage(drift.value_counts(reference, features))
 
     def check(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        gate = drift_gate(reference, batch, features)
+        gate = drift.gate_of(drift.paired(known, drift.value_counts(batch, features)))
         issues = session_issues(batch)
         report = issues.select(
             F.lit(batch_id).alias("batch_id"),
