@@ -357,6 +357,41 @@ def _(t):
     return tidy(quality.session_issues(t.ticks, per_session=True).drop("reasons"))
 
 
+def _reasons_sql(where: str) -> str:
+    gap = 'abs(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY "timestamp"), 0) - 1)'
+    checks = " UNION ALL ".join(f"""SELECT "timestamp", '{c}' AS "check", symbol, NULL::DOUBLE AS value FROM g WHERE {c} IS NULL""" for c in ("open", "high", "low", "close", "volume"))
+    return f"""g AS (SELECT * FROM (SELECT *, {gap} AS gap FROM thin) {where}), rs AS ({checks}
+      UNION ALL SELECT "timestamp", 'no_volume', symbol, volume FROM g WHERE volume <= 0
+      UNION ALL SELECT "timestamp", 'gap', symbol, gap FROM g WHERE gap > 0.2)"""
+
+
+# ticks with some values taken out, and a universe that the latest session does not cover
+_THIN = f"""{TICKS_CTE}, thin AS (SELECT symbol, "timestamp", open, high, low, CASE WHEN volume = 3 THEN NULL ELSE close END AS close,
+  CASE WHEN high - low > 150 THEN 0 ELSE volume END AS volume FROM ticks)"""
+
+
+def _thin(t):
+    volume = F.when(F.col("high") - F.col("low") > 150, 0.0).otherwise(F.col("volume"))
+    return t.ticks.withColumns({"close": F.when(F.col("volume") != 3, F.col("close")), "volume": volume})
+
+
+@query(
+    "session_reasons",
+    f"""WITH {_THIN}, m AS (SELECT max("timestamp") AS m FROM thin), {_reasons_sql('WHERE "timestamp" = (SELECT m FROM m)')},
+    ex AS (SELECT DISTINCT symbol FROM thin WHERE right(symbol, 1) = '7')
+    SELECT "timestamp", "check", symbol, {R('value')} FROM rs UNION ALL SELECT m, 'absent', symbol, NULL FROM ex, m
+    WHERE symbol NOT IN (SELECT symbol FROM thin WHERE "timestamp" = m) AND EXISTS (SELECT 1 FROM ex e JOIN thin h ON e.symbol = h.symbol AND h."timestamp" = m)""",
+)
+def _(t):
+    bars = _thin(t)
+    return tidy(quality.session_reasons(bars, bars.where(F.col("symbol").endswith("7"))))
+
+
+@query("session_reasons_history", f"""WITH {_THIN}, {_reasons_sql('')} SELECT "timestamp", "check", symbol, {R('value')} FROM rs""")
+def _(t):
+    return tidy(quality.session_reasons(_thin(t), per_session=True))
+
+
 @query(
     "dataset_profile",
     f"""WITH {BARS_CTE}, b AS (SELECT "timestamp", avg(close) AS nifty_close FROM bars GROUP BY 1)

@@ -10,7 +10,7 @@ from panelark.operators import folds as fold_ops
 from panelark.operators import models, price, selection
 from panelark.plans import research
 from panelark.plans.catalog_features import KEYS, LABEL, W, chg
-from panelark.plans.catalog_inference import FEAT_CTE, features, ic_ctes
+from panelark.plans.catalog_inference import FEAT_CTE, MEASURES, features, ic_ctes
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
 from panelark.session import cut_lineage, scratch_path
 from panelark.sources import files, sinks
@@ -305,16 +305,31 @@ def _(t):
     return tidy(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
 
 
-@query("stream_monitor")
+WATCHED = ["close", "volume", "sentiment"]
+BORDERS = ["2024-01-15", "2024-01-20", "2024-01-25", "2100-01-01"]  # of the reference and the batches
+MONITOR_SQL = f"""WITH {TICKS_CTE}, b AS (SELECT *, {' + '.join(f"""("timestamp" >= TIMESTAMP '{d}')::INT""" for d in BORDERS)} - 1 AS batch FROM ticks),
+  g AS (SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY "timestamp"), 0) - 1) AS gap FROM b WHERE batch >= 0),
+  s AS (SELECT batch, "timestamp", count(*) AS symbols, count(*) FILTER (WHERE gap > 0.2) AS gaps, max(gap) FILTER (WHERE gap > 0.2) AS largest_gap
+    FROM g WHERE "timestamp" = (SELECT max("timestamp") FROM b z WHERE z.batch = g.batch) GROUP BY ALL),
+  both_ AS (SELECT feature || '|' || batch AS feature, is_ref, v AS x FROM (
+      SELECT k.batch, true AS is_ref, {', '.join(f'b.{c}' for c in WATCHED)} FROM b, (SELECT DISTINCT batch FROM b WHERE batch >= 0) k WHERE b.batch < 0
+      UNION ALL SELECT batch, false, {', '.join(WATCHED)} FROM b WHERE batch >= 0)
+    UNPIVOT INCLUDE NULLS (v FOR feature IN ({', '.join(WATCHED)}))), {MEASURES},
+  d AS (SELECT split_part(feature, '|', 2)::INT AS batch, count(*) FILTER (WHERE psi > 0.25) AS n FROM psi GROUP BY 1),
+  c AS (SELECT batch, count(*) AS n FROM b GROUP BY 1)
+  SELECT s.batch AS batch_id, "timestamp", symbols, gaps, {R('largest_gap')}, gaps = 0 AS valid, (gaps > 0)::INT AS n_reasons,
+    CASE WHEN c.n < 100 THEN 'SKIP' WHEN d.n >= 3 THEN 'HIGH' ELSE 'OK' END AS drift_status FROM s JOIN d USING (batch) JOIN c USING (batch)"""
+
+
+@query("stream_monitor", MONITOR_SQL)
 def _(t):
-    """Each micro-batch of bars is validated and gated against earlier bars."""
+    """Each micro-batch of bars is validated, also against the batch before, and gated against earlier bars."""
     folder = scratch_path(t.spark, "monitor")
-    ticks = t.ticks
-    old = F.col("timestamp") < F.lit("2024-01-15").cast("timestamp_ntz")
-    columns = [*KEYS, "open", "high", "low", "close", "volume", "sentiment"]
-    ticks.where(~old).select(*columns).repartition(3).write.parquet(f"{folder}/in")
-    stream = t.spark.readStream.schema(ticks.select(*columns).schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    watched = ["close", "volume", "sentiment"]
-    jobs.monitor(stream, ticks.where(old), watched, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{folder}/out").drop("batch")
-
+    ticks = t.ticks.select(*KEYS, "open", "high", "low", "close", "volume", "sentiment")
+    day = lambda d: F.lit(d).cast("timestamp_ntz")
+    parts = [ticks.where((F.col("timestamp") >= day(a)) & (F.col("timestamp") < day(b))) for a, b in zip(BORDERS, BORDERS[1:])]
+    for part in parts:  # files arrive one after the other
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.monitor(stream, ticks.where(F.col("timestamp") < day(BORDERS[0])), WATCHED, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return tidy(t.spark.read.parquet(f"{folder}/out").drop("batch"))

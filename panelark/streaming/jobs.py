@@ -17,6 +17,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from panelark.operators import drift
 from panelark.operators.quality import session_issues
+from panelark.operators.rows import last_rows
 from panelark.schema import BAR_ALIASES
 from panelark.session import cut_lineage
 from panelark.sources.files import bar_columns, symbol_of_file
@@ -115,20 +116,28 @@ def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10) -> D
 
 
 def monitor(bars: DataFrame, reference: DataFrame, features: Sequence[str], out: str, checkpoint: str) -> StreamingQuery:
-    """Validate each micro-batch and gate it on drift against a static reference, whose values are counted once."""
+    """Validate the latest session of each micro-batch and gate the batch on drift.
+
+    Two things are kept across batches: the value counts of the reference, made
+    once, and the last bar of every symbol, so that a price gap between two batches
+    is seen. The bars lie in one of two folders in turn; a batch that is run again
+    finds those of the batch before it untouched.
+    """
     known = cut_lineage(drift.value_counts(reference, features))
 
     def check(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         batch = batch.persist()
+        seen = batch
+        if batch_id > 0:
+            seen = batch.unionByName(spark.read.schema(batch.schema).parquet(f"{out}-last/{(batch_id - 1) % 2}"))
+        last_rows(seen, 1).write.mode("overwrite").parquet(f"{out}-last/{batch_id % 2}")
         gate = drift.gate_of(drift.paired(known, drift.value_counts(batch, features)))
-        issues = session_issues(batch)
-        report = issues.select(
-            F.lit(batch_id).alias("batch_id"),
-            "timestamp",
-            "valid",
-            F.size("reasons").alias("n_reasons"),
-            gate.select("status").scalar().alias("drift_status"),
-        )
+        report = session_issues(seen, per_session=True).where(F.col("timestamp") == batch.agg(F.max("timestamp")).scalar())
+        report = report.select(
+            F.lit(batch_id).alias("batch_id"), "timestamp", "symbols", "gaps", "largest_gap", "valid",
+            F.size("reasons").alias("n_reasons"), gate.select("status").scalar().alias("drift_status"),
+        )
         # one folder per batch, so a replayed batch replaces its own report
         report.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
         batch.unpersist()
