@@ -132,7 +132,7 @@ def seeded_sample(df: DataFrame, n: int, keys: Sequence[str], seed: int = 42) ->
 
     ``orderBy.limit`` keeps n rows per task and merges them, there is no full sort.
     """
-    mark = F.xxhash64(F.lit(seed), *[F.col(k) for k in keys])
+    mark = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
     return df.withColumn("_mark", mark).orderBy("_mark", *keys).limit(n).drop("_mark")
 
 

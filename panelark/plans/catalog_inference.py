@@ -706,7 +706,11 @@ def _(t):
     return first.drop("place")
 
 
-@query("seeded_sample")
+@query(
+    "seeded_sample",
+    f"""WITH {FEAT_CTE} SELECT symbol, "timestamp", {R('return_5d')} FROM feat
+    ORDER BY md5('42|' || symbol || '|' || strftime("timestamp", '%Y-%m-%d %H:%M:%S')), symbol, "timestamp" LIMIT 5000""",
+)
 def _(t):
     return tidy(rows.seeded_sample(features(t), 5000, KEYS).select(*KEYS, "return_5d"))
 

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import datetime as dt
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from panelark.operators import folds as fold_ops
@@ -93,20 +92,37 @@ def _(t):
 
 @query(
     "dated_signal_sink",
-    f"""WITH {FEAT_CTE} SELECT symbol, "timestamp" AS signal_date, {R("-return_5d", "prediction")} FROM feat
-    WHERE "timestamp" = (SELECT max("timestamp") FROM feat)""",
+    f"""WITH {TICKS_CTE} SELECT symbol, "timestamp" AS signal_date, {R("sentiment - 0.5e0 * (close / open - 1)", "prediction")} FROM ticks
+    WHERE "timestamp"::DATE = (SELECT max("timestamp")::DATE FROM ticks)""",
 )
 def _(t):
-    """Dates are written, the last one again; the reader sees the last date once."""
+    """All dates are written, the last one again; the reader sees the last date once."""
     folder = scratch_path(t.spark, "signals")
-    rows = features(t).select("symbol", F.col("timestamp").alias("signal_date"), (-F.col("return_5d")).alias("prediction"))
-    last = rows.agg(F.max("signal_date")).first()[0]
-    since = lambda days: rows.where(F.col("signal_date") >= F.lit(last - dt.timedelta(days=days)).cast("timestamp_ntz"))
-    sinks.write_signals(since(60), folder)  # a run writes the dates since the last one
-    sinks.write_signals(since(30), folder)
+    signal = F.col("sentiment") - 0.5 * (F.col("close") / F.col("open") - 1)
+    rows = t.ticks.select("symbol", F.col("timestamp").alias("signal_date"), signal.alias("prediction"))
+    sinks.write_signals(rows, folder)
+    sinks.write_signals(rows.where(F.to_date("signal_date") == rows.agg(F.max(F.to_date("signal_date"))).scalar()), folder)
     return tidy(sinks.latest_signals(t.spark, folder))
 
 
+@query(
+    "bar_sink",
+    f"""WITH {BARS_CTE} SELECT date_trunc('month', "timestamp")::DATE AS "date", count(*) AS n, count(DISTINCT symbol) AS symbols,
+    {R("sum(close)", "closes", 4)}, true AS in_order FROM bars GROUP BY 1""",
+)
+def _(t):
+    """Bars written by month and read back: totals, and whether rows of each file stand in order of symbol and time."""
+    folder = scratch_path(t.spark, "bars")
+    sinks.write_bars(t.bars, folder, unit="month")
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place")]
+    rows = t.spark.read.parquet(folder).select("date", *KEYS, "close", *place)
+    within = Window.partitionBy("file").orderBy("place")
+    before = F.lag(F.struct(*KEYS)).over(within)
+    placed = rows.withColumn("ok", F.coalesce(before <= F.struct(*KEYS), F.lit(True)))
+    totals = [F.count(F.lit(1)).alias("n"), F.countDistinct("symbol").alias("symbols"), F.sum("close").alias("closes")]
+    return tidy(placed.groupBy("date").agg(*totals, F.bool_and("ok").alias("in_order")), 4)
+
+
 @query(
     "json_summary_sink",
     f"""WITH {BARS_CTE} SELECT symbol, count(*) AS n, {R("max(close)", "top")} FROM bars GROUP BY 1""",
@@ -198,12 +214,27 @@ def _(t):
     return tidy(out)
 
 
-@query("redundancy_pruning")
+RANKED = ["return_5d", "return_5d_again", "return_1d", "return_20d", "sentiment"]
+
+
+def _pruned_sql() -> str:
+    """A feature is kept if no feature kept before it correlates with it above the limit."""
+    value = {f: f if f != "return_5d_again" else "2 * return_5d" for f in RANKED}
+    pairs = ", ".join(f"abs(corr({value[a]}, {value[b]})) > 0.9 AS c{i}_{j}" for j, b in enumerate(RANKED) for i, a in enumerate(RANKED[:j]))
+    steps, name = [f"m AS (SELECT {pairs}, true AS k0 FROM feat)"], "m"
+    for j in range(1, len(RANKED)):
+        hit = " OR ".join(f"(k{i} AND c{i}_{j})" for i in range(j))
+        steps.append(f"m{j} AS (SELECT *, NOT ({hit}) AS k{j} FROM {name})")
+        name = f"m{j}"
+    rows = " UNION ALL ".join(f"SELECT {j} AS r, '{f}' AS feature FROM {name} WHERE k{j}" for j, f in enumerate(RANKED))
+    return f"WITH {FEAT_CTE}, {', '.join(steps)} SELECT (row_number() OVER (ORDER BY r) - 1)::INT AS place, feature FROM ({rows})"
+
+
+@query("redundancy_pruning", _pruned_sql())
 def _(t):
     """Position of each feature that survives the correlation limit."""
     df = features(t).withColumn("return_5d_again", F.col("return_5d") * 2)
-    ranked = ["return_5d", "return_5d_again", "return_1d", "return_20d", "sentiment"]
-    kept = selection.prune_redundant(df, ranked)
+    kept = selection.prune_redundant(df, RANKED)
     return t.spark.createDataFrame(list(enumerate(kept)), "place int, feature string")
 
 
