@@ -318,21 +318,33 @@ def _(t):
     return kept.select("o_custkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
 
 
-STATE_SQL = f"""WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS symbol, ts AS "timestamp", value + 100 AS value,
-    row_number() OVER (PARTITION BY user_id ORDER BY ts) AS k FROM events),
+# events arrive in three batches; every twentieth of the first two comes one batch later
+ARRIVAL = "((ts >= TIMESTAMP '2024-01-11')::INT + (ts >= TIMESTAMP '2024-01-21')::INT)"
+STATE_SQL = f"""WITH RECURSIVE a AS (SELECT user_id::VARCHAR AS symbol, ts, value + 100 AS value,
+    least(2, {ARRIVAL} + (event_id % 20 = 0)::INT) AS batch FROM events),
+  l AS (SELECT *, coalesce(ts <= max(ts) OVER (PARTITION BY symbol ORDER BY batch RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS late FROM a),
+  e AS (SELECT symbol, ts AS "timestamp", value, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM l WHERE NOT late),
   r AS (SELECT symbol, k, "timestamp", value, value AS ewm, value AS peak, 0e0 AS drawdown, false AS paused FROM e WHERE k = 1
     UNION ALL SELECT e.symbol, e.k, e."timestamp", e.value, 0.9e0 * r.ewm + 0.1e0 * e.value, greatest(r.peak, e.value),
       e.value / greatest(r.peak, e.value) - 1, r.paused OR e.value / greatest(r.peak, e.value) - 1 <= -0.1
     FROM r JOIN e ON e.symbol = r.symbol AND e.k = r.k + 1)
-  SELECT symbol, "timestamp", {RS('value ewm peak drawdown')}, paused FROM r"""
+  SELECT symbol, "timestamp", {RS('value ewm peak drawdown')}, paused, false AS late FROM r
+  UNION ALL SELECT symbol, ts, {R('value')}, NULL, NULL, NULL, NULL, true FROM l WHERE late"""
 
 
 @query("stream_running_state", STATE_SQL)
 def _(t):
-    rows = _stream(t, "events").select(
-        F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"), (F.col("value") + 100).alias("value")
+    """State over three micro-batches, with rows that come late."""
+    folder = scratch_path(t.spark, "arrivals")
+    day = lambda d: (F.col("ts") >= F.lit(d).cast("timestamp_ntz")).cast("int")
+    batch = F.least(F.lit(2), day("2024-01-11") + day("2024-01-21") + (F.col("event_id") % 20 == 0).cast("int"))
+    rows = t["events"].select(
+        F.col("user_id").cast("string").alias("symbol"), F.col("ts").alias("timestamp"), (F.col("value") + 100).alias("value"), batch.alias("batch")
     )
-    out = _collected(t, jobs.running_state(rows), "state")
+    for k in range(3):
+        rows.where(F.col("batch") == k).drop("batch").coalesce(1).write.mode("append").parquet(folder)
+    stream = t.spark.readStream.schema(rows.drop("batch").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = _collected(t, jobs.running_state(stream), "state")
     return tidy(out.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
 
 

@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelark.operators import drift
 from panelark.operators.quality import session_issues
@@ -71,47 +72,68 @@ def first_writes(signals: DataFrame, keys: Sequence[str], time: str, delay: str
     return timed.dropDuplicatesWithinWatermark(list(keys))
 
 
-STATE = "ewm double, peak double, paused boolean, last timestamp"
-OUTPUT = "symbol string, timestamp timestamp, value double, ewm double, peak double, drawdown double, paused boolean"
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+OUTPUT = (
+    "symbol string, timestamp timestamp, value double, ewm double, peak double, drawdown double, paused boolean, late boolean"
+)
 
 
-def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10) -> DataFrame:
-    """Per symbol: exponential mean, running peak and a sticky pause flag, kept across batches.
+class RunningState(StatefulProcessor):
+    """Exponential mean, running peak, sticky pause flag and last time of one symbol, kept in a state store.
 
-    Rows are (symbol, timestamp, value) and arrive in time order per symbol from
-    batch to batch. State is a few numbers per symbol.
+    A row no later than the last one of an earlier batch cannot be folded in any
+    more: it is passed on with ``late`` set and changes nothing. With ``idle_ms`` a
+    symbol that gets no row for so long is forgotten.
     """
 
-    def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        mean, peak, paused, last = state.get if state.exists else (None, None, False, None)
-        batch = pd.concat(list(frames)).sort_values("timestamp")
-        means, peaks, falls, flags = [], [], [], []
-        for value in batch["value"]:
-            mean = value if mean is None else (1 - alpha) * mean + alpha * value
-            peak = value if peak is None else max(peak, value)
-            fall = value / peak - 1.0 if peak else 0.0
-            paused = bool(paused or fall <= -abs(limit))
-            means.append(mean)
-            peaks.append(peak)
-            falls.append(fall)
-            flags.append(paused)
-        last = batch["timestamp"].max()
-        state.update((float(mean), float(peak), paused, last))
-        yield pd.DataFrame(
-            {
-                "symbol": key[0],
-                "timestamp": batch["timestamp"].to_numpy(),
-                "value": batch["value"].to_numpy(),
-                "ewm": means,
-                "peak": peaks,
-                "drawdown": falls,
-                "paused": flags,
-            }
-        )
+    def __init__(self, alpha: float, limit: float, idle_ms: int | None):
+        self.alpha, self.limit, self.idle_ms = alpha, limit, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("running", "ewm double, peak double, paused boolean, last timestamp")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  names of the API
+        batch = pd.concat(list(rows)).sort_values("timestamp", kind="stable").reset_index(drop=True)
+        known = self.state.get() if self.state.exists() else None
+        late = batch["timestamp"] <= pd.Timestamp(known[3]) if known else pd.Series(False, batch.index)
+        out = batch[["symbol", "timestamp", "value"]].assign(ewm=np.nan, peak=np.nan, drawdown=np.nan, paused=None, late=late)
+        own = batch[~late]
+        if len(own):
+            values = own["value"].to_numpy(float)
+            # the state stands before the batch as one more value
+            before = np.r_[known[0] if known else values[0], values]
+            means = pd.Series(before).ewm(alpha=self.alpha, adjust=False).mean().to_numpy()[1:]
+            peaks = np.maximum.accumulate(np.r_[known[1] if known else values[0], values])[1:]
+            falls = np.where(peaks != 0, values / np.where(peaks != 0, peaks, 1.0) - 1.0, 0.0)
+            paused = np.logical_or.accumulate(np.r_[bool(known and known[2]), falls <= -abs(self.limit)])[1:]
+            out.loc[~late, ["ewm", "peak", "drawdown"]] = np.column_stack([means, peaks, falls])
+            out.loc[~late, "paused"] = paused
+            self.state.update((float(means[-1]), float(peaks[-1]), bool(paused[-1]), own["timestamp"].iloc[-1].to_pydatetime()))
+        if self.idle_ms is not None:
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+        self.state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10, idle_ms: int | None = None) -> DataFrame:
+    """Per symbol: exponential mean, running peak and a sticky pause flag, kept across batches.
 
+    Rows are (symbol, timestamp, value). State is four numbers a symbol in a
+    RocksDB store, so it may outgrow the executors' memory.
+    """
+    rows.sparkSession.conf.set(*STATE_STORE)
     typed = rows.select("symbol", F.col("timestamp").cast("timestamp").alias("timestamp"), "value")
-    return typed.groupBy("symbol").applyInPandasWithState(
-        update, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout
+    return typed.groupBy("symbol").transformWithStateInPandas(
+        RunningState(alpha, limit, idle_ms), T.StructType.fromDDL(OUTPUT), "append", "None" if idle_ms is None else "ProcessingTime"
     )
 
 
