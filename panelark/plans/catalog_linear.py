@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelark.operators import drift, folds, ic, linear, models, price
+from panelark.functions.stats import newey_west
+from panelark.operators import backtest, drift, folds, ic, linear, models, price
 from panelark.operators.selection import without_sentiment
 from panelark.plans.catalog_features import KEYS, LABEL, W, chg
+from panelark.plans import catalog_inference as inference
 from panelark.plans import research
-from panelark.plans.catalog_inference import DATES, MEASURES, REPORT_SQL, ic_ctes
+from panelark.plans.catalog_inference import DATES, MEASURES, REPORT_SQL, ic_ctes, nw_ctes
+from panelark.plans.catalog_portfolio import DSR_COLUMNS, RULES4, SIG_CTE, TOP_K, bt_ctes, dsr_sql
 from panelark.plans.registry import TICKS_CTE, R, query, tidy
 from panelark.session import cut_lineage, scratch_path
 from panelark.sources.bundle import load_bundle, save_bundle
@@ -22,26 +25,26 @@ ROWS = f"""{TICKS_CTE}, {DATES.format(src='ticks')},
     coalesce({chg('volume', 1)}, 0) AS volume_change, sentiment, {LABEL} AS y FROM ticks WINDOW w AS ({W})),
   x AS (SELECT * FROM tf JOIN dates USING ("timestamp"))"""
 FOLDS = """ck AS (SELECT "timestamp", date_idx, ntile(6) OVER (ORDER BY "timestamp") - 1 AS chunk FROM dates),
-  st AS (SELECT chunk AS fold, min(date_idx) AS first FROM ck WHERE chunk > 0 GROUP BY 1),
-  plan AS (SELECT fold, 'train' AS role, "timestamp" FROM ck, st WHERE date_idx < first - 6 AND chunk < fold
+  fs AS (SELECT chunk AS fold, min(date_idx) AS first FROM ck WHERE chunk > 0 GROUP BY 1),
+  plan AS (SELECT fold, 'train' AS role, "timestamp" FROM ck, fs WHERE date_idx < first - 6 AND chunk < fold
     UNION ALL SELECT chunk, 'test', "timestamp" FROM ck WHERE chunk > 0)"""
 HOLDOUT = """hs AS (SELECT *, count(*) OVER () AS n FROM dates),
   plan AS (SELECT 1 AS fold, CASE WHEN date_idx >= greatest(2, floor(n * 0.8e0)) THEN 'test' ELSE 'train' END AS role, "timestamp" FROM hs)"""
 
 
-def fit_sql(a: str, b: str) -> str:
-    """Least squares on one or two inputs per fold, from regression aggregates or covariances."""
-    rows = f"""tr AS (SELECT fold, {a} AS a, {b or '0'} AS b, y FROM plan JOIN x USING ("timestamp") WHERE role = 'train' AND y IS NOT NULL)"""
+def fit_sql(a: str, b: str, n: str = "") -> str:
+    """Least squares on one or two inputs per fold, from regression aggregates or covariances; ``n`` ends the tables' names."""
+    rows = f"""tr{n} AS (SELECT fold, {a} AS a, {b or '0'} AS b, y FROM plan JOIN x USING ("timestamp") WHERE role = 'train' AND y IS NOT NULL)"""
     if not b:
-        return f"{rows}, model AS (SELECT fold, regr_intercept(y, a) AS c, regr_slope(y, a) AS ka, 0 AS kb FROM tr GROUP BY 1)"
-    return f"""{rows}, cv AS (SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb,
-      covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM tr GROUP BY 1),
-    kv AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ka, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS kb FROM cv),
-    model AS (SELECT fold, my - ka * ma - kb * mb AS c, ka, kb FROM kv)"""
+        return f"{rows}, model{n} AS (SELECT fold, regr_intercept(y, a) AS c, regr_slope(y, a) AS ka, 0 AS kb FROM tr{n} GROUP BY 1)"
+    return f"""{rows}, cv{n} AS (SELECT fold, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) AS aa, var_pop(b) AS bb,
+      covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS by_ FROM tr{n} GROUP BY 1),
+    kv{n} AS (SELECT *, (bb * ay - ab * by_) / (aa * bb - ab * ab) AS ka, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS kb FROM cv{n}),
+    model{n} AS (SELECT fold, my - ka * ma - kb * mb AS c, ka, kb FROM kv{n})"""
 
 
-def test_sql(a: str, b: str) -> str:
-    return f"""oof AS (SELECT fold, symbol, "timestamp", c + ka * {a} + kb * {b or '0'} AS prediction, y FROM model
+def test_sql(a: str, b: str, n: str = "") -> str:
+    return f"""oof{n} AS (SELECT fold, symbol, "timestamp", c + ka * {a} + kb * {b or '0'} AS prediction, y FROM model{n}
       JOIN plan USING (fold) JOIN x USING ("timestamp") WHERE role = 'test')"""
 
 
@@ -82,8 +85,7 @@ METRICS = f"""{R("sqrt(avg((y - prediction) ** 2))", "rmse")}, {R("1 - avg((y -
 @query(
     "linear_ablation",
     f"""WITH {ROWS}, {FOLDS}, {fit_sql(*PAIR)}, {test_sql(*PAIR)},
-    {fit_sql('return_5d', '').replace('tr AS', 'tr1 AS').replace('FROM tr', 'FROM tr1').replace('model AS', 'model1 AS')},
-    {test_sql('return_5d', '').replace('oof AS', 'oof1 AS').replace('FROM model', 'FROM model1')}
+    {fit_sql('return_5d', '', '1')}, {test_sql('return_5d', '', '1')}
     SELECT 'with' AS inputs, count(*) AS n, {METRICS} FROM oof WHERE y IS NOT NULL
     UNION ALL SELECT 'without', count(*) AS n, {METRICS} FROM oof1 WHERE y IS NOT NULL""",
 )
@@ -133,6 +135,38 @@ def _(t):
     return tidy(models.pooled_metrics(scored).withColumn("ic", mean_ic))
 
 
+# --- comparison of strategies -------------------------------------------------------------
+
+OHLCV_PAIR = ["return_5d", "volume_change"]
+SIX = [*RULES4, "prediction_ohlcv", "prediction_full"]
+COMPARED = research.COMPARED
+COMPARED_SQL = f"""WITH {SIG_CTE}, {DATES.format(src='feat')}, {FOLDS}, x AS (SELECT *, future_return_5d AS y FROM feat),
+  {fit_sql(*OHLCV_PAIR, 'o')}, {test_sql(*OHLCV_PAIR, 'o')}, {fit_sql(*PAIR, 'f')}, {test_sql(*PAIR, 'f')},
+  six AS (SELECT * FROM sig UNION ALL SELECT 'prediction_ohlcv', "timestamp", symbol, open, future_return_5d, coalesce(prediction, 0) FROM feat
+      LEFT JOIN oofo USING (symbol, "timestamp")
+    UNION ALL SELECT 'prediction_full', "timestamp", symbol, open, future_return_5d, coalesce(prediction, 0) FROM feat LEFT JOIN ooff USING (symbol, "timestamp")),
+  sd AS (SELECT strategy, "timestamp", signal AS x, future_return_5d AS y FROM six), {ic_ctes('sd', 'strategy, "timestamp"')}, {nw_ctes('ic', 'strategy', '"timestamp"')},
+  {bt_ctes('six')}, ds AS ({DSR_COLUMNS}),
+  mt AS (SELECT ds.strategy, nw.ic, t_stat, sharpe, {', '.join(f'{dsr_sql(n)} AS dsr_{n}' for n in (41, 100, 200))}, max_drawdown, turnover
+    FROM ds LEFT JOIN nw ON nw.strategy = ds.strategy),
+  u AS (FROM mt UNPIVOT INCLUDE NULLS (v FOR metric IN ({', '.join(COMPARED)})))
+  SELECT metric, {', '.join(R(f"max(v) FILTER (WHERE strategy = '{s}')", s) for s in SIX)} FROM u GROUP BY 1"""
+
+
+@query("six_strategies", COMPARED_SQL)
+def _(t):
+    """The research table: eight measures of four rules and two walk-forward models."""
+    df = cut_lineage(inference.features(t))
+    plan = cut_lineage(folds.fold_dates(df))
+    predictions = {"prediction_ohlcv": linear.walk_forward(df, OHLCV_PAIR, plan), "prediction_full": linear.walk_forward(df, PAIR, plan)}
+    signals = cut_lineage(research.signal_rows(df, predictions))
+    daily = ic.daily_rank_ic(signals, "signal", by=["strategy"])
+    errors = newey_west(daily, "ic", "timestamp", ["strategy"]).select("strategy", "ic", "t_stat")
+    net = backtest.net_returns(backtest.panel_periods(signals, top_k=TOP_K, filter_inactive=False))
+    table = backtest.deflated_sharpe(backtest.performance(net)).join(errors, "strategy", "left")
+    return tidy(backtest.comparison_table(table, SIX, COMPARED))
+
+
 # --- frozen reference ---------------------------------------------------------------------
 
 WINDOW_DAYS = 10

@@ -170,8 +170,9 @@ def dsr_sql(trials: int) -> str:
     return f"CASE WHEN n_periods >= 5 AND std_return > 0 THEN {cdf_sql(f'((sr * sqrt(252e0 / 5) - {best!r}) / (se + 1e-8))')} ELSE 0 END"
 
 
-DSR = f"""{BT}, ds AS (SELECT *, mean_return / nullif(std_return, 0) AS sr, sqrt(greatest((1 - skew * (mean_return / std_return)
-  + (kurtosis - 1) / 4 * (mean_return / std_return) ** 2) / greatest(n_periods - 1, 1), 1e-8)) * sqrt(252e0 / 5) AS se FROM st)
+DSR_COLUMNS = """SELECT *, mean_return / nullif(std_return, 0) AS sr, sqrt(greatest((1 - skew * (mean_return / nullif(std_return, 0))
+  + (kurtosis - 1) / 4 * (mean_return / nullif(std_return, 0)) ** 2) / greatest(n_periods - 1, 1), 1e-8)) * sqrt(252e0 / 5) AS se FROM st"""
+DSR = f"""{BT}, ds AS ({DSR_COLUMNS})
   SELECT strategy, n_periods, {RS('sharpe sortino max_drawdown turnover')}, {R('ln(1 + cumulative_return)', 'log_growth')},
   {', '.join(R(dsr_sql(n), f'dsr_{n}') for n in backtest.TRIAL_COUNTS)} FROM ds"""
 

@@ -47,7 +47,7 @@ class ResearchResult:
     selected: list[str]
 
 
-def _signal_rows(df: DataFrame, predictions: dict[str, DataFrame]) -> DataFrame:
+def signal_rows(df: DataFrame, predictions: dict[str, DataFrame]) -> DataFrame:
     """Rule signals and model predictions as (strategy, ...) rows; unpredicted dates get 0."""
     rows = backtest.rule_signals(df)
     for name, scored in predictions.items():
@@ -94,7 +94,7 @@ def run_research(
     ablated, _ = models.nested_walk_forward(validation, plain, splits, top_k=top_k)
     full = cut_lineage(full)
     predictions = {"prediction_ohlcv": base, "prediction_full": full, "prediction_ablated": ablated}
-    signals = cut_lineage(_signal_rows(validation, predictions))
+    signals = cut_lineage(signal_rows(validation, predictions))
 
     daily = ic.daily_rank_ic(signals, "signal", by=["strategy"])
     inference = cut_lineage(ic.ic_inference(daily, ["strategy"]))
