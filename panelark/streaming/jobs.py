@@ -82,15 +82,13 @@ class RunningState(StatefulProcessor):
     """Exponential mean, running peak, sticky pause flag and last time of one symbol, kept in a state store.
 
     A row no later than the last one of an earlier batch cannot be folded in any
-    more: it is passed on with ``late`` set and changes nothing. With ``idle_ms`` a
-    symbol that gets no row for so long is forgotten.
+    more: it is passed on with ``late`` set and changes nothing.
     """
 
-    def __init__(self, alpha: float, limit: float, idle_ms: int | None):
-        self.alpha, self.limit, self.idle_ms = alpha, limit, idle_ms
+    def __init__(self, alpha: float, limit: float):
+        self.alpha, self.limit = alpha, limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
         self.state = handle.getValueState("running", "ewm double, peak double, paused boolean, last timestamp")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  names of the API
@@ -110,21 +108,13 @@ class RunningState(StatefulProcessor):
             out.loc[~late, ["ewm", "peak", "drawdown"]] = np.column_stack([means, peaks, falls])
             out.loc[~late, "paused"] = paused
             self.state.update((float(means[-1]), float(peaks[-1]), bool(paused[-1]), own["timestamp"].iloc[-1].to_pydatetime()))
-        if self.idle_ms is not None:
-            for timer in self.handle.listTimers():
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
         yield out
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        self.state.clear()
-        yield from ()
-
     def close(self) -> None:
         pass
 
 
-def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10, idle_ms: int | None = None) -> DataFrame:
+def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10) -> DataFrame:
     """Per symbol: exponential mean, running peak and a sticky pause flag, kept across batches.
 
     Rows are (symbol, timestamp, value). State is four numbers a symbol in a
@@ -133,7 +123,7 @@ def running_state(rows: DataFrame, alpha: float = 0.1, limit: float = 0.10, idle
     rows.sparkSession.conf.set(*STATE_STORE)
     typed = rows.select("symbol", F.col("timestamp").cast("timestamp").alias("timestamp"), "value")
     return typed.groupBy("symbol").transformWithStateInPandas(
-        RunningState(alpha, limit, idle_ms), T.StructType.fromDDL(OUTPUT), "append", "None" if idle_ms is None else "ProcessingTime"
+        RunningState(alpha, limit), T.StructType.fromDDL(OUTPUT), "append", "None"
     )
 
 
