@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from panelark.functions.calendar import calendar
 from panelark.functions.ranks import average_rank
 from panelark.functions.stats import bootstrap_mean_ci, newey_west
-from panelark.operators import drift, folds, ic, price, quality, rows, selection
+from panelark.operators import drift, folds, ic, neighbours, price, quality, rows, selection
 from panelark.plans.catalog_features import KEYS, LABEL, RET1, TAIL, W, chg, steps
 from panelark.plans.registry import BARS_CTE, TICKS_CTE, R, RS, query, tidy
 from panelark.session import cut_lineage
@@ -196,6 +196,39 @@ def _(t):
     return tidy(selection.mutual_information(long(t)))
 
 
+def _psi(n: str) -> str:
+    """SQL of ``neighbours.digamma``."""
+    z = f"(({n}) + 6e0)"
+    series = f"(1e0/12 - (1e0/120 - (1e0/252 - 1e0/240 / ({z}*{z})) / ({z}*{z})) / ({z}*{z})) / ({z}*{z})"
+    return f"(ln({z}) - 0.5e0 / {z} - {series} - {' - '.join(f'1e0 / (({n}) + {i}e0)' for i in range(6))})"
+
+
+NEAREST_CTES = f"""dm AS (SELECT feature, "timestamp", avg(x) AS x, avg(y) AS y FROM long GROUP BY 1, 2),
+  sd AS (SELECT feature, stddev_pop(x) AS sx, stddev_pop(y) AS sy FROM dm GROUP BY 1),
+  pt AS MATERIALIZED (SELECT feature, row_number() OVER () AS i, coalesce(round(x / nullif(sx, 0) * 1e9), 0)::BIGINT AS px,
+    coalesce(round(y / nullif(sy, 0) * 1e9), 0)::BIGINT AS py FROM dm JOIN sd USING (feature)),
+  kn AS MATERIALIZED (SELECT a.feature, a.i, min(greatest(abs(a.px - b.px), abs(a.py - b.py)), 3)[3] AS r
+    FROM pt a JOIN pt b ON a.feature = b.feature AND a.i <> b.i GROUP BY 1, 2),
+  cn AS (SELECT a.feature, a.i, any_value(r) AS r, count(*) FILTER (abs(a.px - b.px) < r OR (r = 0 AND a.px = b.px))::DOUBLE AS nx,
+    count(*) FILTER (abs(a.py - b.py) < r OR (r = 0 AND a.py = b.py))::DOUBLE AS ny,
+    count(*) FILTER (a.px = b.px AND a.py = b.py)::DOUBLE AS nw
+    FROM pt a JOIN kn USING (feature, i) JOIN pt b ON a.feature = b.feature GROUP BY 1, 2),
+  nm AS (SELECT feature, greatest({_psi('count(*)')} + avg({_psi('CASE WHEN r > 0 THEN 3e0 ELSE nw END')} - {_psi('nx')} - {_psi('ny')}), 0)
+    AS mutual_info FROM cn GROUP BY 1)"""
+
+
+@query("nearest_mutual_information")
+def _(t):
+    return tidy(neighbours.nearest_mutual_information(long(t)))
+
+
+@query("daily_mutual_information", f"WITH {LONG_CTE}, {NEAREST_CTES} SELECT feature, {R('mutual_info')} FROM nm")
+def _(t):
+    """How much the cross-section mean of a feature says about the mean label of its date."""
+    means = long(t).groupBy("feature", "timestamp").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    return tidy(neighbours.nearest_mutual_information(means))
+
+
 SCORE_CTES = f"""{LONG_CTE}, {FIC}, s AS ({STATS_SQL}), {STAB_CTES}, {MI_CTES},
   sc AS (SELECT s.*, stability, mutual_info, 0.35e0 * abs(mean_ic) + 0.25e0 * least(abs(icir), 3) / 3 + 0.2e0 * stability
     + 0.2e0 * least(mutual_info * 10, 1) AS score FROM s JOIN stab USING (feature) JOIN mi USING (feature))"""
