@@ -108,7 +108,7 @@ def kill_switch(history: DataFrame, limit: float = 0.10, key: str = "portfolio",
 
 
 def upsert_history(entries: DataFrame, keys: Sequence[str], write_order: str) -> DataFrame:
-    """One entry per key, the last write wins. A partial aggregate, no sort."""
+    """One entry per key, the last write wins. A partial aggregate that leaves one row a key before the shuffle."""
     rest = [c for c in entries.columns if c not in keys]
     last = entries.groupBy(*keys).agg(F.max_by(F.struct(*rest), write_order).alias("_row"))
     return last.select(*keys, "_row.*").select(*entries.columns)

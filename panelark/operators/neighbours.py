@@ -21,7 +21,7 @@ from panelark.functions.windows import per_group, running
 from panelark.session import cut_lineage
 
 UNITS = 1e9
-CELL_POINTS = 1024
+CELL_POINTS = 512
 VISITS_PER_TASK = 1 << 17
 QUERY_BLOCK = 512
 

@@ -6,6 +6,8 @@ columns; ``price_features`` chains them so that all windows share one exchange.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -135,12 +137,21 @@ def add_momentum(df: DataFrame, s: Series) -> DataFrame:
 
 
 def add_extremes(df: DataFrame, s: Series) -> DataFrame:
+    """Distances from the extremes of a year: of short frames, then of those frames a step apart.
+
+    A row thus compares about two roots of the year's rows instead of all of them.
+    """
+    step = math.isqrt(YEAR_ROWS) + 1
+    back = [*range(0, YEAR_ROWS - step, step), YEAR_ROWS - step]
+    df = df.withColumns({"_high_part": s.highest("high", step), "_low_part": s.lowest("low", step)})
+    high = F.greatest(*[s.lag("_high_part", n) for n in back])
+    low = F.least(*[s.lag("_low_part", n) for n in back])
     return df.withColumns(
         {
-            "distance_from_52w_high": zero_null(ratio("close", s.highest("high", YEAR_ROWS)) - 1),
-            "distance_from_52w_low": zero_null(ratio("close", s.lowest("low", YEAR_ROWS)) - 1),
+            "distance_from_52w_high": zero_null(ratio("close", high) - 1),
+            "distance_from_52w_low": zero_null(ratio("close", low) - 1),
         }
-    )
+    ).drop("_high_part", "_low_part")
 
 
 def add_volume(df: DataFrame, s: Series) -> DataFrame:

@@ -121,7 +121,7 @@ def symbol_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """One row per key: the first in an explicit order. A partial aggregate, no sort."""
+    """One row per key: the first in an explicit order. A partial aggregate that leaves one row a key before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     picked = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), order).alias("_row"))
     return picked.select(*keys, "_row.*").select(*df.columns)
