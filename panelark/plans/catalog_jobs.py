@@ -308,7 +308,30 @@ def _(t):
 def _(t):
     """Windows still open at the watermark are not emitted."""
     ticks = _stream(t, "events").withColumnRenamed("event_type", "symbol")
-    return _collected(t, jobs.tick_bars(ticks), "ticks")
+    return _collected(t, jobs.tick_bars(ticks), "ticks").drop("last_tick")
+
+
+# ticks arrive in three batches that meet within a bar
+MEETINGS = ["2024-01-11 00:30:00", "2024-01-21 12:30:00"]
+
+
+@query(
+    "stream_live_bars",
+    f"""WITH e AS (SELECT *, {' + '.join(f"(ts >= TIMESTAMP '{d}')::INT" for d in MEETINGS)} AS batch FROM events)
+    SELECT event_type AS symbol, time_bucket(INTERVAL 1 HOUR, ts) AS "timestamp", arg_min(value, ts) AS open, max(value) AS high,
+      min(value) AS low, arg_max(value, ts) AS close, count(*)::DOUBLE AS volume, max(ts) AS last_tick, count(DISTINCT batch) AS versions,
+      time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events) AS final FROM e GROUP BY ALL""",
+)
+def _(t):
+    """All bars as they stand when the ticks end, those still open included."""
+    folder = scratch_path(t.spark, "live")
+    ticks = t["events"].select(F.col("event_type").alias("symbol"), "ts", "value")
+    batch = sum((F.col("ts") >= F.lit(d).cast("timestamp_ntz")).cast("int") for d in MEETINGS)
+    for k in range(len(MEETINGS) + 1):  # files arrive one after the other
+        ticks.where(batch == k).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = t.spark.readStream.schema(ticks.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    jobs.live_bars(jobs.tick_bars(stream), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return jobs.newest_bars(t.spark, f"{folder}/out")
 
 
 @query("stream_first_writes", "SELECT DISTINCT o_custkey, o_orderdate FROM orders")

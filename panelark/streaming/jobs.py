@@ -43,7 +43,11 @@ def bar_stream(spark: SparkSession, path: str, header: Sequence[str], files_per_
 
 
 def tick_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    """Tumbling bars from (symbol, ts, value) ticks. Rows later than ``delay`` are dropped."""
+    """Tumbling bars from (symbol, ts, value) ticks. Rows later than ``delay`` are dropped.
+
+    In append mode a bar comes out once, when it is closed; ``live_bars`` also
+    shows the open ones.
+    """
     timed = ticks.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "value").withWatermark("ts", delay)
     return (
         timed.groupBy(F.window("ts", width), "symbol")
@@ -53,6 +57,7 @@ def tick_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "1 hour") ->
             F.min("value").alias("low"),
             F.max_by("value", "ts").alias("close"),
             F.count(F.lit(1)).cast("double").alias("volume"),
+            F.max("ts").alias("last_tick"),
         )
         .select(
             "symbol",
@@ -62,10 +67,45 @@ def tick_bars(ticks: DataFrame, width: str = "1 hour", delay: str = "1 hour") ->
             "low",
             "close",
             "volume",
+            F.col("last_tick").cast("timestamp_ntz").alias("last_tick"),
         )
     )
 
 
+def live_bars(bars: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Write each version of a bar as its ticks come in, open bars included.
+
+    Every micro-batch has a folder of its own, so one that runs again replaces
+    what it wrote before.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return (
+        bars.writeStream.outputMode("update")
+        .foreachBatch(write)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def newest_bars(spark: SparkSession, out: str, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """The last version of each bar of ``live_bars``, with the number of versions.
+
+    ``final`` bars end at or before the last tick of all less the delay. The
+    stream must have handled a micro-batch.
+    """
+    versions = spark.read.parquet(out)
+    count = versions.groupBy("symbol", "timestamp").agg(F.count(F.lit(1)).alias("versions"))
+    last = last_rows(versions, 1, ["symbol", "timestamp"], "batch").drop("batch")
+    # one row
+    seen = F.broadcast(versions.agg(F.max("last_tick").alias("_seen")))
+    final = F.col("timestamp") + F.expr(f"INTERVAL {width}") <= F.col("_seen") - F.expr(f"INTERVAL {delay}")
+    return last.join(count, ["symbol", "timestamp"]).join(seen).withColumn("final", final).drop("_seen")
+
+
 def first_writes(signals: DataFrame, keys: Sequence[str], time: str, delay: str = "7 days") -> DataFrame:
     """Append-only signal rows: a key already seen within the delay is dropped."""
     timed = signals.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)

@@ -71,6 +71,29 @@ def test_a_restarted_stream_goes_on_from_its_state(spark, tmp_path):
     assert rows.where("symbol = 'a' AND value = 200").first().paused
 
 
+def test_live_bars_show_open_windows_and_replace_older_versions(spark, tmp_path):
+    def tick(s, minute, value):
+        return (s, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=minute), value)
+
+    batches = [
+        [tick("a", 5, 10.0), tick("a", 30, 12.0), tick("b", 10, 1.0)],
+        [tick("a", 50, 9.0), tick("a", 70, 8.0)],
+        [tick("a", 400, 7.0)],
+        [tick("b", 410, 2.0)],
+        [tick("a", 20, 99.0)],  # late: Spark judges it by the ticks up to two batches before
+    ]
+    stream = arrive(spark, str(tmp_path / "in"), batches, "symbol string, ts timestamp, value double")
+    jobs.live_bars(jobs.tick_bars(stream), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination()
+    rows = {(r.symbol, r.timestamp.hour): r for r in jobs.newest_bars(spark, str(tmp_path / "out")).collect()}
+    assert {k: (r.open, r.high, r.low, r.close, r.volume, r.versions, r.final) for k, r in rows.items()} == {
+        ("a", 0): (10.0, 12.0, 9.0, 9.0, 3.0, 2, True),
+        ("b", 0): (1.0, 1.0, 1.0, 1.0, 1.0, 1, True),
+        ("a", 1): (8.0, 8.0, 8.0, 8.0, 1.0, 1, True),
+        ("a", 6): (7.0, 7.0, 7.0, 7.0, 1.0, 1, False),
+        ("b", 6): (2.0, 2.0, 2.0, 2.0, 1.0, 1, False),
+    }
+
+
 BAR = "symbol string, timestamp timestamp_ntz, open double, high double, low double, close double, volume double, sentiment double"
 
 
