@@ -127,7 +127,9 @@ def fit(
     build = _fitted(list(features), top_k, max_corr, least)
     if scores is None:
         return grams.groupBy("fold").applyInPandas(lambda sums: build(sums), MODEL)
-    pair = grams.groupBy("fold").cogroup(scores.select("fold", "feature", "score").groupBy("fold"))
+    # new names, as both sides may come from the same plan of folds
+    given = scores.select(*[F.col(c).alias(c) for c in ("fold", "feature", "score")])
+    pair = grams.groupBy("fold").cogroup(given.groupBy("fold"))
     return pair.applyInPandas(lambda sums, given: build(sums, given), MODEL)
 
 
@@ -164,7 +166,7 @@ def nested_walk_forward(
     from panelark.operators import ic
 
     plan = plan if plan is not None else cut_lineage(fold_dates(df, splits, embargo))
-    daily = ic.daily_rank_ic(ic.long_features(df, features, target), "x", "y", by=["feature"])
+    daily = ic.feature_rank_ic(df, features, target)
     models = fit(fold_grams(df, features, plan, target), features, fold_scores(daily, plan), top_k, max_corr, min_ic)
     return predict(df, plan, models, features).select("fold", "timestamp", "symbol", "prediction", target, "chosen")
 
