@@ -13,7 +13,7 @@ from panelark.plans import research
 from panelark.plans.catalog_inference import DATES, MEASURES, REPORT_SQL, ic_ctes, nw_ctes
 from panelark.plans.catalog_portfolio import DSR_COLUMNS, RULES4, SIG_CTE, TOP_K, bt_ctes, dsr_sql
 from panelark.plans.registry import TICKS_CTE, R, query, tidy
-from panelark.session import cut_lineage, scratch_path
+from panelark.session import cut_lineage, scratch_path, written
 from panelark.sources.bundle import load_bundle, save_bundle
 
 INPUTS = ["return_1d", "return_5d", "volume_change", "sentiment"]
@@ -156,13 +156,13 @@ COMPARED_SQL = f"""WITH {SIG_CTE}, {DATES.format(src='feat')}, {FOLDS}, x AS (SE
 @query("six_strategies", COMPARED_SQL)
 def _(t):
     """The research table: eight measures of four rules and two walk-forward models."""
-    df = cut_lineage(inference.features(t))
+    df = written(inference.features(t).select(*KEYS, "open", "return_5d", "momentum_12_1", "volume_change", "sentiment", "future_return_5d"), "bars")
     plan = cut_lineage(folds.fold_dates(df))
     predictions = {"prediction_ohlcv": linear.walk_forward(df, OHLCV_PAIR, plan), "prediction_full": linear.walk_forward(df, PAIR, plan)}
-    signals = cut_lineage(research.signal_rows(df, predictions))
-    daily = ic.daily_rank_ic(signals, "signal", by=["strategy"])
+    columns, names = research.signal_columns(df, predictions)
+    daily = written(ic.feature_rank_ic(columns, names).withColumnRenamed("feature", "strategy"), "daily-ic")
     errors = newey_west(daily, "ic", "timestamp", ["strategy"]).select("strategy", "ic", "t_stat")
-    net = backtest.net_returns(backtest.panel_periods(signals, top_k=TOP_K, filter_inactive=False))
+    net = backtest.net_returns(backtest.panel_periods(backtest.long_signals(columns, names), top_k=TOP_K, filter_inactive=False, stored=True))
     table = backtest.deflated_sharpe(backtest.performance(net)).join(errors, "strategy", "left")
     return tidy(backtest.comparison_table(table, SIX, COMPARED))
 
