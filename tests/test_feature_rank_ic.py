@@ -51,3 +51,9 @@ def test_groups_are_counted_in_one_job_and_without_values(spark, monkeypatch, tm
         spark.conf.unset("spark.panelark.skew.smallInputBytes")
         context.setLocalProperty("spark.jobGroup.id", None)
     assert len(counted) == 1 and len(jobs) <= 3
+
+
+def test_stability_shuffles_no_long_rows_by_date(spark):
+    long = ic.long_features(spark.createDataFrame(rows(), SCHEMA), ["a", "b"])
+    plan = ic.stability(long)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
