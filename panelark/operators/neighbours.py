@@ -2,33 +2,38 @@
 
 Both sides are scaled by their standard deviation and kept as whole billionths
 of it, so distances are exact integers. Equal points are one row with a weight.
-Points are cut into slabs of consecutive x, slabs into cells of consecutive y,
-all by running counts, so a cell has about ``CELL_POINTS`` points whatever the
-distribution. A point first searches its own cell; the radius found there says
-which other cells could hold a nearer point, and only those are visited.
+Points are cut into slabs of x, slabs into cells of consecutive y; a value that
+fills several slabs is cut by y as well, so a cell has about ``CELL_POINTS`` points
+whatever the distribution. A task searches a cell leaf by leaf. Only points whose
+radius leaves the cell's box visit other cells: those whose boxes it meets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from panelark.functions.windows import per_group, running
-from panelark.session import cut_lineage
+from panelark.session import cut_lineage, written
 
 UNITS = 1e9
-CELL_POINTS = 512
+CELL_POINTS = 1 << 15
+LEAF_POINTS = 64
+BLOCK_ROWS = 1 << 16  # rows of one axis that a task counts in
 VISITS_PER_TASK = 1 << 17
-QUERY_BLOCK = 512
+PIECES = 4096  # that one feature or one value is cut into at most
+CHUNK = 1 << 20  # distances held at once
+FAR = 1 << 61  # beyond all points
+NONE = 1 << 60
 
 POINT = ["feature", "px", "py"]
-CELL = ["feature", "slab", "cell"]
-LOCAL = "feature string, px long, py long, slab long, cell long, bound long, d array<long>, c array<long>"
-REMOTE = "feature string, px long, py long, d array<long>, c array<long>"
+CELL = ["feature", "cell"]
+PLACED = "feature string, px long, py long, w long, cell long"
+LOCAL = "feature string, px long, py long, w long, bound long, to array<long>, d array<long>, c array<long>"
+REMOTE = "feature string, px long, py long, w long, d array<long>, c array<long>"
 
 
 def digamma(n: Column) -> Column:
@@ -53,109 +58,245 @@ def weighted_points(long: DataFrame) -> DataFrame:
     return named.groupBy(*POINT).agg(F.count(F.lit(1)).alias("w"))
 
 
+# --- cutting ------------------------------------------------------------------------
+
+
+def borders(rows: DataFrame, keys: Sequence[str], column: str, pieces: Callable[[int], float]) -> dict[tuple, np.ndarray]:
+    """Lowest values of the pieces after the first, per group; a value that fills pieces is one of its own.
+
+    At most ``PIECES`` a group. They come from a sketch, so sizes are approximate.
+    """
+    sketch = F.percentile_approx(column, [i / PIECES for i in range(1, PIECES)], 10_000)
+    found = {}
+    for r in rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), sketch.alias("q")).collect():
+        count = max(1, min(PIECES, int(pieces(r["n"]))))
+        picked = np.array([r["q"][i * PIECES // count - 1] for i in range(1, count)], np.int64)
+        values, times = np.unique(picked, return_counts=True)
+        found[tuple(r[k] for k in keys)] = np.union1d(values, values[times > 1] + 1)
+    return found
+
+
 def in_cells(points: DataFrame, cell_points: int) -> DataFrame:
-    """Slab and cell of each point; the last of each takes the rest, so none is nearly empty."""
-
-    def place(seen: Column, size: Column, total: Column) -> Column:
-        return F.least((seen / size).cast("long"), F.greatest((total / size).cast("long") - 1, F.lit(0)))
-
-    columns = points.groupBy("feature", "px").agg(F.count(F.lit(1)).alias("_here"))
-    columns = per_group(columns, ["feature"], {"_all": F.sum("_here")})
-    columns = running(columns, {"_seen": F.col("_here")}, ["feature"], "px")
-    wide = F.ceil(F.sqrt(F.col("_all") * float(cell_points)))
-    columns = columns.select("feature", "px", place(F.col("_seen") - F.col("_here"), wide, F.col("_all")).alias("slab"))
-    slabs = per_group(points.join(columns, ["feature", "px"]), ["feature", "slab"], {"_all": F.count(F.lit(1))})
-    rows = running(slabs.withColumn("_one", F.lit(1)), {"_seen": F.col("_one")}, ["feature", "slab"], "py")
-    cell = place(F.col("_seen") - 1, F.lit(cell_points), F.col("_all"))
-    return rows.select(*POINT, "w", "slab", cell.alias("cell"))
-
-
-def _nearest(qx, qy, px, py, pw, k: int, skip_self: bool):
-    """Distances and weights of the k nearest points for each query, in blocks of queries."""
-    take = min(k, len(px) - skip_self)
-    far, weight = np.empty((len(qx), max(take, 0)), np.int64), np.empty((len(qx), max(take, 0)), np.int64)
-    if take <= 0:
-        return far, weight
-    for start in range(0, len(qx), QUERY_BLOCK):
-        rows = slice(start, start + QUERY_BLOCK)
-        apart = np.maximum(np.abs(qx[rows, None] - px[None, :]), np.abs(qy[rows, None] - py[None, :]))
-        if skip_self:
-            own = np.arange(start, start + len(apart))
-            apart[np.arange(len(apart)), own] = np.iinfo(np.int64).max
-        best = np.argpartition(apart, take - 1, axis=1)[:, :take]
-        reach = np.take_along_axis(apart, best, axis=1)
-        order = np.argsort(reach, axis=1, kind="stable")
-        far[rows] = np.take_along_axis(reach, order, axis=1)
-        weight[rows] = pw[np.take_along_axis(best, order, axis=1)]
-    return far, weight
-
-
-def with_lists(rows: pd.DataFrame, d: list, c: list) -> pd.DataFrame:
-    """Add list columns that stay lists when there are no rows."""
-    return rows.assign(**{n: pd.Series(v, index=rows.index, dtype=object) for n, v in (("d", d), ("c", c))})
-
-
-def _own_cell(k: int):
+    """The points with the cell that each is in."""
+    slabs = borders(points, ["feature"], "px", lambda n: (n / cell_points) ** 0.5)
+    kind = "feature string, px long, py long, w long, slab long"
+
+    def slabbed(pieces: dict[tuple, np.ndarray]) -> DataFrame:
+        def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in frames:
+                slab = np.zeros(len(rows), np.int64)
+                for feature, at in rows.groupby("feature", sort=False).indices.items():
+                    slab[at] = np.searchsorted(slabs[(feature,)], rows["px"].to_numpy()[at], "right") * (2 * PIECES)
+                    for (name, own), lowest in pieces.items():
+                        inner = at[slab[at] == own] if name == feature else at[:0]
+                        slab[inner] += np.searchsorted(lowest, rows["py"].to_numpy()[inner], "right")
+                yield rows.assign(slab=slab)
+
+        return points.mapInPandas(place, kind)
+
+    sizes = slabbed({}).groupBy("feature", "slab").agg(F.count(F.lit(1)).alias("n"))
+    total = {r["feature"]: r["n"] for r in sizes.groupBy("feature").agg(F.sum("n").alias("n")).collect()}
+    width = {feature: (n * cell_points) ** 0.5 for feature, n in total.items()}
+    large = [(r["feature"], r["slab"]) for r in sizes.collect() if r["n"] > 2 * width[r["feature"]]]
+    pieces: dict[tuple, np.ndarray] = {}
+    if large:
+        limit = min(width[feature] for feature, _ in large)
+        wanted = points.sparkSession.createDataFrame(large, "feature string, slab long")
+        # at most one slab in two of the few that a feature is cut into
+        pieces = borders(slabbed({}).join(F.broadcast(wanted), ["feature", "slab"]), ["feature", "slab"], "py", lambda n: n / limit)
+
+    def cut(slab: pd.DataFrame) -> pd.DataFrame:
+        slab = slab.sort_values(["py", "px"], ignore_index=True)
+        count = max(1, len(slab) // cell_points)
+        cell = slab["slab"].to_numpy(np.int64) * (1 << 20) + np.arange(len(slab)) * count // max(1, len(slab))
+        return slab[[*POINT, "w"]].assign(cell=cell)
+
+    return slabbed(pieces).groupBy("feature", "slab").applyInPandas(cut, PLACED)
+
+
+# --- the search in a cell -----------------------------------------------------------------
+
+
+class Leaves:
+    """The points of a cell in leaves of about LEAF_POINTS with their boxes, in equal rows of an array."""
+
+    def __init__(self, px: np.ndarray, py: np.ndarray, w: np.ndarray):
+        n = len(px)
+        strips = max(1, int((n / LEAF_POINTS) ** 0.5))
+        strip = np.empty(n, np.int64)
+        strip[np.argsort(px, kind="stable")] = np.arange(n) * strips // n
+        self.order = np.lexsort((py, strip))
+        strip = strip[self.order]
+        first = np.searchsorted(strip, np.arange(strips + 1))
+        self.leaf = strip * strips + (np.arange(n) - first[strip]) * strips // np.diff(first)[strip]
+        size = np.bincount(self.leaf, minlength=strips * strips)
+        slot = np.arange(n) - (np.cumsum(size) - size)[self.leaf]
+        shape = (strips * strips, size.max())
+        self.x, self.y, self.w = np.full(shape, FAR), np.full(shape, FAR), np.zeros(shape, np.int64)
+        for into, values in ((self.x, px), (self.y, py), (self.w, w)):
+            into[self.leaf, slot] = values[self.order]
+        real = self.w > 0
+        self.low = self.x.min(axis=1), self.y.min(axis=1)
+        self.high = np.where(real, self.x, -FAR).max(axis=1), np.where(real, self.y, -FAR).max(axis=1)
+
+    def nearest(self, apart: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and weights of the k smallest of each row; weight 0 where there are fewer."""
+        rows, take = np.arange(len(apart)), min(k, apart.shape[1])
+        far, held = np.empty((len(apart), take), np.int64), np.empty((len(apart), take), np.int64)
+        for i in range(take):
+            at = apart.argmin(axis=1)
+            far[:, i], held[:, i] = apart[rows, at], weight[rows, at]
+            apart[rows, at] = np.iinfo(np.int64).max
+        return far, np.where(far < NONE, held, 0)
+
+    def own(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(point, distance, weight) of the k nearest other points in each point's leaf; points in leaf order."""
+        width = self.x.shape[1]
+        step = max(1, CHUNK // (width * width))
+        parts = []
+        for i in range(0, len(self.x), step):
+            x, y, w = (a[i : i + step] for a in (self.x, self.y, self.w))
+            apart = np.maximum(np.abs(x[:, :, None] - x[:, None, :]), np.abs(y[:, :, None] - y[:, None, :]))
+            apart[:, np.arange(width), np.arange(width)] = np.iinfo(np.int64).max
+            real = w.ravel() > 0
+            weight = np.broadcast_to(w[:, None, :], apart.shape).reshape(-1, width)[real]
+            parts.append(self.nearest(apart.reshape(-1, width)[real], weight, k))
+        far, held = (np.concatenate(p) for p in zip(*parts))
+        return np.repeat(np.arange(len(far)), far.shape[1]), far.ravel(), held.ravel()
+
+    def visit(self, qx: np.ndarray, qy: np.ndarray, reach: np.ndarray, k: int, own: np.ndarray | None = None):
+        """(query, distance, weight) of the k nearest points, nearer than the reach, in each leaf that it meets."""
+        asks = np.flatnonzero(reach > 0)
+        if own is not None:
+            # a ball within the own leaf's box holds no point of another
+            leaf, x, y, r = own[asks], qx[asks], qy[asks], reach[asks]
+            within = (x - r >= self.low[0][leaf]) & (x + r <= self.high[0][leaf]) & (y - r >= self.low[1][leaf]) & (y + r <= self.high[1][leaf])
+            asks = asks[~within]
+        strips = int(round(len(self.x) ** 0.5))
+        x0, x1 = self.low[0].reshape(strips, -1).min(axis=1), self.high[0].reshape(strips, -1).max(axis=1)
+        y0, y1 = self.low[1].reshape(strips, -1), self.high[1].reshape(strips, -1)
+        # strips follow each other in x
+        first = np.searchsorted(x1, qx[asks] - reach[asks], "right")
+        count = np.maximum(np.searchsorted(x0, qx[asks] + reach[asks], "left") - first, 0)
+        asked = np.repeat(asks, count)
+        strip = np.arange(len(asked)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(first, count)
+        found = [(np.zeros(0, np.int64),) * 3]
+        step, pairs = max(1, CHUNK // strips), max(1, CHUNK // self.x.shape[1])
+        for i in range(0, len(asked), step):
+            q, s = asked[i : i + step], strip[i : i + step]
+            at, leaf = np.nonzero((y0[s] < (qy[q] + reach[q])[:, None]) & (y1[s] > (qy[q] - reach[q])[:, None]))
+            query, leaf = q[at], s[at] * strips + leaf
+            if own is not None:
+                other = leaf != own[query]
+                query, leaf = query[other], leaf[other]
+            for j in range(0, len(query), pairs):
+                q, at = query[j : j + pairs], leaf[j : j + pairs]
+                apart = np.maximum(np.abs(self.x[at] - qx[q, None]), np.abs(self.y[at] - qy[q, None]))
+                far, held = self.nearest(apart, self.w[at], k)
+                held = np.where(far < reach[q, None], held, 0)
+                q = np.repeat(q, far.shape[1])
+                kept = held.ravel() > 0
+                found.append((q[kept], far.ravel()[kept], held.ravel()[kept]))
+        return tuple(np.concatenate(p) for p in zip(*found))
+
+
+def meets(qx, qy, reach, x0, y0, x1, y1) -> np.ndarray:
+    """Whether a box may hold a point nearer than the reach, for each query and box."""
+    dx = np.maximum(x0[None, :] - qx[:, None], qx[:, None] - x1[None, :])
+    dy = np.maximum(y0[None, :] - qy[:, None], qy[:, None] - y1[None, :])
+    return (np.maximum(np.maximum(dx, dy), 0) < reach[:, None])
+
+
+def first_k(query: np.ndarray, far: np.ndarray, held: np.ndarray, n: int, k: int):
+    """Entries up to the k-th row of each query in order of distance, and the distance of that row (-1: fewer)."""
+    real = held > 0
+    query, far, held = query[real], far[real], held[real]
+    order = np.lexsort((far, query))
+    query, far, held = query[order], far[order], held[order]
+    seen = np.cumsum(held)
+    start = np.searchsorted(query, np.arange(n))
+    before = np.r_[0, seen]
+    within = seen - before[start][query] if len(query) else seen
+    bound = np.full(n, -1, np.int64)
+    last = (within >= k) & (within - held < k)
+    bound[query[last]] = far[last]
+    kept = within - held < k
+    return (query[kept], far[kept], held[kept]), bound
+
+
+def lists(query: np.ndarray, values: np.ndarray, wanted: np.ndarray, n: int) -> pd.Series:
+    """The values of each wanted query as a list, an empty one for all others."""
+    out = [np.zeros(0, np.int64)] * n
+    ends = np.searchsorted(query, np.arange(n + 1))
+    for i in np.flatnonzero(wanted):
+        out[i] = values[ends[i] : ends[i + 1]]
+    return pd.Series(out, dtype=object)
+
+
+def _own_cell(k: int, boxes: dict[str, tuple[np.ndarray, ...]]):
     def search(cell: pd.DataFrame) -> pd.DataFrame:
         px, py, w = (cell[c].to_numpy(np.int64) for c in ("px", "py", "w"))
-        far, weight = _nearest(px, py, px, py, w, k, True)
+        leaves = Leaves(px, py, w)
+        px, py, w, n = px[leaves.order], py[leaves.order], w[leaves.order], len(px)
         # rows at the point itself are neighbours at distance 0
-        far = np.hstack([np.zeros((len(w), 1), np.int64), far])
-        weight = np.hstack([(w - 1)[:, None], weight])
-        enough = np.cumsum(weight, axis=1) >= k
-        bound = np.where(enough.any(axis=1), far[np.arange(len(w)), enough.argmax(axis=1)], -1)
-        out = cell[[*POINT, "slab", "cell"]].copy()
-        return with_lists(out.assign(bound=bound), list(far), list(weight))
+        near = [(np.arange(n), np.zeros(n, np.int64), w - 1), leaves.own(k)]
+        entries, bound = first_k(*(np.concatenate(p) for p in zip(*near)), n, k)
+        more = leaves.visit(px, py, np.where(bound < 0, FAR, bound), k, leaves.leaf)
+        entries, bound = first_k(*(np.concatenate(p) for p in zip(entries, more)), n, k)
+        reach = np.where(bound < 0, FAR, bound)
+        ids, *box = boxes[cell["feature"].iloc[0]]
+        # a nearer point of another cell lies outside the own box, or on its border
+        inside = (px - reach >= px.min()) & (px + reach <= px.max()) & (py - reach >= py.min()) & (py + reach <= py.max())
+        asks = np.flatnonzero(~inside)
+        query, target = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        step = max(1, CHUNK // len(ids))
+        for i in range(0, len(asks), step):
+            part = asks[i : i + step]
+            q, at = np.nonzero(meets(px[part], py[part], reach[part], *box))
+            other = ids[at] != cell["cell"].iloc[0]
+            query.append(part[q[other]])
+            target.append(ids[at[other]])
+        query, target = np.concatenate(query), np.concatenate(target)
+        opened = np.bincount(query, minlength=n) > 0
+        return pd.DataFrame(
+            {
+                "feature": cell["feature"].iloc[0], "px": px, "py": py, "w": w, "bound": bound, "to": lists(query, target, opened, n),
+                "d": lists(entries[0], entries[1], opened, n), "c": lists(entries[0], entries[2], opened, n),
+            }
+        )
 
     return search
 
 
 def _other_cell(k: int):
     def search(visits: pd.DataFrame, cell: pd.DataFrame) -> pd.DataFrame:
-        if visits.empty or cell.empty:
-            return with_lists(pd.DataFrame({name: [] for name in POINT}).astype({"feature": object, "px": np.int64, "py": np.int64}), [], [])
-        qx, qy, px, py, w = (
-            frame[c].to_numpy(np.int64) for frame, c in ((visits, "px"), (visits, "py"), (cell, "px"), (cell, "py"), (cell, "w"))
-        )
-        far, weight = _nearest(qx, qy, px, py, w, k, False)
-        bound = visits["bound"].to_numpy(np.int64)
-        nearer = (far < bound[:, None]) | (bound < 0)[:, None]
-        hit = nearer.any(axis=1)
-        found = visits.loc[hit, POINT].copy()
-        d = [row[ok] for row, ok in zip(far[hit], nearer[hit])]
-        c = [row[ok] for row, ok in zip(weight[hit], nearer[hit])]
-        return with_lists(found, d, c)
+        qx, qy, own, bound = (visits[c].to_numpy(np.int64) for c in ("px", "py", "w", "bound"))
+        n = len(qx)
+        if n == 0 or cell.empty:
+            entries = (np.zeros(0, np.int64),) * 3
+        else:
+            leaves = Leaves(*(cell[c].to_numpy(np.int64) for c in ("px", "py", "w")))
+            entries, _ = first_k(*leaves.visit(qx, qy, np.where(bound < 0, FAR, bound), k), n, k)
+        hit = np.bincount(entries[0], minlength=n) > 0
+        name = visits["feature"].to_numpy(object)
+        out = pd.DataFrame({"feature": name, "px": qx, "py": qy, "w": own, "d": lists(entries[0], entries[1], hit, n), "c": lists(entries[0], entries[2], hit, n)})
+        return out[hit]
 
     return search
 
 
-def at_or_below(rows: DataFrame, marks: DataFrame, number: str, keys: Sequence[str], at: Column, name: str) -> DataFrame:
-    """Add the largest number of the marks at or below a place, 0 if none: one running maximum."""
-    asked = rows.withColumns({"_at": at, "_mark": F.lit(None).cast("long"), "_asked": F.lit(True)})
-    given = marks.select(*keys, F.col("lowest").alias("_at"), F.col(number).alias("_mark"))
-    both = asked.unionByName(given, allowMissingColumns=True)
-    found = running(both, {"_found": F.col("_mark")}, keys, "_at", "max").where("_asked")
-    return found.select(*rows.columns, F.coalesce("_found", F.lit(0)).alias(name))
-
-
-def visits_to_cells(local: DataFrame, placed: DataFrame) -> DataFrame:
-    """(point, bound, slab, cell) for each other cell that could hold a nearer point."""
-    slabs = placed.groupBy("feature", "slab").agg(F.min("px").alias("lowest"))
-    cells = placed.groupBy(*CELL).agg(F.min("py").alias("lowest"))
-    # without enough neighbours in its cell a point looks everywhere
-    reach = F.when(F.col("bound") < 0, F.lit(1 << 61)).otherwise(F.col("bound"))
-    asked = local.where(F.col("bound") != 0).select(
-        *POINT, "bound", reach.alias("_reach"), F.col("slab").alias("_own_slab"), F.col("cell").alias("_own_cell")
-    )
-    asked = at_or_below(asked, slabs, "slab", ["feature"], F.col("px") - F.col("_reach"), "_from")
-    asked = at_or_below(asked, slabs, "slab", ["feature"], F.col("px") + F.col("_reach"), "_to")
-    asked = asked.withColumn("slab", F.explode(F.sequence("_from", "_to"))).drop("_from", "_to")
-    keys = ["feature", "slab"]
-    asked = at_or_below(asked, cells, "cell", keys, F.col("py") - F.col("_reach"), "_from")
-    asked = at_or_below(asked, cells, "cell", keys, F.col("py") + F.col("_reach"), "_to")
-    asked = asked.withColumn("cell", F.explode(F.sequence("_from", "_to")))
-    other = (F.col("slab") != F.col("_own_slab")) | (F.col("cell") != F.col("_own_cell"))
-    return asked.where(other).select(*CELL, "px", "py", "bound")
+def _in_parts(many: DataFrame, few: DataFrame, keys: Sequence[str], most: int, *spread: str) -> tuple[DataFrame, DataFrame]:
+    """Both tables by ``keys`` and ``_part``: groups of ``many`` in parts of about ``most`` rows, ``few`` copied to each."""
+    parts = cut_lineage(many.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")))
+    # one row per group, of which there are few
+    placed = many.join(F.broadcast(parts), [*keys]).withColumn("_part", F.pmod(F.xxhash64(*spread), "_parts").cast("int"))
+    copies = few.join(F.broadcast(parts), [*keys]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+
+    def named(df: DataFrame) -> DataFrame:
+        # new names for columns that come from the same tables on both sides
+        return df.select(*[F.col(c).alias(c) for c in df.columns if c != "_parts"])
+
+    return named(placed), named(copies)
 
 
 def neighbour_radius(points: DataFrame, k: int, cell_points: int = CELL_POINTS) -> DataFrame:
@@ -163,51 +304,109 @@ def neighbour_radius(points: DataFrame, k: int, cell_points: int = CELL_POINTS)
 
     Points of a feature with at most ``k`` rows have no such distance and are left out.
     """
-    placed = cut_lineage(in_cells(points, cell_points))
-    local = cut_lineage(placed.groupBy(*CELL).applyInPandas(_own_cell(k), LOCAL))
-    visits = visits_to_cells(local, placed)
-    # a cell that very many points look at is searched in several tasks
-    parts = visits.groupBy(*CELL).agg(F.ceil(F.count(F.lit(1)) / VISITS_PER_TASK).cast("int").alias("_parts"))
-    spread = visits.join(parts, CELL).withColumn("_part", F.pmod(F.xxhash64("px", "py"), "_parts").cast("int"))
-    copies = placed.join(parts, CELL).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    placed = written(in_cells(points, cell_points), "cells")
+    sides = {"x0": F.min("px"), "y0": F.min("py"), "x1": F.max("px"), "y1": F.max("py")}
+    # one row per cell, that is per some ``cell_points`` points
+    corners: dict[str, list[Row]] = {}
+    for r in placed.groupBy(*CELL).agg(*[e.alias(s) for s, e in sides.items()]).collect():
+        corners.setdefault(r["feature"], []).append(r)
+    boxes = {f: tuple(np.array([r[c] for r in rows], np.int64) for c in ("cell", *sides)) for f, rows in corners.items()}
+    local = written(placed.groupBy(*CELL).applyInPandas(_own_cell(k, boxes), LOCAL), "own-cells")
+    opened = local.where(F.size("to") > 0)
+    visits = opened.select(*POINT, "w", "bound", F.explode("to").alias("cell"))
+    asked, cells = _in_parts(visits, placed, CELL, VISITS_PER_TASK, "px", "py")
     group = [*CELL, "_part"]
-
-    def grouped(df: DataFrame, *rest: str):
-        # new names for columns that come from the same tables on both sides
-        return df.select(*[F.col(c).alias(c) for c in (*group, "px", "py", *rest)]).groupBy(*group)
-
-    remote = grouped(spread, "bound").cogroup(grouped(copies, "w")).applyInPandas(_other_cell(k), REMOTE)
-    found = local.select(*POINT, "d", "c").unionByName(remote)
-    near = found.select(*POINT, F.inline(F.arrays_zip("d", "c"))).where("c > 0")
-    nearest = Window.partitionBy(*POINT).orderBy("d")
-    near = near.withColumn("_rank", F.row_number().over(nearest)).where(F.col("_rank") <= k)
-    summed = near.withColumn("_rows", F.sum("c").over(nearest.rowsBetween(Window.unboundedPreceding, 0)))
-    radius = summed.where(F.col("_rows") >= k).groupBy(*POINT).agg(F.min("d").alias("radius"))
-    return placed.select(*POINT, "w").join(radius, POINT)
+    remote = asked.groupBy(*group).cogroup(cells.groupBy(*group)).applyInPandas(_other_cell(k), REMOTE)
+    found = opened.select(*POINT, "w", "d", "c").unionByName(remote)
+    near = found.select(*POINT, "w", F.inline(F.arrays_zip("d", "c")))
+    nearest = Window.partitionBy(*POINT).orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumn("_rows", F.sum("c").over(nearest)).where(F.col("_rows") >= k)
+    radius = near.groupBy(*POINT, "w").agg(F.min("d").alias("radius"))
+    closed = local.where((F.size("to") == 0) & (F.col("bound") >= 0))
+    return closed.select(*POINT, "w", F.col("bound").alias("radius")).unionByName(radius)
+
+
+# --- counts on one axis -------------------------------------------------------------------
+
+
+def _counted(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """Signed numbers of rows below each asked end, or up to and with it where it is ``beyond``."""
+    values = values.sort_values("at", ignore_index=True)
+    at, below = values["at"].to_numpy(np.int64), np.r_[0, np.cumsum(values["n"].to_numpy(np.int64))]
+    ends = asked["end"].to_numpy(np.int64)
+    left, right = np.searchsorted(at, ends, "left"), np.searchsorted(at, ends, "right")
+    count = below[np.where(asked["beyond"].to_numpy(bool), right, left)]
+    return asked[[*POINT, "w"]].assign(inside=asked["sign"].to_numpy(np.int64) * (count + asked["base"].to_numpy(np.int64)))
+
+
+def _within(asked: pd.DataFrame, values: pd.DataFrame) -> pd.DataFrame:
+    """How often each number of rows inside occurs, for radii that end in one block."""
+    values = values.sort_values("at", ignore_index=True)
+    at, below = values["at"].to_numpy(np.int64), np.r_[0, np.cumsum(values["n"].to_numpy(np.int64))]
+    low, high = asked["low"].to_numpy(np.int64), asked["high"].to_numpy(np.int64)
+    some = low < high
+    upper = np.where(some, np.searchsorted(at, high, "left"), np.searchsorted(at, high, "right"))
+    lower = np.where(some, np.searchsorted(at, low, "right"), np.searchsorted(at, low, "left"))
+    inside, back = np.unique(below[upper] - below[lower], return_inverse=True)
+    w = np.bincount(back, asked["w"].to_numpy(np.int64), len(inside)).astype(np.int64)
+    name = asked["feature"].iloc[0] if len(asked) else None
+    return pd.DataFrame({"feature": [name] * len(inside), "w": w, "inside": inside})
 
 
 def rows_inside(points: DataFrame, axis: str) -> DataFrame:
-    """Rows of a feature nearer than the radius on one axis, for each (value, radius).
+    """(feature, inside, w): how many rows have so many rows nearer than their radius on one axis.
 
-    At radius 0 the rows at the same value count. The point itself is included.
+    At radius 0 the rows at the same value count. The point itself is included. Values
+    are cut into blocks; a radius that ends in one block is counted there, for others
+    the numbers of rows up to either end are subtracted.
     """
-    asked = points.groupBy("feature", F.col(axis).alias("at"), "radius").agg(F.sum("w").alias("w"))
-    low, high = F.col("at") - F.col("radius"), F.col("at") + F.col("radius")
-    values = points.groupBy("feature", F.col(axis).alias("at")).agg(F.sum("w").alias("_here"))
-    ends = asked.select("feature", F.explode(F.array(low, high)).alias("at")).distinct().withColumn("_here", F.lit(0).cast("long"))
-    places = values.unionByName(ends).groupBy("feature", "at").agg(F.sum("_here").alias("_here"))
-    # read once for either end
-    ranks = cut_lineage(running(places, {"_upto": F.col("_here")}, ["feature"], "at"))
-
-    def side(name: str) -> DataFrame:
-        return ranks.select(
-            "feature", F.col("at").alias(name), F.col("_upto").alias(f"{name}_upto"),
-            (F.col("_upto") - F.col("_here")).alias(f"{name}_below"),
-        )
-
-    found = asked.withColumns({"low": low, "high": high}).join(side("low"), ["feature", "low"]).join(side("high"), ["feature", "high"])
-    inside = F.when(F.col("radius") > 0, F.col("high_below") - F.col("low_upto")).otherwise(F.col("high_upto") - F.col("low_below"))
-    return found.select("feature", "at", "radius", "w", inside.alias("inside"))
+    lowest = borders(points, ["feature"], axis, lambda n: n / BLOCK_ROWS)
+
+    def blocked(feature: str, values: pd.Series) -> np.ndarray:
+        return np.searchsorted(lowest[(feature,)], values.to_numpy(np.int64), "right")
+
+    def value_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for feature, own in rows.groupby("feature", sort=False):
+                yield own.assign(block=blocked(feature, own["at"]))
+
+    counts = points.groupBy("feature", F.col(axis).alias("at")).agg(F.sum("w").alias("n"))
+    values = written(counts.mapInPandas(value_blocks, "feature string, at long, n long, block long"), "axis-values")
+    # at most PIECES blocks a feature
+    base = {feature: np.zeros(len(edges) + 2, np.int64) for (feature,), edges in lowest.items()}
+    for r in values.groupBy("feature", "block").agg(F.sum("n").alias("n")).collect():
+        base[r["feature"]][r["block"] + 1] = r["n"]
+    base = {feature: np.cumsum(n) for feature, n in base.items()}
+
+    def end_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in frames:
+            for feature, own in rows.groupby("feature", sort=False):
+                low, high = own[axis] - own["radius"], own[axis] + own["radius"]
+                below, above = blocked(feature, low), blocked(feature, high)
+                yield own[[*POINT, "w"]].assign(
+                    low=low, high=high, low_block=below, high_block=above, low_base=base[feature][below], high_base=base[feature][above]
+                )
+
+    kinds = "feature string, px long, py long, w long, low long, high long, low_block long, high_block long, low_base long, high_base long"
+    ends = written(points.select(*POINT, "w", "radius").mapInPandas(end_blocks, kinds), "axis-ends")
+    same = F.col("low_block") == F.col("high_block")
+    key, group = ["feature", "block"], ["feature", "block", "_part"]
+    whole = ends.where(same).select("feature", F.col("low_block").alias("block"), "px", "py", "w", "low", "high")
+    asked, copies = _in_parts(whole, values, key, VISITS_PER_TASK, "px", "py")
+    whole = asked.groupBy(*group).cogroup(copies.groupBy(*group)).applyInPandas(_within, "feature string, w long, inside long")
+
+    def end(side: str, beyond: Column, sign: int) -> Column:
+        return F.struct(
+            F.col(f"{side}_block").alias("block"), F.col(side).alias("end"), F.col(f"{side}_base").alias("base"),
+            beyond.alias("beyond"), F.lit(sign).cast("long").alias("sign"),
+        )
+
+    # a radius that reaches into another block is above 0
+    apart = ends.where(~same).select(*POINT, "w", F.inline(F.array(end("high", F.lit(False), 1), end("low", F.lit(True), -1))))
+    asked, copies = _in_parts(apart, values, key, VISITS_PER_TASK, "px", "py")
+    parts = asked.groupBy(*group).cogroup(copies.groupBy(*group)).applyInPandas(_counted, "feature string, px long, py long, w long, inside long")
+    ranges = parts.groupBy(*POINT, "w").agg(F.sum("inside").alias("inside")).select("feature", "w", "inside")
+    return whole.unionByName(ranges).groupBy("feature", "inside").agg(F.sum("w").alias("w"))
 
 
 def nearest_mutual_information(long: DataFrame, neighbours: int = 3, cell_points: int = CELL_POINTS) -> DataFrame:
@@ -219,8 +418,8 @@ def nearest_mutual_information(long: DataFrame, neighbours: int = 3, cell_points
     for mixtures of discrete and continuous values. Never below 0; 0 for features
     with at most ``neighbours`` rows and for constant ones.
     """
-    points = cut_lineage(weighted_points(long))
-    reached = cut_lineage(neighbour_radius(points, neighbours, cell_points))
+    points = written(weighted_points(long), "points")
+    reached = written(neighbour_radius(points, neighbours, cell_points), "radii")
     joint = F.when(F.col("radius") > 0, F.lit(float(neighbours))).otherwise(F.col("w").cast("double"))
     total = reached.groupBy("feature").agg(F.sum("w").cast("double").alias("_n"), F.sum(digamma(joint) * F.col("w")).alias("_joint"))
 
