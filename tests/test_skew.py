@@ -2,17 +2,19 @@
 
 import datetime as dt
 import random
+import re
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from panelark.functions.ranks import average_rank, running_counts
-from panelark.functions.skew import balanced, split_hot
+from panelark.functions.skew import balanced, dealt, input_bytes, split_hot
 from panelark.functions.stats import bootstrap_mean_ci, newey_west
 from panelark.functions.windows import ewm, fill_gaps, over_series, per_group, running
 from panelark.operators import backtest, drift, live, price
 from panelark.operators.weights import cash_weights
+from panelark.plans import research
 
 SETTINGS = {
     "spark.panelark.skew.smallInputBytes": "0",
@@ -203,3 +205,22 @@ def test_signal_digests_do_not_depend_on_the_path(spark, skewed):
         F.col("close").alias("prediction"), F.col("tied").alias("weight"),
     )
     both_ways(spark, lambda: live.log_digests(log, leaf=50), ["portfolio"])
+
+
+def test_feature_matrix_is_dealt_by_input_size(spark, make_bars, tmp_path):
+    """Partitions of the wide rows grow with the input, whatever the packed size of the shuffle."""
+    make_bars(120, [f"S{i}" for i in range(40)]).write.parquet(f"{tmp_path}/bars")
+    bars = spark.read.parquet(f"{tmp_path}/bars")
+    spark.conf.set("spark.panelark.dealtBytes", "10000")
+    try:
+        wanted = -(-input_bytes(bars) // 10000)
+        assert wanted > 8 and dealt(bars, ["symbol"]).rdd.getNumPartitions() == wanted
+        plan = research.feature_matrix(bars)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.panelark.dealtBytes")
+    assert re.search(rf"RepartitionByExpression \[symbol#\d+\], {wanted}\n", plan)
+
+
+def test_feature_matrix_is_not_dealt_with_a_hot_symbol(hot, make_bars):
+    plan = research.feature_matrix(make_bars(120, ["A"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan
