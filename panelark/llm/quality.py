@@ -1,34 +1,38 @@
 """Quality rules: counts of words, symbols and repeats, and bands of n-gram perplexity by language.
 
-The language model is modified Kneser-Ney over four characters, folded to
-SYMBOLS classes, so that a model has at most SYMBOLS^4 entries whatever the
-corpus. Spark counts the n-grams of all texts; each language's counts make one
-model, kept as sorted hashes with probabilities and back-off weights. A document
-is rejected when its perplexity leaves its language's band, which comes from the
-quartiles of all documents of the language.
+The language model is modified Kneser-Ney over four characters as they stand:
+the symbols are the UTF-16 units of the text, so no two characters are one, and
+an n-gram is a 64-bit number. Spark counts the n-grams of all texts and works
+out all orders as tables, whatever their number. The HELD entries counted most
+often go to the tasks as sorted hashes; the n-grams of a text that are not among
+them meet the table in a join. As whole n-grams can be learned by heart, each half
+of the texts is scored by the model of the other half. A document is rejected when
+its perplexity leaves its language's band, which comes from the quartiles of all
+documents of the language.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelark.llm.common import bounded_batches, documents, pick, saved
 from panelark.llm.words import grams, mix, text_batches, words
 
-SYMBOLS = 40
+UNIT = 16  # bits of a symbol
+SYMBOLS = 1 << UNIT
 ORDER = 4
-CELLS = SYMBOLS**ORDER
 LANGUAGES = 32  # languages with a model of their own; all others share one
 POOLED = "*"
 HELD_ENTRIES = 1 << 20  # n-grams that a task holds before it merges equal ones
+FOLDS = 2  # a text is scored by the model of the next fold; equal texts are in one fold
+HELD = 1 << 20  # entries of all models that are sent to tasks
 MARKS = "#*$%&|<>"
 
 # Rules of the contract.
@@ -37,39 +41,27 @@ MIN_WORDS, MAX_REPEATED_PERCENT = 50, 50
 SPREADS, LEAST_WIDTH = 10.0, 0.2
 
 
-@functools.cache
-def symbols() -> np.ndarray:
-    """Class of every code point: white space, a-z, digit, full stop, comma, other marks, nine classes of other letters."""
-    table = np.full(0x110000, 30, np.uint8)
-    for code in range(0x110000):
-        letter = chr(code)
-        if letter.isalpha():
-            low = ord(letter.lower()[0])
-            table[code] = low - 96 if 97 <= low <= 122 else 31 + low * 0x9E3779B1 % (1 << 32) * 9 // (1 << 32)
-        elif letter.isspace():
-            table[code] = 0
-        elif letter.isdigit():
-            table[code] = 27
-    table[[ord("."), ord(",")]] = 28, 29
-    return table
-
-
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Number of the n-gram that ends at each character and after the last one, and the text it is in.
+    """Number of the n-gram that ends at each symbol and after the last one, and the text it is in.
 
     A text is preceded by spaces and followed by one.
     """
     pad = " " * (ORDER - 1)
-    points = np.frombuffer("".join(f"{pad}{t} " for t in texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    symbol = symbols()[points].astype(np.int64)
-    text = np.repeat(np.arange(len(texts)), [len(t) + ORDER for t in texts])
-    code = np.zeros(max(0, len(symbol) - ORDER + 1), np.int64)
+    parts = [f"{pad}{t} ".encode("utf-16-le", "surrogatepass") for t in texts]
+    symbol = np.frombuffer(b"".join(parts), np.uint16).astype(np.uint64)
+    text = np.repeat(np.arange(len(texts)), [len(part) // 2 for part in parts])
+    code = np.zeros(max(0, len(symbol) - ORDER + 1), np.uint64)
     for k in range(ORDER):
-        code = code * SYMBOLS + symbol[k : k + len(code)]
+        code = (code << np.uint64(UNIT)) | symbol[k : k + len(code)]
     inside = text[: len(code)] == text[ORDER - 1 :]
     return code[inside], text[: len(code)][inside]
 
 
+def _suffix(order: int, code: np.ndarray) -> np.ndarray:
+    """The last ``order`` - 1 symbols."""
+    return code & np.uint64((1 << UNIT * (order - 1)) - 1)
+
+
 class Model(NamedTuple):
     """Sorted hashes of n-grams of all orders, their log10 probabilities and back-off weights."""
 
@@ -85,28 +77,36 @@ class Model(NamedTuple):
         return np.where(hit, self.log_p[at], np.nan), np.where(hit, self.back_off[at], 0.0)
 
     def log_probability(self, code: np.ndarray, order: int = ORDER) -> np.ndarray:
-        """Log10 probability of the last symbol of each n-gram after the others."""
+        """Log10 probability of the last symbol of each n-gram after the others, from the entries of this model."""
         if order == 0:
             return np.full(len(code), -np.log10(SYMBOLS))
+        code = code.astype(np.uint64)
         out, _ = self.find(order, code)
         rest = np.flatnonzero(np.isnan(out))
         if len(rest):
-            _, weight = self.find(order - 1, code[rest] // SYMBOLS) if order > 1 else (None, self.back_off[_root(self)])
-            out[rest] = weight + self.log_probability(code[rest] % SYMBOLS ** (order - 1), order - 1)
+            _, weight = self.find(order - 1, code[rest] >> np.uint64(UNIT))
+            out[rest] = weight + self.log_probability(_suffix(order, code[rest]), order - 1)
         return out
 
-
-def _root(model: Model) -> np.ndarray:
-    return np.searchsorted(model.keys, _key(0, np.zeros(1, np.int64)))
+    @classmethod
+    def of(cls, order: np.ndarray, code: np.ndarray, p: np.ndarray, weight: np.ndarray) -> Model:
+        """From probabilities and weights, nan where an entry has none; no entry comes twice."""
+        key = _key(order, code)
+        at = np.argsort(key, kind="stable")
+        back_off = np.nan_to_num(np.log10(np.maximum(weight[at], 1e-12)))
+        return cls(key[at], np.log10(p[at]).astype(np.float32), back_off.astype(np.float32))
 
 
-def _key(order: int, code: np.ndarray) -> np.ndarray:
-    return mix(code.astype(np.uint64) + np.uint64(order << 32))
+def _key(order: int | np.ndarray, code: np.ndarray) -> np.ndarray:
+    return mix(code.astype(np.uint64) + mix(np.full(len(code), order).astype(np.uint64) + np.uint64(1)))
 
 
 def _discounts(counts: np.ndarray) -> np.ndarray:
     """Discounts of counts 0, 1, 2 and 3 or more, from the numbers of n-grams seen one to four times."""
-    n = [int((counts == k).sum()) for k in range(1, 5)]
+    return _discounts_from([int((counts == k).sum()) for k in range(1, 5)])
+
+
+def _discounts_from(n: list[int]) -> np.ndarray:
     if min(n) == 0:
         return np.array([0, 0.5, 0.75, 0.9])
     y = n[0] / (n[0] + 2 * n[1])
@@ -115,127 +115,160 @@ def _discounts(counts: np.ndarray) -> np.ndarray:
 
 
 def kneser_ney(code: np.ndarray, count: np.ndarray) -> Model:
-    """Interpolated modified Kneser-Ney model from the counts of the longest n-grams."""
-    full = np.zeros(CELLS, np.int64)
-    np.add.at(full, code, count)
-    levels = [full.reshape((SYMBOLS,) * ORDER)]
-    for _ in range(ORDER - 1):  # lower orders count the different symbols before them
-        levels.append((levels[-1] > 0).sum(axis=0))
-    lower = np.full((), 1.0 / SYMBOLS)
-    keys, log_p, back_off = [], [], []
+    """Interpolated modified Kneser-Ney model from counts of the longest n-grams that fit in memory; ``train`` does the same on tables."""
+    found, inverse = np.unique(code.astype(np.uint64), return_inverse=True)
+    levels = [(found, np.bincount(inverse, count, len(found)).astype(np.int64))]
+    for order in range(ORDER, 1, -1):  # lower orders count the different symbols before them
+        levels.append(np.unique(_suffix(order, levels[-1][0]), return_counts=True))
+    below, lower = np.zeros(1, np.uint64), np.full(1, 1.0 / SYMBOLS)
+    ngrams, contexts = [], []
     for order in range(1, ORDER + 1):
-        counts = levels[ORDER - order]
-        discount = _discounts(counts)[np.minimum(counts, 3)]
-        total = counts.sum(axis=-1, keepdims=True)
-        weight = np.where(total > 0, discount.sum(axis=-1, keepdims=True) / np.maximum(total, 1), 1.0)
-        p = np.maximum(counts - discount, 0) / np.maximum(total, 1) + weight * lower
-        context = np.flatnonzero(total.ravel() > 0) if order > 1 else np.zeros(1, np.int64)
-        keys.append(_key(order - 1, context))
-        log_p.append(np.full(len(context), np.nan))
-        back_off.append(np.log10(np.maximum(weight.ravel()[context], 1e-12)))
-        seen = np.flatnonzero(counts.ravel() > 0)
-        keys.append(_key(order, seen))
-        log_p.append(np.log10(p.ravel()[seen]))
-        back_off.append(np.full(len(seen), np.nan))
-        lower = p
-    key, p, weight = map(np.concatenate, (keys, log_p, back_off))
-    order_ = np.argsort(key, kind="stable")
-    key, p, weight = key[order_], p[order_], weight[order_]
-    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])  # an n-gram and a context with the same key are one entry
-    p, weight = np.fmax.reduceat(p, first), np.nan_to_num(np.fmax.reduceat(weight, first))
-    return Model(key[first], p.astype(np.float32), weight.astype(np.float32))
-
-
-def _merge(pending: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys, inverse = np.unique(np.concatenate(pending), return_inverse=True)
-    return keys, np.bincount(inverse, np.concatenate(counts), len(keys)).astype(np.int64)
-
-
-def _counter(languages: list[str]):
+        found, counts = levels[ORDER - order]
+        d = _discounts(counts)
+        context, at = np.unique(found >> np.uint64(UNIT), return_inverse=True)
+        total = np.bincount(at, counts, len(context))
+        n1, n2, n3 = (np.bincount(at, np.minimum(counts, 3) == k, len(context)) for k in (1, 2, 3))
+        weight = (d[1] * n1 + d[2] * n2 + d[3] * n3) / total
+        p = np.maximum(counts - d[np.minimum(counts, 3)], 0) / total[at] + weight[at] * lower[np.searchsorted(below, _suffix(order, found))]
+        ngrams.append((order, found, p))
+        contexts.append((order - 1, context, weight))
+        below, lower = found, p
+    rows: dict[tuple[int, int], list[float]] = {}
+    for order, found, p in ngrams:
+        rows.update({(order, int(c)): [x, np.nan] for c, x in zip(found, p, strict=True)})
+    for order, found, weight in contexts:  # an n-gram and a context of the same symbols are one entry
+        for c, x in zip(found, weight, strict=True):
+            rows.setdefault((order, int(c)), [np.nan, np.nan])[1] = x
+    values = np.array(list(rows.values())).reshape(-1, 2)
+    return Model.of(np.array([k[0] for k in rows]), np.array([k[1] for k in rows], np.uint64), values[:, 0], values[:, 1])
+
+
+def _fold(text: Column, folds: int) -> Column:
+    return F.pmod(F.xxhash64(text), F.lit(folds)).cast("int")
+
+
+def _parts(batch: pa.RecordBatch, place: dict[str, int], folds: int, turn: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The models, ``turn`` folds on, of a batch's rows with a text, each with the rows it is for."""
+    of = np.array([place.get(x, len(place)) for x in batch["lang"].to_pylist()], np.int64)
+    of = of * folds + (batch["fold"].to_numpy() + turn) % folds
+    of[batch["text"].is_null().to_numpy(zero_copy_only=False)] = -1
+    for model in np.unique(of[of >= 0]).tolist():
+        yield model, np.flatnonzero(of == model)
+
+
+def _counter(languages: list[str], folds: int):
     place = {lang: i for i, lang in enumerate(languages)}
 
+    def merged(pending: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> dict[int, list[tuple[np.ndarray, np.ndarray]]]:
+        out = {}
+        for model, seen in pending.items():
+            keys, inverse = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
+            out[model] = [(keys, np.bincount(inverse, np.concatenate([n for _, n in seen]), len(keys)).astype(np.int64))]
+        return out
+
+    def size(pending: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> int:
+        return sum(len(k) for seen in pending.values() for k, _ in seen)
+
+    def emit(pending: dict[int, list[tuple[np.ndarray, np.ndarray]]]) -> Iterator[pa.RecordBatch]:
+        for model, [(keys, n)] in pending.items():
+            for i in range(0, len(keys), 1 << 16):
+                own = keys[i : i + (1 << 16)].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"model": pa.array(np.full(len(own), model, np.int32)), "code": own, "n": n[i : i + (1 << 16)]})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        pending, kept = {}, 0
         for batch in text_batches(batches):
-            lang = np.array([place.get(x, len(languages)) for x in batch["lang"].to_pylist()], np.int64)
-            code, text = codes(batch["text"].to_pylist())
-            keys, n = np.unique(code + lang[text] * CELLS, return_counts=True)
-            pending.append(keys)
-            counts.append(n)
-            if sum(map(len, pending)) > HELD_ENTRIES + 2 * len(pending[0]):
-                keys, n = _merge(pending, counts)
-                pending, counts = [keys], [n]
-        keys, n = _merge(pending, counts)
-        for i in range(0, len(keys), 1 << 16):
-            own = slice(i, i + (1 << 16))
-            yield pa.RecordBatch.from_pydict(
-                {"model": pa.array(keys[own] // CELLS, pa.int32()), "code": pa.array(keys[own] % CELLS, pa.int32()), "n": n[own]}
-            )
+            texts = batch["text"].to_pylist()
+            for model, at in _parts(batch, place, folds, 0):
+                pending.setdefault(model, []).append(np.unique(codes([texts[i] for i in at])[0], return_counts=True))
+            if size(pending) > HELD_ENTRIES + 2 * kept:
+                pending = merged(pending)
+                kept = size(pending)
+                if kept > HELD_ENTRIES:
+                    yield from emit(pending)
+                    pending, kept = {}, 0
+        yield from emit(merged(pending))
 
     return run
 
 
-def _train(counts: pd.DataFrame) -> pd.DataFrame:
-    model = kneser_ney(counts["code"].to_numpy(np.int64), counts["n"].to_numpy())
-    return pd.DataFrame({"model": [counts["model"].iloc[0]], **{k: [v.tobytes()] for k, v in model._asdict().items()}})
-
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", folds: int = 1) -> tuple[list[str], DataFrame]:
+    """Names of the models, and their entries (model, order, code, n, p, weight) from all texts; null texts are left out.
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, Model]:
-    """A model of every language from all texts; null texts are left out.
+    The model of fold f of the i-th name is number i * folds + f.
 
     The LANGUAGES languages with the most rows have their own model, the rest and
     rows without a language share POOLED. A task sums its counts before the
-    shuffle; a model is made from at most SYMBOLS^4 counts.
+    shuffle. Only the discounts, three numbers a model and order, reach the driver.
     """
-    bounded_batches(docs.sparkSession)
-    rows = pick(docs, text=text_col, lang=lang_col).where("text is not null")
+    spark = bounded_batches(docs.sparkSession)
+    rows = pick(docs, text=text_col, lang=lang_col).where("text is not null").withColumn("fold", _fold(F.col("text"), folds))
     common = rows.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     languages = [r.lang for r in common.collect()]
-    counts = rows.mapInArrow(_counter(languages), "model int, code int, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n"))
-    made = counts.groupBy("model").applyInPandas(_train, "model int, keys binary, log_p binary, back_off binary").collect()
-    names = [*languages, POOLED]
-    kinds = (np.uint64, np.float32, np.float32)
-    return {names[r["model"]]: Model(*(np.frombuffer(r[f], k) for f, k in zip(Model._fields, kinds, strict=True))) for r in made}
-
-
-class Scorer:
-    """Log probabilities of all n-grams of a model, worked out when a worker first meets its language."""
-
-    def __init__(self, models: dict[str, Model]):
-        self.models = models
-        self.tables: dict[str, np.ndarray] = {}
-
-    def table(self, lang: str) -> np.ndarray:
-        if lang not in self.tables:
-            if len(self.tables) >= 8:
-                self.tables.clear()
-            self.tables[lang] = self.models[lang].log_probability(np.arange(CELLS)).astype(np.float32)
-        return self.tables[lang]
-
-    def __call__(self, texts: list[str], langs: list[str | None]) -> np.ndarray:
-        """Mean log10 probability of a text's characters, nan where no model was trained for it."""
-        out = np.full(len(texts), np.nan)
-        names = [x if x in self.models else POOLED for x in langs]
-        for name in dict.fromkeys(names):
-            if name not in self.models:
-                continue
-            at = [i for i, x in enumerate(names) if x == name]
-            code, text = codes([texts[i] for i in at])
-            total = np.bincount(text, self.table(name)[code], len(at))
-            out[at] = total / np.bincount(text, minlength=len(at))
-        return out
-
-
-_scorers: dict[bytes, Scorer] = {}
-
-
-def _scorer(models: dict[str, Model]) -> Scorer:
-    """The scorer of a worker; it outlives the tasks that use the same models."""
-    key = b"".join(m.log_p[::997].tobytes() + str(len(m.keys)).encode() for m in models.values())
-    if key not in _scorers:
-        _scorers.clear()
-        _scorers[key] = Scorer(models)
-    return _scorers[key]
+    counts = rows.mapInArrow(_counter(languages, folds), "model int, code bigint, n bigint").groupBy("model", "code").agg(F.sum("n").alias("n"))
+    levels = [saved(counts, "ngrams")]
+    suffix = lambda order: F.col("code").bitwiseAND(F.lit((1 << UNIT * (order - 1)) - 1))
+    for order in range(ORDER, 1, -1):  # lower orders count the different symbols before them
+        levels.append(saved(levels[-1].groupBy("model", suffix(order).alias("code")).agg(F.count(F.lit(1)).alias("n")), "ngrams"))
+    none = F.lit(None).cast("double")
+    entries, lower = [], None
+    for order in range(1, ORDER + 1):
+        level = levels[ORDER - order]
+        seen: dict[int, list[int]] = {}
+        for r in level.groupBy("model").agg(*[F.count_if(F.col("n") == k).alias(f"n{k}") for k in range(1, 5)]).collect():
+            seen[r["model"]] = [r[f"n{k}"] for k in range(1, 5)]
+        d = spark.createDataFrame(
+            [(m, *(float(x) for x in _discounts_from(n)[1:])) for m, n in seen.items()], "model int, d1 double, d2 double, d3 double"
+        )
+        context = F.shiftrightunsigned("code", UNIT).alias("context")
+        kinds = [F.count_if(c).alias(f"n{k}") for k, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]
+        contexts = level.groupBy("model", context).agg(F.sum("n").alias("total"), *kinds).join(F.broadcast(d), "model")
+        contexts = contexts.withColumn("weight", F.expr("(d1 * n1 + d2 * n2 + d3 * n3) / total"))
+        own = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+        joined = level.withColumn("context", context).join(contexts.drop("n1", "n2", "n3"), ["model", "context"])
+        if lower is None:
+            joined = joined.withColumn("lower", F.lit(1.0 / SYMBOLS))
+        else:
+            joined = joined.withColumn("below", suffix(order)).join(lower, ["model", "below"])
+        p = F.greatest(F.col("n") - own, F.lit(0.0)) / F.col("total") + F.col("weight") * F.col("lower")
+        level = saved(joined.select("model", F.lit(order).alias("order"), "code", "n", p.alias("p"), none.alias("weight")), "probabilities")
+        back = contexts.select("model", F.lit(order - 1).alias("order"), F.col("context").alias("code"), F.col("total").alias("n"), none.alias("p"), "weight")
+        entries += [level, back]
+        lower = level.select("model", F.col("code").alias("below"), F.col("p").alias("lower"))
+    table = entries[0]
+    for more in entries[1:]:
+        table = table.unionByName(more)
+    # an n-gram and a context of the same symbols are one entry
+    table = table.groupBy("model", "order", "code").agg(*[F.max(c).alias(c) for c in ("n", "p", "weight")])
+    return [*languages, POOLED], saved(table, "entries")
+
+
+def _at_least(entries: DataFrame, held: int) -> int:
+    """The count that entries must reach so that at most ``held`` do."""
+    low = 1
+    for r in entries.groupBy("n").agg(F.count(F.lit(1)).alias("k")).orderBy(F.desc("n")).toLocalIterator():
+        held -= r["k"]
+        if held < 0:
+            low = r["n"] + 1
+            break
+    return low
+
+
+def common(entries: DataFrame, low: int) -> dict[int, Model]:
+    """Models with the entries counted at least ``low`` times."""
+    table = entries.where(F.col("n") >= low).select("model", "order", "code", "p", "weight").toArrow()
+    model, order, code, p, weight = (table[c].to_numpy() for c in table.column_names)
+    out = {}
+    for m in np.unique(model).tolist():
+        at = np.flatnonzero(model == m)
+        out[m] = Model.of(order[at], code[at].astype(np.int64).view(np.uint64), p[at], weight[at])
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", held: int = HELD) -> dict[str, Model]:
+    """A model of every language from all texts, with the ``held`` entries of all models counted most often."""
+    names, entries = train(docs, text_col, lang_col)
+    return {names[m]: model for m, model in common(entries, _at_least(entries, held)).items()}
 
 
 def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -278,24 +311,91 @@ def text_counts(texts: pa.Array) -> dict[str, np.ndarray]:
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def measure(docs: DataFrame, models: dict[str, Model], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per document: doc_id, lang, the counts, and log_perplexity (log10; null without a model)."""
+def _measured(languages: list[str], folds: int, present: set[int], whole: bool, shared):
+    """Row number, doc_id, lang, counts, n-grams, the sum of the log probabilities of the common ones; the others and how often each occurs."""
+    place = {lang: i for i, lang in enumerate(languages)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = _scorer(models)
+        models, row = shared.value, TaskContext.get().partitionId() << 40
         for batch in text_batches(batches):
+            n = batch.num_rows
             counted = text_counts(batch["text"])
-            score = -scorer(batch["text"].fill_null("").to_pylist(), batch["lang"].to_pylist())
+            texts = batch["text"].to_pylist()
+            grams_, total, of = np.zeros(n, np.int64), np.zeros(n), np.full(n, -1, np.int32)
+            rare_row, rare_code = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for model, at in _parts(batch, place, folds, 1):
+                if model not in present:
+                    continue
+                code, text = codes([texts[i] for i in at])
+                if whole:
+                    log_p = models[model].log_probability(code)
+                else:
+                    log_p = models[model].find(ORDER, code)[0] if model in models else np.full(len(code), np.nan)
+                rare = np.isnan(log_p)
+                of[at] = model
+                grams_[at] = np.bincount(text, minlength=len(at))
+                total[at] = np.bincount(text[~rare], log_p[~rare], len(at))
+                rare_row.append(at[text[rare]])
+                rare_code.append(code[rare])
+            rows, code = np.concatenate(rare_row), np.concatenate(rare_code)
+            order = np.lexsort((code, rows))
+            rows, code = rows[order], code[order]
+            new = np.flatnonzero(np.r_[True, (rows[1:] != rows[:-1]) | (code[1:] != code[:-1])][: len(rows)])
+            offsets = pa.array(np.searchsorted(rows[new], np.arange(n + 1)).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["lang"], *[pa.array(counted[c].astype(np.int64)) for c in COUNTS], pa.array(score, from_pandas=True)],
-                ["doc_id", "lang", *COUNTS, "log_perplexity"],
-            )
+                [
+                    pa.array(row + np.arange(n)), batch["doc_id"], batch["lang"], *[pa.array(counted[c].astype(np.int64)) for c in COUNTS],
+                    pa.array(of), pa.array(grams_), pa.array(total),
+                    pa.ListArray.from_arrays(offsets, pa.array(code[new].view(np.int64))),
+                    pa.ListArray.from_arrays(offsets, pa.array(np.diff(np.r_[new, len(rows)]).astype(np.int32))),
+                ],
+                ["row", "doc_id", "lang", *COUNTS, "model", "grams", "log_p", "rare", "times"],
+            )
+            row += n
+
+    return run
+
+
+def _looked_up(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """(model, code, p): log10 probability of each of the n-grams (model, code), by the longest part of it that has an entry."""
+    out, lower = asked, []
+    for order in range(ORDER, 0, -1):
+        end = F.lit(-1 if order == ORDER else (1 << UNIT * order) - 1)
+        own, context = F.col("code").bitwiseAND(end), F.shiftrightunsigned(F.col("code").bitwiseAND(end), UNIT)
+        for k, code, value, name in ((order, own, "p", f"p{order}"), (order - 1, context, "weight", f"w{order}")):
+            part = entries.where((F.col("order") == k) & F.col(value).isNotNull())
+            part = part.select("model", F.col("code").alias("_code"), F.log10(F.greatest(value, F.lit(1e-12)) if name[0] == "w" else F.col(value)).alias(name))
+            out = out.withColumn("_code", code).join(part, ["model", "_code"], "left").drop("_code")
+    p = F.lit(float(-np.log10(SYMBOLS)))
+    for order in range(1, ORDER + 1):
+        p = F.coalesce(F.col(f"p{order}"), F.coalesce(F.col(f"w{order}"), F.lit(0.0)) + p)
+    return out.select("model", "code", p.alias("p"))
 
-    bounded_batches(docs.sparkSession)
-    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col)
+
+def measure(
+    docs: DataFrame, names: list[str], entries: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held: int = HELD
+) -> DataFrame:
+    """One row per document: doc_id, lang, the counts, and log_perplexity (log10; null for a null text and without a model).
+
+    ``names`` and ``entries`` are those of ``train`` with as many folds. N-grams that
+    are not among the ``held`` entries are looked up in joins, each different one once.
+    """
+    spark = bounded_batches(docs.sparkSession)
+    low = _at_least(entries, held)
+    present = {r["model"] for r in entries.select("model").distinct().collect()}
+    shared = spark.sparkContext.broadcast(common(entries, low))
+    rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).withColumn("fold", _fold(F.col("text"), folds))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in ("doc_id", "lang")}
     counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return rows.mapInArrow(run, f"doc_id {kinds['doc_id']}, lang {kinds['lang']}, {counts}, log_perplexity double")
+    schema = f"row bigint, doc_id {kinds['doc_id']}, lang {kinds['lang']}, {counts}, model int, grams bigint, log_p double, rare array<bigint>, times array<int>"
+    read = saved(rows.mapInArrow(_measured(names[:-1], folds, present, low == 1, shared), schema), "measured")
+    asked = read.select("row", "model", F.explode(F.arrays_zip("rare", "times")).alias("x"))
+    asked = asked.select("row", "model", F.col("x.rare").alias("code"), F.col("x.times").alias("times"))
+    known = _looked_up(asked.select("model", "code").distinct(), entries)
+    found = asked.join(known, ["model", "code"]).groupBy("row").agg(F.sum(F.col("times") * F.col("p")).alias("more"))
+    total = F.col("log_p") + F.coalesce("more", F.lit(0.0))
+    score = F.when(F.col("grams") > 0, -total / F.col("grams")).alias("log_perplexity")
+    return read.drop("rare", "times").join(found, "row", "left").select("doc_id", "lang", *COUNTS, score)
 
 
 def judge(measured: DataFrame) -> DataFrame:
@@ -330,8 +430,8 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A null or empty text has no words and fails the base rules. Repeated rows
     count as often as they are there and each get a row; no rows give no rows.
     """
-    models = fit(docs, text_col, lang_col)
-    return judge(saved(measure(docs, models, id_col, text_col, lang_col), "quality"))
+    names, entries = train(docs, text_col, lang_col, FOLDS)
+    return judge(saved(measure(docs, names, entries, FOLDS, id_col, text_col, lang_col), "quality"))
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:

@@ -107,3 +107,24 @@ def test_whole_table(spark):
     assert len(have) == len(texts)
     for r in have:
         assert [r[c] for c in quality.COUNTS] == plain(texts[r.doc_id])
+
+
+def test_characters_stay_apart():
+    """Letters, cases, digits and marks are symbols of their own, also beyond 16 bits."""
+    texts = ["ab12", "AB12", "ab34", "жщ", "語本", "\U0001f600", "\U0001f601", "ab;?", "ab!?", "a\tb"]
+    assert len({tuple(quality.codes([t])[0].tolist()) for t in texts}) == len(texts)
+
+
+def test_rare_grams_are_joined(spark):
+    """Perplexities are the same whether all entries, some or none are sent to the tasks."""
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choice("abcdé語AB1 ") for _ in range(rng.randint(0, 80))), rng.choice(["en", "de", None])) for i in range(60)]
+    rows += [(61, "new 字 text", "de")]
+    docs = spark.createDataFrame([*rows, (60, None, "en")], "doc_id long, text string, lang string").repartition(3)
+    names, entries = quality.train(docs.where("doc_id <> 61"))
+    have = [{r.doc_id: r.log_perplexity for r in quality.measure(docs, names, entries, held=held).collect()} for held in (quality.HELD, 150, 0)]
+    models = quality.fit(docs.where("doc_id <> 61"))
+    for i, text, lang in rows:
+        want = -models[lang or quality.POOLED].log_probability(quality.codes([text])[0]).mean()
+        assert [h[i] for h in have] == pytest.approx([want] * 3, abs=1e-6)
+    assert [h[60] for h in have] == [None] * 3
