@@ -14,8 +14,10 @@ compared. A group of many near copies so costs a few comparisons a document,
 and no link between two components is missed.
 
 Bounds: the order comes from 2^FREQUENCY_BITS counters, filled with shingles
-that are frequent within a task; any order gives right results. Bitmaps have a
-fixed size, and a false hit only adds a row that a join drops.
+that are frequent within a task, and from a bitmap of shingles that several
+prefixes held in an order without it: these go behind the others, so that texts
+that only share a passage do not meet. Any order gives right results. Bitmaps
+have a fixed size, and a false hit only adds a row that a join drops.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelark.llm.bitmap import Bitmap, collect_bitmap, only
@@ -37,6 +39,7 @@ NUMERATOR, DENOMINATOR = 3, 4  # least similarity
 FREQUENCY_BITS = 20
 BITS = 26
 MAX_MATCHES = 8
+ORDERS = 2  # each but the first puts the shingles behind that the prefixes of the one before shared
 STAR_ROUNDS = 1  # before all open pairs are listed
 
 
@@ -63,9 +66,11 @@ def least_overlap(n: int) -> int:
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def prefix(shingles: np.ndarray, frequency: np.ndarray) -> tuple[np.ndarray, int]:
+def prefix(shingles: np.ndarray, frequency: np.ndarray, behind: Bitmap | None = None) -> tuple[np.ndarray, int]:
     """A set's prefix in the global order, and the number of matches it asks for."""
     weight = frequency[(shingles >> np.uint64(64 - FREQUENCY_BITS)).astype(np.int64)]
+    if behind is not None:
+        weight = weight + behind.has(shingles)
     order = np.lexsort((shingles, weight))
     n, least = len(shingles), least_overlap(len(shingles))
     k = np.arange(1, min(MAX_MATCHES, least) + 1)
@@ -98,14 +103,14 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _prefixes(frequency: np.ndarray, shared: Bitmap | None):
+def _prefixes(frequency: np.ndarray, shared: Bitmap | None, behind: Bitmap | None = None):
     """Hashes of all prefix shingles; or, of those in the bitmap, the list entries (a, c, n, place, k)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(batches):
             hashes, rows = [np.zeros(0, np.uint64)], []
             for shingles in {class_key(s): s for s in shingle_sets(batch["text"]) if len(s)}.values():
-                head, k = prefix(shingles, frequency)
+                head, k = prefix(shingles, frequency, behind)
                 place = np.arange(len(head))
                 if shared is not None:
                     place = np.flatnonzero(shared.has(head))
@@ -182,10 +187,10 @@ def _open_lists(entries: DataFrame, comp: DataFrame | None) -> DataFrame:
         entries = entries.withColumn("comp", F.col("c"))
     else:
         entries = entries.join(comp, "c", "left").withColumn("comp", F.coalesce("comp", "c"))
-    size = entries.groupBy("a", "comp").agg(F.count(F.lit(1)).alias("m"))
-    lists = size.groupBy("a").agg(F.max_by("comp", "m").alias("largest"), F.count(F.lit(1)).alias("comps"))
-    lists = lists.where("comps > 1").select("a", "largest")
-    return saved(entries.join(lists, "a"), "lists")
+    one, own = Window.partitionBy("a"), Window.partitionBy("a", "comp")  # of one exchange
+    lists = entries.repartition("a").withColumn("m", F.count(F.lit(1)).over(own))
+    lists = lists.withColumns({"largest": F.max_by("comp", "m").over(one), "low": F.min("comp").over(one), "high": F.max("comp").over(one)})
+    return saved(lists.where("low < high").drop("m", "low", "high"), "lists")
 
 
 def _fits(n: str, m: str) -> str:
@@ -261,10 +266,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits:
     named = rows.where("doc_id is not null")
     lowest = members.where("doc_id is not null and n > 0").groupBy("c").agg(F.min("doc_id").alias("low"))
 
-    heads = named.select("text").mapInArrow(_prefixes(frequency, None), "a bigint")
-    shared = collect_bitmap(heads.groupBy("a").count().where("count > 1").select("a"), bits)
+    behind = shared = None
+    for _ in range(ORDERS):
+        if shared is not None:
+            behind = shared if behind is None else Bitmap(bits, behind.data | shared.data)
+        heads = named.select("text").mapInArrow(_prefixes(frequency, None, behind), "a bigint")
+        shared = collect_bitmap(heads.groupBy("a").count().where("count > 1").select("a"), bits)
     entry = "a bigint, c bigint, n bigint, place bigint, k bigint"
-    found = named.select("text").mapInArrow(_prefixes(frequency, shared), entry)
+    found = named.select("text").mapInArrow(_prefixes(frequency, shared, behind), entry)
     entries = saved(found.groupBy("a", "c").agg(*[F.min(x).alias(x) for x in ("n", "place", "k")]), "entries")  # copies are one entry
 
     links = comp = None

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20  # bytes whose hashes are computed at once
-BATCH_BYTES = 2 << 20  # text bytes handled at once in a task
+CHUNK = 1 << 17  # bytes whose hashes are computed at once
+BATCH_BYTES = 1 << 20  # text bytes handled at once in a task
 
 _U = np.uint64
 _SEPARATOR = np.zeros(256, bool)

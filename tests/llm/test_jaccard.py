@@ -116,3 +116,21 @@ def test_odd_tables(spark):
     assert jaccard.join(docs.limit(0), bits=12).collect() == []
     kept = jaccard.stage(spark, docs.withColumn("_x", docs.doc_id), "")
     assert sorted(map(str, (r.doc_id for r in kept.collect()))) == ["3", "6", "None"] and kept.columns == ["doc_id", "text", "_x"]
+
+
+def test_shared_passages_go_behind():
+    """With the shared shingles behind, texts that only share a passage have none of it in their prefixes; similar ones still meet."""
+    from panelark.llm.bitmap import Bitmap
+
+    rng = np.random.default_rng(5)
+    frequency = np.ones(1 << jaccard.FREQUENCY_BITS, np.int64)
+    passage, own = (np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64)) for n in (40, 200))
+    behind = Bitmap.none(26)
+    at = passage >> np.uint64(64 - 26)
+    np.bitwise_or.at(behind.data, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    text = np.unique(np.concatenate([passage, own]))
+    head, _ = jaccard.prefix(text, frequency, behind)
+    assert not np.isin(head, passage).any() and np.isin(jaccard.prefix(text, frequency)[0], passage).any()
+    near = np.unique(np.concatenate([passage, own[:180], rng.integers(0, 1 << 64, 15, dtype=np.uint64)]))
+    (a, k), (b, m) = jaccard.prefix(text, frequency, behind), jaccard.prefix(near, frequency, behind)
+    assert len(np.intersect1d(a, b)) >= min(k, m)
