@@ -8,8 +8,9 @@ the same place), and the stretches whose minimizer repeats go on to the next
 level with windows of twice the length. It ends when no stretch is left, or on
 the last level, where every window left is compared.
 
-Which windows repeat is a sum of partial minima and maxima of document ids, so
-a window in a third of all documents costs no more than any other. What goes on
+Which windows repeat is a sum of partial counts of rows, on the last level of
+partial minima and maxima of document ids, so a window in a third of all
+documents costs no more than any other. What goes on
 from one level to the next is a bitmap of fixed size: a false hit only sends a
 stretch on that the next level sorts out.
 """
@@ -80,7 +81,7 @@ class Stretches:
 
 
 def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place: bool, skip: Bitmap):
-    """Emits (a, doc_id) or (a, b, doc_id, t, place) of the level after the given filters; b is 32 bits of a second hash."""
+    """Emits (a), once a row, or (a, b, doc_id, t, place) of the level after the given filters; b is 32 bits of a second hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(only(batches, "_h", outside=skip)):
@@ -89,15 +90,23 @@ def _windows(lengths: list[int], filters: list[Bitmap], window: int, with_place:
                 stretches.narrow(length, repeated)
             length = lengths[len(filters)]
             place = np.unique(stretches.chosen(length)[1])
-            a, b = grams(stretches.words.hash, length)[place], grams(stretches.words.hash, length, 1)[place]
-            doc = stretches.words.doc[place]
-            first = {"a": pa.array(a.view(np.int64))}
-            rest = {"doc_id": batch["doc_id"].take(pa.array(doc))}
-            if with_place:
-                first["b"] = pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                rest["t"] = batch["t"].take(pa.array(doc))
-                rest["place"] = pa.array((place - stretches.first[doc]).astype(np.int32))
-            yield pa.RecordBatch.from_pydict(first | rest)
+            a, doc = grams(stretches.words.hash, length)[place], stretches.words.doc[place]
+            if not with_place:
+                order = np.lexsort((a, doc))
+                a, doc = a[order], doc[order]
+                new = np.r_[True, (a[1:] != a[:-1]) | (doc[1:] != doc[:-1])][: len(a)]
+                yield pa.RecordBatch.from_pydict({"a": pa.array(a[new].view(np.int64))})
+                continue
+            b = grams(stretches.words.hash, length, 1)[place]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "a": pa.array(a.view(np.int64)),
+                    "b": pa.array((b >> np.uint64(32)).astype(np.uint32).view(np.int32)),
+                    "doc_id": batch["doc_id"].take(pa.array(doc)),
+                    "t": batch["t"].take(pa.array(doc)),
+                    "place": pa.array((place - stretches.first[doc]).astype(np.int32)),
+                }
+            )
 
     return run
 
@@ -151,9 +160,8 @@ def repeated_windows(docs: DataFrame, spared: DataFrame, skip: Bitmap, window: i
         return one.unionByName(two)
 
     for _ in lengths[:-1]:
-        seen = level(False, f"a bigint, doc_id {kind}")
-        twice = seen.groupBy("a").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
-        repeated = collect_bitmap(twice.select("a"), bits)
+        # rows, not ids, are counted: rows that share an id only go on to the next level
+        repeated = collect_bitmap(level(False, "a bigint").groupBy("a").count().where("count > 1").select("a"), bits)
         if repeated.empty:
             none = T.StructType([docs.schema["doc_id"], docs.schema["t"], T.StructField("places", T.ArrayType(T.IntegerType()))])
             return docs.sparkSession.createDataFrame([], none)

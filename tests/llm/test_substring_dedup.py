@@ -5,10 +5,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelark.llm import substring_dedup as dedup
-from panelark.llm.bitmap import collect_bitmap
+from panelark.llm.bitmap import Bitmap, collect_bitmap
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -84,3 +85,14 @@ def test_bitmap_misses_nothing(spark):
 
 def test_levels():
     assert dedup.levels(7, 13) == [7, 13] and dedup.levels(3, 20) == [3, 6, 12, 20] and dedup.levels(30, 13) == [13]
+
+
+def test_windows_are_counted_once_a_row():
+    """Below the last level only hashes are shuffled, and a row that repeats its own window counts once."""
+    texts = ["a b c d e f g h i j k l m " * 3, "one two"]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2], "_h": [1, 2], "t": [0, 0], "text": texts})
+    emit = dedup._windows([7, 13], [], 13, False, Bitmap.none(12))
+    out = list(emit(iter([batch])))
+    assert [b.schema.names for b in out] == [["a"]] * len(out)
+    seen = [a for b in out for a in b["a"].to_pylist()]
+    assert seen and len(seen) == len(set(seen))
