@@ -19,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from panelark.functions.skew import spread_out
 from panelark.session import cut_lineage, written
 
 UNITS = 1e9
@@ -92,12 +93,6 @@ def numbered(batch: pa.RecordBatch, names: Sequence[str], *columns: str) -> list
     return [feature.astype(np.int32), *[batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]]
 
 
-def spread_out(df: DataFrame, groups: int, *keys: str) -> DataFrame:
-    """Rows dealt by ``keys`` over partitions that are not merged by size, as a task's work is in its groups."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(least, min(PIECES, groups)), *keys)
-
-
 def in_cells(points: DataFrame, cell_points: int) -> tuple[DataFrame, list[str]]:
     """The points with the cell that each is in, and the features by number."""
     lowest = borders(points, ["feature"], "px", lambda n: (n / cell_points) ** 0.5)
